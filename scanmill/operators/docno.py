@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.operators.numbering import dense_ids_of_copies
+from scanmill.runtime import has_at_most
 
 
 def build_docno_mapping(ids: DataFrame) -> DataFrame:
@@ -15,10 +16,17 @@ def build_docno_mapping(ids: DataFrame) -> DataFrame:
     )
 
 
+# Lookups of up to this many ids read the mapping once and aggregate only their rows.
+FEW_LOOKUPS = 1_000_000
+
+
 def lookup_docno(mapping: DataFrame, docids: DataFrame) -> DataFrame:
     """(docid, docno): -1 unless the id occurs exactly once."""
+    wanted = mapping
+    if has_at_most(docids, FEW_LOOKUPS):
+        wanted = mapping.join(F.broadcast(docids.select("docid")), "docid", "left_semi")
     unique = (
-        mapping.groupBy("docid")
+        wanted.groupBy("docid")
         .agg(F.count(F.lit(1)).alias("n"), F.min("docno").alias("docno"))
         .filter("n = 1")
     )

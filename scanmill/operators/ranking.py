@@ -15,6 +15,7 @@ from scanmill.functions.text import Analyzer
 from scanmill.operators import queries as Q
 from scanmill.operators.numbering import dense_ids
 from scanmill.operators.vectors import postings
+from scanmill.runtime import written
 
 SCORE_DIGITS = 6
 _TIES = ("docid", "docid_desc")
@@ -104,6 +105,7 @@ def bm25_topk(
     if positive_only:
         scores = scores.filter("score > 0")
     else:
+        scores = written(scores, "scores")
         scores = scores.unionByName(_zero_scores(scores, vectors, queries, k, tie))
     return top_k(scores, k, tie, tag)
 

@@ -14,6 +14,10 @@ from scanmill.runtime import exploded, has_at_most, row_id
 # tokens meet the rest of the dictionary in a shuffle join.
 BROADCAST_TERMS = 4_000_000
 
+# Copies of the rest of the dictionary in that shuffle join.  An unknown token can be
+# as frequent as any (say, one cut off by a df maximum); salted, its rows are spread.
+TAIL_SALTS = 16
+
 
 def _packed(pos: str, value: str) -> Column:
     """Position and id in one long: sorts by position, 8 bytes in a shuffle."""
@@ -42,8 +46,12 @@ def _join_bounded(
     tail = dictionary.filter(~is_head).select(key, value)
     first = F.col("_pos").isNull() | (F.col("_pos") == 0)
     near = rows.join(head, key, "left").filter(F.col(value).isNotNull() | first)
-    far = rows.join(head.select(key), key, "left_anti").join(tail, key)
-    return near.unionByName(far)
+    salts = F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))
+    salted = tail.select(key, value, F.explode(salts).alias("_salt"))
+    far = rows.join(head.select(key), key, "left_anti").withColumn(
+        "_salt", F.pmod(F.xxhash64("_doc", "_pos"), F.lit(TAIL_SALTS)).cast("int")
+    )
+    return near.unionByName(far.join(salted, [key, "_salt"]).drop("_salt"))
 
 
 def encode_tokens(

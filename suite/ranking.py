@@ -9,7 +9,7 @@ from scanmill.functions import scoring
 from scanmill.operators import queries as Q
 from scanmill.operators import ranking as R
 from scanmill.operators.vectors import to_unique_vectors
-from scanmill.runtime import scratch_path
+from scanmill.runtime import scratch_path, written
 from scanmill.sinks.tables import write_doc_vectors
 from scanmill.sinks.text import run_lines, write_run
 from scanmill.sources.tables import read_doc_vectors, read_queries
@@ -22,8 +22,10 @@ _POS = "pos AS (SELECT * FROM raw WHERE score > 0)"
 
 
 def _inputs(spark, sf_dir, analyzer="standard"):
+    """Vectors are a stored table by the time queries arrive."""
     terms = dictionary(spark, sf_dir, analyzer)
-    return vectors(spark, sf_dir, terms, analyzer), terms, queries(spark, sf_dir)
+    stored = written(vectors(spark, sf_dir, terms, analyzer), "vectors")
+    return stored, terms, queries(spark, sf_dir)
 
 
 _LINES = """SELECT CAST(item_id AS INTEGER) AS qid, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM benchmark"""
@@ -90,7 +92,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     flat, terms, asked = _inputs(spark, sf_dir)
     path = scratch_path(spark, "flat")
-    write_doc_vectors(flat, path)
+    write_doc_vectors(flat, path, partitions=4)
     return R.bm25_topk(read_doc_vectors(spark, path), terms, asked, K, "standard")
 
 
