@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # [C](VC)^m[V]: `y` is a vowel after a consonant.
-_CONS = "[^aeiou]"
 _VOWEL = "[aeiouy]"
 _CRUN = "[^aeiou][^aeiouy]*"
 _VRUN = "[aeiouy][aeiou]*"
@@ -40,14 +39,17 @@ STEP_3 = {
     "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic",
     "ful": "", "ness": "",
 }
-STEP_4 = (
-    "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize"
-).split()
+STEP_4 = frozenset(
+    "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize".split()
+)
 
 
-def _longest(word: str, suffixes) -> str | None:
-    hits = [s for s in suffixes if word.endswith(s)]
-    return max(hits, key=len) if hits else None
+def _longest(word: str, suffixes, lengths: range) -> str | None:
+    """Longest listed suffix of a word, trying lengths from long to short."""
+    for n in lengths:
+        if word[-n:] in suffixes:
+            return word[-n:]
+    return None
 
 
 @lru_cache(maxsize=1 << 18)
@@ -80,11 +82,11 @@ def porter_stem(word: str) -> str:
         word = word[:-1] + "i"
     # 2 and 3 derivational suffixes
     for table in (STEP_2, STEP_3):
-        suffix = _longest(word, table)
+        suffix = _longest(word, table, range(7, 2, -1))
         if suffix and _M_GT_0.match(word[: -len(suffix)]):
             word = word[: -len(suffix)] + table[suffix]
     # 4: `ion` falls only after s or t
-    suffix = _longest(word, STEP_4)
+    suffix = _longest(word, STEP_4, range(5, 1, -1))
     if suffix:
         cut = 3 if suffix in ("sion", "tion") else len(suffix)
         if _M_GT_1.match(word[:-cut]):

@@ -78,7 +78,7 @@ def _bm25(spark, sf_dir, unique=False, analyzer="standard", k=K, **options):
     return R.bm25_topk(docs, terms, asked, k, analyzer, row_key=["docid"], **options)
 
 
-@query("bm25_flat", "E12 R2 R3 J4 J5 A9 F7 W5 W6 W7", _bm25_sql())
+@query("bm25_flat", "E12 R2 R3 J4 J5 A9 F7 W5 W6 W7 U2", _bm25_sql())
 def _(spark, sf_dir):
     return _bm25(spark, sf_dir)
 

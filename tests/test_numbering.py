@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from scanmill.operators.dictionary import (
+    build_dictionary,
+    dictionary_summary,
+    lookup_term_ids,
+    lookup_terms,
+    with_lexicographic_position,
+)
+from scanmill.operators.docno import build_docno_mapping, lookup_docid, lookup_docno
+from scanmill.operators.numbering import dense_ids, dense_ids_of_copies
+
+
+@pytest.fixture(scope="module")
+def stats(spark):
+    df = (F.col("id") % 7) * (F.col("id") % 3) + 1
+    return spark.range(5000).select(
+        F.concat(F.lit("t"), F.pmod(F.col("id") * 7919, F.lit(10_007))).alias("term"),
+        df.alias("df"),
+        (df * 2).alias("cf"),
+    )
+
+
+def test_same_as_a_plain_window(spark, stats):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = [F.col("df").desc(), F.col("term").asc()]
+        numbered = dense_ids(stats, order, "n")
+        plain = stats.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+        assert numbered.exceptAll(plain.select(numbered.columns)).count() == 0
+        assert numbered.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dictionary_order_and_lookups(spark, stats):
+    d = build_dictionary(stats, expected_count=5000)
+    rows = d.orderBy("term_id").collect()
+    assert [r.term_id for r in rows] == list(range(1, 5001))
+    assert [(-r.df, r.term) for r in rows] == sorted((-r.df, r.term) for r in rows)
+    assert [r.term for r in with_lexicographic_position(d).orderBy("lex_pos").collect()] == sorted(
+        r.term for r in rows
+    )
+    top = rows[0]
+    found = lookup_terms(d, spark.createDataFrame([(top.term,), ("none",)], "term string")).collect()
+    assert {r.term: (r.term_id, r.df, r.cf) for r in found} == {
+        top.term: (1, top.df, top.cf),
+        "none": (-1, 0, 0),
+    }
+    found = lookup_term_ids(d, spark.createDataFrame([(1,), (0,), (5001,)], "term_id int")).collect()
+    assert {r.term_id: (r.term, r.df) for r in found} == {1: (top.term, top.df), 0: (None, 0), 5001: (None, 0)}
+    s = dictionary_summary(d).first()
+    assert (s.vocabulary_size, s.max_df, s.max_df_term_id, s.max_cf, s.max_cf_term_id) == (
+        5000, top.df, 1, top.cf, 1,
+    )
+    assert s.collection_size == sum(r.cf for r in rows)
+
+
+def test_dictionary_checks(spark, stats):
+    with pytest.raises(ValueError, match="more than one record"):
+        build_dictionary(stats.union(stats.limit(1)))
+    with pytest.raises(ValueError, match="expected 4999"):
+        build_dictionary(stats, expected_count=4999)
+
+
+def test_empty_dictionary(spark, stats):
+    empty = build_dictionary(stats.filter("df < 0"), expected_count=0)
+    assert empty.count() == 0
+    assert dictionary_summary(empty).first().vocabulary_size == 0
+
+
+def test_copies_get_consecutive_numbers(spark):
+    hot = spark.range(1000).select(F.lit("hot").alias("k"))
+    rest = spark.range(2000).select(F.concat(F.lit("k"), F.col("id") % 1500).alias("k"))
+    numbered = dense_ids_of_copies(hot.union(rest), "k", "n", start=0, chunk=64)
+    rows = numbered.orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(3000))
+    assert [r.k for r in rows] == sorted(r.k for r in rows)
+
+
+def test_docno_lookups(spark):
+    ids = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "docid string")
+    mapping = build_docno_mapping(ids)
+    assert [(r.docno, r.docid) for r in mapping.orderBy("docno").collect()] == [
+        (0, "a"), (1, "b"), (2, "c"), (3, "c"),
+    ]
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "docid string")
+    assert {r.docid: r.docno for r in lookup_docno(mapping, asked).collect()} == {
+        "a": 0, "b": 1, "c": -1, "z": -1,
+    }
+    nos = spark.createDataFrame([(0,), (3,), (4,)], "docno bigint")
+    assert {r.docno: r.docid for r in lookup_docid(mapping, nos).collect()} == {0: "a", 3: "c", 4: None}
