@@ -15,9 +15,10 @@ from scanmill.functions.text import Analyzer
 from scanmill.operators import queries as Q
 from scanmill.operators.numbering import dense_ids
 from scanmill.operators.vectors import postings
-from scanmill.runtime import written
+from scanmill.runtime import has_at_most, written
 
 SCORE_DIGITS = 6
+BROADCAST_BLOCKS = 1_000_000
 _TIES = ("docid", "docid_desc")
 
 
@@ -71,9 +72,11 @@ def bm25_scores(
     weights = query_terms.select(
         "qid", "term_id", (F.col("qtf") * scoring.idf(F.col("df"), n_docs)).alias("weight")
     )
-    matched = postings(vectors, row_key).join(Q.bounded(weights, small), "term_id")
+    entries, document = postings(vectors, row_key)
+    matched = entries.join(Q.bounded(weights, small), "term_id")
     part = F.col("weight") * scoring.bm25_term(F.col("tf"), F.col("doc_len"), length, k1, b)
-    return matched.groupBy("_doc", "docid", "qid").agg(F.sum(part).alias("score")).drop("_doc")
+    scores = matched.groupBy(*document, "qid").agg(F.sum(part).alias("score"))
+    return scores.select("qid", "docid", "score")
 
 
 def bm25_topk(
@@ -111,7 +114,7 @@ def bm25_topk(
 
 
 def _zero_scores(
-    scores: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, tie: str, block: int = 65_536
+    scores: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, tie: str, block: int = 4096
 ) -> DataFrame:
     """The first k documents per query, in tie order, that match none of its words.
 
@@ -146,8 +149,13 @@ def _zero_scores(
         .join(gaps, "qid", "left")
         .select("qid", F.coalesce("_gap", F.lit(0)).cast("bigint").alias("_block"))
     )
-    needed = matched_blocks.unionByName(first_free)
-    free = placed.join(needed, "_block").join(
+    needed = written(matched_blocks.unionByName(first_free), "blocks")
+    # Many queries want the same first blocks: spread those documents before the join.
+    wanted = placed.join(needed.select("_block").distinct(), "_block", "left_semi")
+    free = wanted.repartition("docid").join(
+        Q.bounded(needed, has_at_most(needed, BROADCAST_BLOCKS)), "_block"
+    )
+    free = free.join(
         scores.select("qid", "docid"), ["qid", "docid"], "left_anti"
     )
     zeros = free.select("qid", "docid", F.lit(0.0).alias("score"))
@@ -187,18 +195,19 @@ def likelihood_scores(
         F.sum("absent").alias("absent_sum"), F.count(F.lit(1)).alias("n_terms")
     )
     weights = terms.join(Q.bounded(per_query, small), "qid")
-    matched = postings(vectors, row_key).join(Q.bounded(weights, small), "term_id")
+    entries, document = postings(vectors, row_key)
+    matched = entries.join(Q.bounded(weights, small), "term_id")
     tf, length = F.col("tf"), F.col("doc_len")
     if mixing:
         present = F.log(scoring.likelihood(tf, length, F.col("p"), smoothing))
-        document = F.lit(0.0)
+        by_length = F.lit(0.0)
     else:
         present = F.log(tf + F.lit(smoothing) * F.col("p"))
-        document = F.col("n_terms") * F.log(length + F.lit(smoothing))
-    sums = matched.groupBy("_doc", "docid", "doc_len", "qid", "n_terms", "absent_sum").agg(
+        by_length = F.col("n_terms") * F.log(length + F.lit(smoothing))
+    sums = matched.groupBy(*document, "doc_len", "qid", "n_terms", "absent_sum").agg(
         F.sum(present - F.col("absent")).alias("gain"), F.count(F.lit(1)).alias("n_matched")
     )
-    score = F.col("gain") + F.col("absent_sum") - document
+    score = F.col("gain") + F.col("absent_sum") - by_length
     if share == 0:
         # Without background, a document that lacks a term is impossible.
         complete = F.col("n_matched") == F.col("n_terms")
@@ -211,7 +220,8 @@ def matching_pairs(
 ) -> DataFrame:
     """(qid, docid, term_id, tf): the query words that each document holds."""
     words = query_terms.select("qid", "term_id")
-    matched = postings(vectors, row_key).join(Q.bounded(words, small), "term_id")
+    entries, _ = postings(vectors, row_key)
+    matched = entries.join(Q.bounded(words, small), "term_id")
     return matched.select("qid", "docid", "term_id", "tf")
 
 
@@ -223,8 +233,8 @@ def candidate_terms(
     The rows behind a likelihood score, for inspection; the scores do not need them.
     """
     words = Q.bounded(query_terms.select("qid", "term_id"), small)
-    matched = postings(vectors, row_key).join(words, "term_id")
-    found = matched.groupBy("_doc", "docid", "qid").agg(
+    entries, document = postings(vectors, row_key)
+    found = entries.join(words, "term_id").groupBy(*document, "qid").agg(
         F.map_from_entries(F.collect_list(F.struct("term_id", "tf"))).alias("tfs")
     )
     rows = found.join(words, "qid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanmill.functions.text import MAX_DOCUMENT_CHARS, Analyzer
 from scanmill.operators.documents import document_tokens, with_docid, with_status
-from scanmill.runtime import exploded, has_at_most, row_id
+from scanmill.runtime import exploded, has_at_most, keyed, together
 
 # Dictionaries up to this many terms are broadcast whole (about 100 bytes a term).
 # Of larger ones only that many of the most frequent terms are, and the other
@@ -46,10 +46,11 @@ def _join_bounded(
     tail = dictionary.filter(~is_head).select(key, value)
     first = F.col("_pos").isNull() | (F.col("_pos") == 0)
     near = rows.join(head, key, "left").filter(F.col(value).isNotNull() | first)
+    place = [c for c in rows.columns if c != key]
     salts = F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))
     salted = tail.select(key, value, F.explode(salts).alias("_salt"))
     far = rows.join(head.select(key), key, "left_anti").withColumn(
-        "_salt", F.pmod(F.xxhash64("_doc", "_pos"), F.lit(TAIL_SALTS)).cast("int")
+        "_salt", F.pmod(F.xxhash64(*place), F.lit(TAIL_SALTS)).cast("int")
     )
     return near.unionByName(far.join(salted, [key, "_salt"]).drop("_salt"))
 
@@ -66,11 +67,12 @@ def encode_tokens(
     Every input row gives one output row, if need be with an empty array: null
     positions and ids survive the outer join and vanish in the collection.
     """
-    rows = docs.select(row_id(row_key).alias("_doc"), *keep, "tokens")
-    placed = rows.select("_doc", *keep, F.posexplode_outer("tokens").alias("_pos", "term"))
+    rows, key = keyed(docs, row_key)
+    group = together(key, keep)
+    placed = rows.select(*group, F.posexplode_outer("tokens").alias("_pos", "term"))
     coded = _join_bounded(placed, dictionary, "term", "term_id", broadcast_terms)
     ids = _unpacked(F.collect_list(_packed("_pos", "term_id")))
-    return coded.groupBy("_doc", *keep).agg(ids.alias("term_ids")).drop("_doc")
+    return coded.groupBy(*group).agg(ids.alias("term_ids")).select(*keep, "term_ids")
 
 
 def build_doc_vectors(
@@ -99,12 +101,13 @@ def decode_doc_vectors(
     broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """(docid, terms): the terms of each flat vector, in order."""
-    rows = vectors.select(row_id(row_key).alias("_doc"), "docid", "term_ids")
-    placed = rows.select("_doc", "docid", F.posexplode_outer("term_ids").alias("_pos", "term_id"))
+    rows, key = keyed(vectors, row_key)
+    group = together(key, ["docid"])
+    placed = rows.select(*group, F.posexplode_outer("term_ids").alias("_pos", "term_id"))
     named = _join_bounded(placed, dictionary, "term_id", "term", broadcast_terms)
     entry = F.when(F.col("term").isNotNull(), F.struct("_pos", "term"))
     terms = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["term"])
-    return named.groupBy("_doc", "docid").agg(terms.alias("terms")).drop("_doc")
+    return named.groupBy(*group).agg(terms.alias("terms")).select("docid", "terms")
 
 
 def _let(value: Column, body) -> Column:
@@ -146,15 +149,16 @@ def to_unique_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def postings(vectors: DataFrame, row_key: list[str] | None = None) -> DataFrame:
-    """(_doc, docid, doc_len, term_id, tf) of flat or unique vectors, without a shuffle."""
-    unique = vectors if "terms" in vectors.columns else to_unique_vectors_with(vectors, row_key)
-    rows = unique.select(row_id(row_key).alias("_doc"), "docid", "doc_len", "terms")
-    return exploded(rows, "terms", "t").select("_doc", "docid", "doc_len", "t.term_id", "t.tf")
+def postings(
+    vectors: DataFrame, row_key: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """(docid, doc_len, term_id, tf) of flat or unique vectors, without a shuffle.
 
-
-def to_unique_vectors_with(vectors: DataFrame, row_key: list[str] | None) -> DataFrame:
-    extra = [c for c in (row_key or []) if c not in ("docid", "doc_len")]
-    return vectors.select(
-        "docid", *extra, unique_terms("term_ids").alias("terms"), F.size("term_ids").alias("doc_len")
-    )
+    Also the columns that identify a document: its key and `docid`.
+    """
+    rows, key = keyed(vectors, row_key)
+    group = together(key, ["docid"])
+    terms = F.col("terms") if "terms" in vectors.columns else unique_terms("term_ids")
+    columns = together(group, ["doc_len"])
+    entries = exploded(rows.select(*columns, terms.alias("terms")), "terms", "t")
+    return entries.select(*columns, "t.term_id", "t.tf"), group

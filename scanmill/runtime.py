@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,16 +41,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_id(row_key: list[str] | None) -> Column:
-    """What tells input rows apart: the caller's key, or a generated id.
+def keyed(df: DataFrame, row_key: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """A frame and the columns that tell its rows apart: the caller's, or a new `_doc`.
 
     A generated id is stable for rows read from files.  Rows that come out of a
     shuffle can change places when a lost task is run again, so name a key for
     those, or write them first.
     """
     if row_key:
-        return F.struct(*[F.col(c) for c in row_key])
-    return F.monotonically_increasing_id()
+        return df, list(row_key)
+    return df.withColumn("_doc", F.monotonically_increasing_id()), ["_doc"]
+
+
+def together(*names: list[str]) -> list[str]:
+    """Column lists joined, each name once."""
+    return list(dict.fromkeys(n for group in names for n in group))
 
 
 def exploded(df: DataFrame, array: str, element: str) -> DataFrame:

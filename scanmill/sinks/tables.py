@@ -17,15 +17,15 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
 def write_doc_vectors(
     vectors: DataFrame, path: str, partitions: int | None = None, table: str | None = None
 ) -> None:
-    """Vectors as they come, or compacted into `partitions` parts by docid.
+    """Vectors as they come, or compacted into `partitions` even parts.
 
-    With `table`, the parts are buckets of that catalog table, so that later
-    grouping and joins on docid need no exchange.
+    With `table`, the parts are buckets by docid of that catalog table, so that
+    later grouping and joins on docid need no exchange; ids should be unique then.
     """
     if partitions is None:
         vectors.write.mode("overwrite").parquet(path)
     elif table is None:
-        parts = vectors.repartition(partitions, "docid").sortWithinPartitions("docid")
+        parts = vectors.repartition(partitions).sortWithinPartitions("docid")
         parts.write.mode("overwrite").parquet(path)
     else:
         parts = vectors.repartition(partitions, "docid")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 TERM_STATISTICS = "term string, df bigint, cf bigint"
 DICTIONARY = "term_id int, term string, df bigint, cf bigint"
 FLAT_VECTORS = "docid string, term_ids array<int>, doc_len int"
+SPLIT_BYTES = 128 << 20  # what Spark reads in one task by default
 UNIQUE_VECTORS = "docid string, terms array<struct<term_id:int,tf:int>>, doc_len int"
 
 
@@ -31,10 +32,8 @@ def spread_if_small(df: DataFrame, path: str, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
-    split_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split))
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(2 * cores, key) if size < split_bytes * cores else df
+    return df.repartition(2 * cores, key) if size < SPLIT_BYTES * cores else df
 
 
 def read_documents(

@@ -6,6 +6,8 @@ files record by record; no file is ever held whole.
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +40,7 @@ _ARROW_SCHEMA = pa.schema(
 )
 _BATCH_BYTES = 16 << 20
 _BATCH_RECORDS = 1000
+_READ_BYTES = 8 << 20
 
 
 def _header_block(stream) -> dict[str, str]:
@@ -53,9 +56,11 @@ def _header_block(stream) -> dict[str, str]:
 
 
 def _body_length(headers: dict[str, str]) -> int | None:
+    """A usable length: not negative, and what one binary value can hold."""
     for key, value in headers.items():
         if key.lower() == "content-length":
-            return int(value) if value.isascii() and value.isdigit() else None
+            length = int(value) if value.isascii() and value.isdigit() else -1
+            return length if 0 <= length < 1 << 31 else None
     return None
 
 
@@ -80,31 +85,53 @@ def records_of(stream, version: str, with_content: bool = True) -> Iterator[tupl
 
 
 def _take(stream, length: int, keep: bool) -> bytes | None:
-    if keep:
-        body = stream.read(length)
-        return body if len(body) == length else None
-    left = length
-    while left:
-        chunk = len(stream.read(min(left, 1 << 20)))
-        if not chunk:
+    """The next `length` bytes, read in pieces: a wrong length must not reserve memory."""
+    pieces = []
+    while length:
+        piece = stream.read(min(length, _READ_BYTES))
+        if not piece:
             return None
-        left -= chunk
-    return b""
+        length -= len(piece)
+        if keep:
+            pieces.append(piece)
+    return pieces[0] if len(pieces) == 1 else b"".join(pieces)
 
 
 def _open(path: str):
-    """Streamed read of any file system Arrow knows; codec chosen by extension."""
+    """Streamed read from any file system Arrow knows; codec chosen by extension."""
     fs, inner = pafs.FileSystem.from_uri(path)
+    # The gzip and bz2 readers hand out all they have before they report a cut file.
+    for extension, codec in ((".gz", gzip.open), (".bz2", bz2.BZ2File)):
+        if inner.endswith(extension):
+            raw = fs.open_input_stream(inner, compression=None)
+            return codec(io.BufferedReader(raw, 1 << 20))
     return io.BufferedReader(fs.open_input_stream(inner, compression="detect"), 1 << 20)
 
 
+def _until_cut(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Records up to the point where a compressed file breaks off.
+
+    Like a plain file that is cut, it keeps its whole records.  Any other read error
+    fails the task, and Spark tries again.
+    """
+    try:
+        yield from found
+    except EOFError:
+        return
+
+
 def _scan(paths: Iterable[str], version: str, with_content: bool) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of up to 16 MB; a larger record is a batch of its own."""
     rows: list[tuple] = []
     size = 0
     for path in paths:
         with _open(path) as stream:
-            found = records_of(stream, version, with_content)
+            found = _until_cut(records_of(stream, version, with_content))
             for number, (headers, length, body) in enumerate(found, start=1):
+                bytes_ = length if with_content else 0
+                if rows and (size + bytes_ > _BATCH_BYTES or len(rows) >= _BATCH_RECORDS):
+                    yield _batch(rows)
+                    rows, size = [], 0
                 rows.append(
                     (
                         path,
@@ -118,10 +145,7 @@ def _scan(paths: Iterable[str], version: str, with_content: bool) -> Iterator[pa
                         body,
                     )
                 )
-                size += length if with_content else 0
-                if size >= _BATCH_BYTES or len(rows) >= _BATCH_RECORDS:
-                    yield _batch(rows)
-                    rows, size = [], 0
+                size += bytes_
     if rows:
         yield _batch(rows)
 

@@ -106,7 +106,8 @@ def _(spark, sf_dir):
     sql.with_(*_VEC, sql.POSTINGS, select="SELECT docid, doc_len, term_id, tf FROM post"),
 )
 def _(spark, sf_dir):
-    return postings(_built(spark, sf_dir)[0], ["docid"]).drop("_doc")
+    entries, _ = postings(_built(spark, sf_dir)[0], ["docid"])
+    return entries
 
 
 @query("document_count", "A8", "SELECT count(*) AS n FROM documents")

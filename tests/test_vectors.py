@@ -73,7 +73,7 @@ def test_unique_vectors(spark, docs, texts, terms):
         d: (len(ws), sorted(Counter(ids[w] for w in ws).items())) for d, ws in texts.items()
     }
     assert unique == expected
-    rows = {(r.docid, r.term_id): (r.tf, r.doc_len) for r in postings(vectors).collect()}
+    rows = {(r.docid, r.term_id): (r.tf, r.doc_len) for r in postings(vectors)[0].collect()}
     assert rows == {(d, t): (tf, n) for d, (n, pairs) in expected.items() for t, tf in pairs}
 
 

@@ -85,6 +85,29 @@ def test_cut_off_file_keeps_whole_records():
         assert [h["WARC-TREC-ID"] for h, _, _ in found] == ["a"]
 
 
+def test_cut_off_compressed_file(spark, tmp_path):
+    data = gzip.compress(page("one", "a")) + gzip.compress(page("two" * 500, "b"))
+    (tmp_path / "cut.warc.gz").write_bytes(data[:-30])
+    rows = collected(read_warc(spark, str(tmp_path)))
+    assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a"]
+    (tmp_path / "cut.warc.gz").write_bytes(b"not gzip at all")
+    with pytest.raises(Exception, match="inflate|gzip|header"):
+        read_warc(spark, str(tmp_path)).collect()
+
+
+def test_large_records_and_wrong_lengths(spark, folder):
+    path = folder(
+        "big.warc.gz",
+        page("x" * 20_000_000, "a"),
+        page("<p>t", "huge", length=1 << 40),
+        page("y" * 9_000_000, "b"),
+        page("t", "cut", length=1 << 30),
+    )
+    rows = collected(read_warc(spark, path).select("path", "record_no", "headers", "content_length"))
+    assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a", "b"]
+    assert rows[0]["content_length"] > 20_000_000
+
+
 def test_counting_and_statistics(spark, folder):
     folder("e1.warc.gz", INFO, page("<p>apple banana</p>", "1"), page("<p>apple <script>x</script>", "2"))
     path = folder("e2.warc.gz", INFO, page("<td>apple</td><td>pie</td>", "3"))
