@@ -30,15 +30,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(
+    df: DataFrame, name: str = "table", buckets: int | None = None, by: str = "docid"
+) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     The copy survives lost executors, freezes generated ids, and gives Catalyst a
-    columnar scan with real sizes.
+    columnar scan with real sizes.  With `buckets`, rows are stored hashed by a
+    column, and grouping by it (and more) later needs no exchange.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if buckets is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, by).write.option("path", path)
+    rows.bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    return spark.table(table)
 
 
 def keyed(df: DataFrame, row_key: list[str] | None) -> tuple[DataFrame, list[str]]:
