@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.functions.text import Analyzer, get_analyzer
-from scanmill.runtime import exploded
+from scanmill.runtime import exploded, has_at_most
 
-# Queries up to this much text (64 MB) are broadcast with their statistics.
-BROADCAST_QUERY_BYTES = 64 << 20
+# Queries up to this much text (16 MB, some 3 million words) are broadcast with their statistics.
+BROADCAST_QUERY_BYTES = 16 << 20
+# The same bound for prepared query terms, of about 64 bytes each.
+BROADCAST_QUERY_TERMS = 1_000_000
 
 
 def are_small(queries: DataFrame) -> bool:
@@ -18,7 +20,10 @@ def are_small(queries: DataFrame) -> bool:
     return (total or 0) <= BROADCAST_QUERY_BYTES
 
 
-def bounded(df: DataFrame, small: bool) -> DataFrame:
+def bounded(df: DataFrame, small: bool | None) -> DataFrame:
+    """Broadcast a side that was checked to be small; `None` checks it by its rows."""
+    if small is None:
+        small = has_at_most(df, BROADCAST_QUERY_TERMS)
     return F.broadcast(df) if small else df
 
 

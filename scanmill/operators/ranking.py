@@ -65,7 +65,7 @@ def bm25_scores(
     b: float = scoring.B,
     average_length: float | Column | None = scoring.AVERAGE_LENGTH,
     row_key: list[str] | None = None,
-    small: bool = True,
+    small: bool | None = None,
 ) -> DataFrame:
     """(qid, docid, score) of every document that shares a term with a query."""
     length = Q.average_length(vectors) if average_length is None else F.lit(average_length)
@@ -169,7 +169,7 @@ def likelihood_scores(
     smoothing: float = scoring.SMOOTHING,
     background: str = "df",
     row_key: list[str] | None = None,
-    small: bool = True,
+    small: bool | None = None,
 ) -> DataFrame:
     """(qid, docid, score): log P(query | document) over the distinct query terms.
 
@@ -216,7 +216,7 @@ def likelihood_scores(
 
 
 def matching_pairs(
-    vectors: DataFrame, query_terms: DataFrame, row_key: list[str] | None = None, small: bool = True
+    vectors: DataFrame, query_terms: DataFrame, row_key: list[str] | None = None, small: bool | None = None
 ) -> DataFrame:
     """(qid, docid, term_id, tf): the query words that each document holds."""
     words = query_terms.select("qid", "term_id")
@@ -226,7 +226,7 @@ def matching_pairs(
 
 
 def candidate_terms(
-    vectors: DataFrame, query_terms: DataFrame, row_key: list[str] | None = None, small: bool = True
+    vectors: DataFrame, query_terms: DataFrame, row_key: list[str] | None = None, small: bool | None = None
 ) -> DataFrame:
     """(qid, docid, term_id, tf): all query terms of each candidate document, tf 0 if absent.
 
