@@ -11,7 +11,7 @@ from scanmill.operators import ranking as R
 from scanmill.operators.vectors import to_unique_vectors
 from scanmill.runtime import scratch_path, written
 from scanmill.sinks.tables import write_doc_vectors
-from scanmill.sinks.text import run_lines, write_run
+from scanmill.sinks.text import write_run
 from scanmill.sources.tables import read_doc_vectors, read_queries
 from suite import sql
 from suite.base import dictionary, query, queries, table, vectors

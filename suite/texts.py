@@ -17,8 +17,6 @@ from scanmill.sinks.text import plain_text_lines, term_id_lines, write_lines
 from suite import sql
 from suite.base import dictionary, documents, pages, query, table
 
-_HTTP = r"'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Length: 1' || chr(13) || chr(10) || chr(13) || chr(10)"
-
 
 def _bodies(spark, sf_dir):
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n")
@@ -108,8 +106,8 @@ def _(spark, sf_dir):
 
 
 # A corpus in which some records lack an id, some lack content and some are too long:
-# turns, of which only the assistant's have an id, and user turns with a line break
-# have no readable content.
+# turns, of which only the assistant's have an id, and those with a `q` have no
+# readable content.
 _RECORDS = """docs AS (SELECT
   CASE WHEN role = 'assistant' THEN conv_id || '-' || turn END AS docid,
   CASE WHEN NOT contains(text, 'q') THEN text END AS content
