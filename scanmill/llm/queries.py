@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.llm.decontaminate import contaminated, find_contamination, items_digest
+from scanmill.llm.langid import held_out, identify_language, train_profiles
 from scanmill.llm.line_dedup import dedup_lines
+from scanmill.llm.mixing import mix_sources
+from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
+from scanmill.llm.url_filter import Rule, filter_urls
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,4 +89,113 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    away = held_out("doc_id", 5, 0)
+    scored = classify_quality(docs, table(spark, sf_dir, "labels"), ~away)
+    return scored.select("doc_id", away.alias("held_out"), "score", "predicted")
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    away = held_out("doc_id", 4, 2)
+    profiles = train_profiles(docs.filter(~away).select("text", "lang"))
+    named = identify_language(docs.select("doc_id", "text"), profiles)
+    return named.select("doc_id", away.alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [
+    Rule("net/", False),
+    Rule("example.net/en/", True),
+    Rule("example.com/de/", False),
+    Rule("org/fr/", True),
+]
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+MIX_CURATED = ["src15", "src16", "src17", "src18", "src19"]
+MIX_LEVELS = {
+    "domain": F.when(F.col("source").isin(MIX_CURATED), "curated").otherwise("web"),
+    "lang": F.col("lang"),
+    "source": F.col("source"),
+}
+MIX_WEIGHTS = {
+    ("web",): 3,
+    ("curated",): 2,
+    ("web", "en"): 4,
+    ("web", "de"): 2,
+    ("web", "fr"): 2,
+    ("web", "es"): 2,
+    ("web", "en", "src0"): 2,
+}
+_MIX_WEIGHT_ROWS = ", ".join(
+    "({}, {})".format(repr("/".join(path)), weight) for path, weight in MIX_WEIGHTS.items()
+)
+
+
+def _share_sql(level: str, parent: str, path: str) -> str:
+    """One level of the budget: `{level}` nodes, from the grants of `{parent}`."""
+    above = path.rsplit(" || '/' || ", 1)[0] if " || " in path else "''"
+    return f"""
+    {level}_usable AS (
+      SELECT {above} AS up, {path} AS node, sum(usable) AS usable, coalesce(any_value(w.weight), 1) AS weight
+      FROM leaves LEFT JOIN weights AS w ON w.path = {path} GROUP BY ALL
+    ), {level}_ordered AS (
+      SELECT n.*, p.granted AS budget,
+        coalesce(sum(n.usable) OVER (PARTITION BY up ORDER BY n.usable / weight, n.node
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(weight) OVER (PARTITION BY up ORDER BY n.usable / weight, n.node
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight
+      FROM {level}_usable n JOIN {parent} p ON p.node = n.up
+    ), {level}_marked AS (
+      SELECT *, usable * left_weight <= (budget - before) * weight AS used_up FROM {level}_ordered
+    ), {level} AS (
+      SELECT node, CASE WHEN used_up THEN usable WHEN weight = 0 THEN 0 ELSE
+        (budget - coalesce(sum(usable) FILTER (used_up) OVER (PARTITION BY up), 0)) * weight
+        // sum(weight) FILTER (NOT used_up) OVER (PARTITION BY up) END AS granted
+      FROM {level}_marked
+    )"""
+
+
+@query(
+    "op10_mix_sources",
+    rf"""
+    WITH weights(path, weight) AS (VALUES {_MIX_WEIGHT_ROWS}),
+    d AS (
+      SELECT doc_id, lang, source,
+        CASE WHEN source IN ({', '.join(map(repr, MIX_CURATED))}) THEN 'curated' ELSE 'web' END AS domain,
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens
+      FROM documents
+    ), leaves AS (
+      SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(4 * sum(n_tokens) AS HUGEINT) AS usable
+      FROM d GROUP BY ALL
+    ), root AS (SELECT '' AS node, CAST(sum(tokens) // 2 AS HUGEINT) AS granted FROM leaves),
+    {_share_sql("top", "root", "domain")},
+    {_share_sql("middle", "top", "domain || '/' || lang")},
+    {_share_sql("bottom", "middle", "domain || '/' || lang || '/' || source")},
+    plan AS (
+      SELECT domain, lang, source, granted // tokens AS whole, granted % tokens AS rest
+      FROM leaves JOIN bottom ON node = domain || '/' || lang || '/' || source WHERE tokens > 0
+    ), placed AS (
+      SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('7:' || whole || ':' || doc_id) RANGE UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN plan USING (domain, lang, source)
+    )
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CAST(rest > 0 AND upto <= rest AS BIGINT) AS BIGINT) AS n_epochs
+    FROM placed WHERE n_epochs > 0
+    """,
+)
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), MIX_LEVELS, MIX_WEIGHTS)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "n_epochs")
+
+
 __all__ = ["REGISTRY"]
