@@ -9,6 +9,7 @@ from scanmill.llm.decontaminate import contaminated, find_contamination, items_d
 from scanmill.llm.langid import held_out, identify_language, train_profiles
 from scanmill.llm.line_dedup import dedup_lines
 from scanmill.llm.mixing import mix_sources
+from scanmill.llm.ngram_join import near_duplicates
 from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
 from scanmill.llm.url_filter import Rule, filter_urls
@@ -16,6 +17,12 @@ from scanmill.llm.url_filter import Rule, filter_urls
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs, words=3, threshold=(9, 10))
+
+
 @query(
     "op8_line_dedup",
     rf"""
