@@ -13,6 +13,8 @@ from scanmill.llm.ngram_join import near_duplicates
 from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
 from scanmill.llm.url_filter import Rule, filter_urls
+from scanmill.llm.warc_salvage import salvage_archives, write_archives
+from scanmill.runtime import scratch_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +25,35 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, words=3, threshold=(9, 10))
 
 
+@query(
+    "op2_warc_salvage",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+      FROM pages
+    )
+    SELECT page_id, strlen(payload) AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(sha1(payload), 1 + 10 * (i // 8), 10))::BIGINT
+          >> (35 - 5 * (i % 8))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM p
+    """,
+)
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), archives)
+    records = salvage_archives(spark, archives).filter("gap is null")
+    return records.select(
+        F.col("headers")["x-page-id"].cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        F.col("headers")["x-refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
 @query(
     "op8_line_dedup",
     rf"""
