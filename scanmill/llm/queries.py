@@ -12,6 +12,7 @@ from scanmill.llm.mixing import mix_sources
 from scanmill.llm.ngram_join import near_duplicates
 from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
+from scanmill.llm.substring_dedup import dedup_substrings
 from scanmill.llm.url_filter import Rule, filter_urls
 from scanmill.llm.warc_salvage import salvage_archives, write_archives
 from scanmill.runtime import scratch_path
@@ -54,6 +55,34 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_substring_dedup",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), wins AS (
+      SELECT doc_id, p, sha256(array_to_string(w[p:p + 19], ' ')) AS h
+      FROM (SELECT *, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)
+    ), late AS (
+      SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS nth FROM wins)
+      WHERE nth > 1
+    ), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM late),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+    kept AS (
+      SELECT doc_id, count(*) FILTER (g.q IS NOT NULL) AS n_removed,
+        string_agg(word, ' ' ORDER BY w.q) FILTER (g.q IS NULL) AS rest
+      FROM words AS w LEFT JOIN gone AS g USING (doc_id, q) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+      sha256(coalesce(rest, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query(
     "op8_line_dedup",
     rf"""
