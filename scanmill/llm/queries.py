@@ -10,6 +10,7 @@ from scanmill.llm.langid import held_out, identify_language, train_profiles
 from scanmill.llm.line_dedup import dedup_lines
 from scanmill.llm.mixing import mix_sources
 from scanmill.llm.ngram_join import near_duplicates
+from scanmill.llm.nn_descent import nearest_neighbours
 from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
 from scanmill.llm.substring_dedup import dedup_substrings
@@ -55,6 +56,12 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_nn_descent")
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, F.col("vec_id") % 100 == 0)
+
+
 @query(
     "op5_substring_dedup",
     r"""
