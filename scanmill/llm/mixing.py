@@ -103,7 +103,7 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame,
-    levels: Mapping[str, Column],
+    levels: Mapping[str, str],
     weights: Mapping[Path, int],
     total_tokens: int | None = None,
     share: tuple[int, int] = (1, 2),
@@ -114,8 +114,7 @@ def mix_sources(
 ) -> DataFrame:
     """The chosen documents, with the levels, `n_tokens`, and `n_epochs` (copies to take).
 
-    `levels` names the tree's levels from the top, each a string column expression of
-    `docs`.  The budget is `total_tokens`, or else `share` (a fraction) of all tokens.
+    `levels` names the tree's levels from the top, each an SQL expression over `docs`.  The budget is `total_tokens`, or else `share` (a fraction) of all tokens.
     A leaf takes all its rows once per whole epoch that fits in its budget, then the
     longest prefix of the next epoch that fits.
 
@@ -127,7 +126,7 @@ def mix_sources(
     names = list(levels)
     new = [*names, "n_tokens", "n_epochs"]
     kept = [column(c) for c in others(docs, *new)]
-    placed = docs.select(*kept, *(e.cast("string").alias(n) for n, e in levels.items()))
+    placed = docs.select(*kept, *(F.expr(e).cast("string").alias(n) for n, e in levels.items()))
     narrow = _counted(
         placed.select(column(id_col).alias("__id"), column(text_col).alias("__text"), *names), "__text"
     ).drop("__text")

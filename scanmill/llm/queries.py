@@ -196,9 +196,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MIX_CURATED = ["src15", "src16", "src17", "src18", "src19"]
 MIX_LEVELS = {
-    "domain": F.when(F.col("source").isin(MIX_CURATED), "curated").otherwise("web"),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
+    "domain": f"CASE WHEN source IN ({', '.join(map(repr, MIX_CURATED))}) THEN 'curated' ELSE 'web' END",
+    "lang": "lang",
+    "source": "source",
 }
 MIX_WEIGHTS = {
     ("web",): 3,

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+from scanmill.llm.decontaminate import contaminated, find_contamination, remove_spans
+
+ITEM = " ".join(f"w{i}" for i in range(20))
+
+
+def marked(spark, rows, items, **options):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_hit string, start int")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string, extra int")
+    return find_contamination(docs, benchmark, **options)
+
+
+ROWS = [
+    (1, f"before {ITEM.upper()}, after", "a", 1),
+    (2, " ".join(f"w{i}" for i in range(12)), "a", 1),
+    (3, " ".join(f"w{i}" for i in range(3, 16)) + " pad" * 300, "a", 1),
+    (4, None, "a", 1),
+    (5, "", None, None),
+    (6, "Short; ITEM!", "a", 1),
+    (7, "short then item", "a", 1),
+    (None, f"{ITEM} {ITEM}", "a", 1),
+    (9, ITEM.replace(" w19", ""), "a", 1),
+    (9, "nothing", "a", 1),
+]
+ITEMS = [(10, ITEM, 0), (9, "short item", 0), (10, ITEM, 1), (11, None, 0), (None, "nothing", 0), (12, " .,", 0)]
+
+
+def test_hits(spark):
+    for limit in (1 << 20, 100):
+        found = marked(spark, ROWS, ITEMS, max_broadcast_bytes=limit)
+        rows = {(r.doc_id, r.text): r for r in found.withColumn("bad", contaminated()).collect()}
+        got = [(rows[x[0], x[1]].n_words, rows[x[0], x[1]].n_hit, rows[x[0], x[1]].hit_items) for x in ROWS]
+        assert got == [
+            (22, 20, ["10"]),
+            (12, 0, []),
+            (313, 13, ["10"]),
+            (0, 0, []),
+            (0, 0, []),
+            (2, 2, ["9"]),
+            (3, 0, []),
+            (40, 40, ["10"]),
+            (19, 19, ["10"]),
+            (1, 0, []),
+        ]
+        assert [rows[x[0], x[1]].bad for x in ROWS] == [True, False, False, False, False, True, False, True, True, False]
+
+
+def test_spans_are_cut_out(spark):
+    cut = remove_spans(marked(spark, ROWS, ITEMS))
+    assert cut.columns == ["doc_id", "text", "start"]
+    texts = {r.text for r in cut.collect()}
+    assert "before , after" in texts and " " .join(["w0"]) not in texts
+    assert None in texts and "!" in texts
+
+
+def test_empty_tables(spark):
+    assert marked(spark, [], ITEMS).collect() == []
+    assert [r.n_hit for r in marked(spark, ROWS[:1], []).collect()] == [0]
