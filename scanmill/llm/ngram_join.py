@@ -2,15 +2,20 @@
 
 Two sets whose Jaccard similarity reaches the threshold t share at least l of their
 first |x| - ceil(t |x|) + l shingles, in any order of shingles common to all sets.  The
-order puts shingles that are frequent in some task's documents last.  Each set chooses l:
-a longer prefix costs more candidates to count, but demands more shared shingles before
-a pair's full sets are compared.
-
-Equal sets are one node from the start.  Short posting lists are joined with themselves.
-Long lists belong to groups of copies: the sets on them meet in blocks of bounded size,
-where overlaps are matrix products and only links that join up components are returned,
-so that the pairs of a group are never emitted.  Sets are rebuilt from the text of the
-documents that take part, and shuffled once per leader of a short list, or block.
+order puts shingles that are frequent in some task's documents last.
+
+Each set chooses l.  A longer prefix meets more candidates, but demands more matches
+before a pair's full sets are compared.  It may also hold shingles whose lists are long:
+if k of them lie in the prefix for l > k, then any partner shares l - k shingles on short
+lists, and the long lists need not be looked at.  So short lists are joined with
+themselves and give pairs; sets for which no such l is found, which are those of large
+groups of copies, meet on long lists as well.
+
+Equal sets are one node from the start.  Sets that meet on long lists are compared in
+blocks of bounded size, where overlaps are matrix products and only links that join up
+components are returned, so that the pairs of a group are never emitted.  Sets are
+rebuilt from the text of the documents that take part, and shuffled once per leader of
+pairs, or block.
 """
 
 from __future__ import annotations
@@ -28,9 +33,8 @@ from scanmill.llm.graphs import components
 from scanmill.llm.textscan import LOWER, NOT_SPACE, Block, blocks, windows, words_of
 from scanmill.runtime import written
 
-MAX_MATCHES = 4  # the largest l
 VERIFY_COST = 50  # comparing two full sets, in units of one posting met
-SHORT_LIST = 12
+SHORT_LIST = 16
 BLOCK_SHINGLES = 1 << 20
 BLOCK_SETS = 2000
 ORDER_TABLE = 1 << 19
@@ -159,6 +163,11 @@ def _least_overlap(size: int, threshold: tuple[int, int]) -> int:
     return -(-threshold[0] * size // threshold[1])
 
 
+def _most_matches(size: int, threshold: tuple[int, int]) -> int:
+    """The largest l whose prefix is looked at."""
+    return min(4 + size // 40, _least_overlap(size, threshold))
+
+
 def _postings(docs: DataFrame, words: int, threshold: tuple[int, int], order) -> DataFrame:
     """(shingle, node, size, pos): the longest prefix that a set may choose.
 
@@ -175,7 +184,7 @@ def _postings(docs: DataFrame, words: int, threshold: tuple[int, int], order) ->
                     continue
                 seen.add(node)
                 size = len(shingles)
-                count = min(size, size - _least_overlap(size, threshold) + MAX_MATCHES)
+                count = size - _least_overlap(size, threshold) + _most_matches(size, threshold)
                 parts.append(order.value.first(shingles, count))
                 nodes.append(node)
                 sizes.append(size)
@@ -197,11 +206,35 @@ def _postings(docs: DataFrame, words: int, threshold: tuple[int, int], order) ->
     return docs.mapInArrow(run, "shingle bigint, node binary, size bigint, pos int")
 
 
+def _choice(
+    size: int, pos: np.ndarray, df: np.ndarray, threshold: tuple[int, int], short_list: int
+) -> tuple[int, int | None, bool]:
+    """(prefix length, matches on short lists to demand, bound) for one set.
+
+    `pos` and `df` are of its postings with a partner, in order.  A set is bound if no l
+    leaves it a match on short lists; it then takes the longest prefix.
+    """
+    base = size - _least_overlap(size, threshold)
+    # A partner may be smaller by the threshold, and has to have as long a prefix.
+    top = _most_matches(_least_overlap(size, threshold), threshold)
+    l = np.arange(1, top + 1)
+    upto = np.searchsorted(pos, base + l)
+    long = df > short_list
+    need = l - np.concatenate([[0], np.cumsum(long)])[upto]
+    met = np.concatenate([[0], np.cumsum(np.where(long, 0, df - 1))])[upto]
+    free = np.flatnonzero(need >= 1)
+    if len(free) == 0:
+        return base + _most_matches(size, threshold), None, True
+    cost = met[free] * (1 + VERIFY_COST / need[free])
+    best = free[np.argmin(cost)]
+    return int(base + l[best]), int(need[best]), False
+
+
 def _chosen_prefixes(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(shingle, node, size, matches, df): postings inside each set's chosen prefix.
+    """(shingle, node, size, pos, df, need, bound): postings inside each set's chosen prefix.
 
-    For l = 1 .. MAX_MATCHES, the postings met cost one unit each, and one in l of them
-    may stand for a pair that reaches l matches and has to be compared.
+    For a given l, each short posting met costs one unit, and one in as many as have to
+    match may stand for a pair that has to be compared.
     """
     shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
     repeated = written(
@@ -209,40 +242,40 @@ def _chosen_prefixes(postings: DataFrame, threshold: tuple[int, int]) -> DataFra
     )
     lists = repeated.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     listed = written(repeated.join(lists, "shingle"), "lists")
-    num, den = threshold
-    least = F.expr(f"({num} * size + {den - 1}) div {den}")
-    base = F.col("size") - least  # positions before base + l are the prefix for l
-    met = [
-        F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1).otherwise(0)).alias(f"met{l}")
-        for l in range(1, MAX_MATCHES + 1)
-    ]
-    costs = listed.groupBy("node", "size").agg(*met)
-    options = [
-        F.when(least >= l, F.struct((F.col(f"met{l}") * (1 + VERIFY_COST / l)).alias("cost"), F.lit(l).alias("l")))
-        for l in range(1, MAX_MATCHES + 1)
-    ]
-    chosen = costs.select("node", F.least(*options)["l"].alias("matches"))
-    return written(
-        listed.join(chosen, "node")
-        .filter(F.col("pos") < base + F.col("matches"))
-        .select("shingle", "node", "size", "matches", "df"),
-        "prefixes",
+    by_node = listed.groupBy("node", "size").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("list")
     )
+    short_list = SHORT_LIST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for size, own in zip(batch.column(1).to_pylist(), batch.column(2)):
+                pos, df = (own.values.field(f).to_numpy() for f in ("pos", "df"))
+                found.append(_choice(size, pos, df, threshold, short_list))
+            length, need, bound = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(length, pa.int64()), pa.array(need, pa.int64()), pa.array(bound, pa.bool_())],
+                names=["node", "length", "need", "bound"],
+            )
+
+    chosen = by_node.mapInArrow(run, "node binary, length bigint, need bigint, bound boolean")
+    return written(listed.join(chosen, "node").filter("pos < length").drop("length"), "prefixes")
 
 
 def _short_list_groups(prefixes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(node, g, left, right): pairs with enough shared shingles, grouped by their first node."""
     num, den = threshold
     short = prefixes.filter(F.col("df") <= SHORT_LIST)
-    a = short.select("shingle", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("matches").alias("ma"))
-    b = short.select("shingle", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("matches").alias("mb"))
+    a = short.select("shingle", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("need").alias("na"))
+    b = short.select("shingle", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("need").alias("nb"))
     similar = (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)
     pairs = (
         a.join(b, "shingle")
         .filter((F.col("a") < F.col("b")) & similar)
         .groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.min(F.least("ma", "mb")).alias("matches"))
-        .filter("n >= matches")
+        .agg(F.count("*").alias("n"), F.first(F.least("na", "nb")).alias("need"))
+        .filter("n >= coalesce(need, 1)")
     )
     pairs = written(pairs.select("a", "b", F.xxhash64(F.lit("pair"), "a").alias("g")), "pairs")
     yes, no = F.lit(True), F.lit(False)
@@ -250,9 +283,14 @@ def _short_list_groups(prefixes: DataFrame, threshold: tuple[int, int]) -> DataF
     return leaders.union(pairs.select("b", "g", no, yes))
 
 
-def _clusters(prefixes: DataFrame) -> DataFrame:
-    """(node, size, cluster): sets that meet on long lists, directly or through others."""
-    long = prefixes.filter(F.col("df") > SHORT_LIST)
+def _clusters(prefixes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(node, size, cluster): bound sets that meet on long lists, directly or through others.
+
+    Two of them that are linked share a shingle in their prefixes for l = 1.
+    """
+    num, den = threshold
+    first = F.col("pos") <= F.col("size") - F.expr(f"({num} * size + {den - 1}) div {den}")
+    long = prefixes.filter((F.col("df") > SHORT_LIST) & F.col("bound") & first)
     heads = long.groupBy("shingle").agg(F.min("node").alias("b"))
     stars = long.join(heads, "shingle").select(F.col("node").alias("a"), "b")
     found = components(stars)
@@ -481,7 +519,7 @@ def near_duplicates(
     links = written(
         _verified(used, nodes, _short_list_groups(prefixes, threshold), words, threshold), "links"
     )
-    more = _cluster_links(used, nodes, _clusters(prefixes), words, threshold)
+    more = _cluster_links(used, nodes, _clusters(prefixes, threshold), words, threshold)
     links = links if more is None else links.union(more)
     labels = components(links).join(nodes, "node")
     least = labels.groupBy("root").agg(F.min("doc").alias("component"))
