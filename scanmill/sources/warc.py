@@ -1,7 +1,8 @@
 """Web-archive (WARC) scan.
 
 Spark lists the files and packs them into tasks by size.  Each task streams its
-files record by record; no file is ever held whole.
+files record by record; no file is ever held whole.  Records that cannot be read come
+out as well, without content and with the kind of their damage.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,7 +25,7 @@ VERSIONS = ("1.0", "0.18")
 RECORD_SCHEMA = (
     "path string, record_no bigint, headers map<string,string>, warc_type string, "
     "warc_date string, record_id string, content_type string, content_length bigint, "
-    "content binary"
+    "content binary, damage string"
 )
 _ARROW_SCHEMA = pa.schema(
     [
@@ -36,11 +38,16 @@ _ARROW_SCHEMA = pa.schema(
         ("content_type", pa.string()),
         ("content_length", pa.int64()),
         ("content", pa.binary()),
+        ("damage", pa.string()),
     ]
 )
 _BATCH_BYTES = 16 << 20
 _BATCH_RECORDS = 1000
 _READ_BYTES = 8 << 20
+_LINE_BYTES = 1 << 20
+_MAX_BODY = (1 << 31) - 1  # what one binary value can hold
+
+NO_LENGTH, OVERSIZED, CUT_OFF = "no usable length", "oversized", "cut off"
 
 
 def _header_block(stream) -> dict[str, str]:
@@ -56,32 +63,59 @@ def _header_block(stream) -> dict[str, str]:
 
 
 def _body_length(headers: dict[str, str]) -> int | None:
-    """A usable length: not negative, and what one binary value can hold."""
+    """A usable length: a number that is not negative."""
     for key, value in headers.items():
         if key.lower() == "content-length":
-            length = int(value) if value.isascii() and value.isdigit() else -1
-            return length if 0 <= length < 1 << 31 else None
+            return int(value) if value.isascii() and value.isdigit() else None
     return None
 
 
+class _Source:
+    """A stream that ends where its compressed data break off, and remembers that."""
+
+    def __init__(self, stream) -> None:
+        self._stream = stream
+        self.cut = False
+
+    def _until_cut(self, read: Callable[[int], bytes], size: int) -> bytes:
+        try:
+            return read(size)
+        except EOFError:
+            self.cut = True
+            return b""
+
+    def read(self, size: int) -> bytes:
+        return self._until_cut(self._stream.read, size)
+
+    def readline(self) -> bytes:
+        return self._until_cut(self._stream.readline, _LINE_BYTES)
+
+
 def records_of(stream, version: str, with_content: bool = True) -> Iterator[tuple]:
-    """(headers, length, body) of each record in an open, decompressed stream.
+    """(headers, length, body, damage) of each record in an open, decompressed stream.
 
-    A record without a usable length is skipped: the scan goes on to the next
-    version line.  A body cut off by the end of the file ends the scan.
+    `damage` is null for a whole record; others have no body.  After a record without a
+    usable length, or with one beyond what a value can hold, the scan goes on to the next
+    version line.  A record that the end of the file cuts off is the last one.  A
+    compressed file that breaks off between records ends with a record without headers.
     """
     mark = f"WARC/{version}".encode()
-    for line in iter(stream.readline, b""):
+    source = _Source(stream)
+    for line in iter(source.readline, b""):
         if not line.startswith(mark):
             continue
-        headers = _header_block(stream)
+        headers = _header_block(source)
         length = _body_length(headers)
-        if length is None:
+        if length is None or length > _MAX_BODY:
+            yield headers, length, None, NO_LENGTH if length is None else OVERSIZED
             continue
-        body = _take(stream, length, keep=with_content)
+        body = _take(source, length, keep=with_content)
         if body is None:
+            yield headers, length, None, CUT_OFF
             return
-        yield headers, length, body if with_content else None
+        yield headers, length, body if with_content else None, None
+    if source.cut:
+        yield {}, None, None, CUT_OFF
 
 
 def _take(stream, length: int, keep: bool) -> bytes | None:
@@ -90,45 +124,63 @@ def _take(stream, length: int, keep: bool) -> bytes | None:
     while length:
         piece = stream.read(min(length, _READ_BYTES))
         if not piece:
-            return None
+            return None  # the end, before the body's
         length -= len(piece)
         if keep:
             pieces.append(piece)
     return pieces[0] if len(pieces) == 1 else b"".join(pieces)
 
 
-def _open(path: str):
-    """Streamed read from any file system Arrow knows; codec chosen by extension."""
-    fs, inner = pafs.FileSystem.from_uri(path)
-    # The gzip and bz2 readers hand out all they have before they report a cut file.
-    for extension, codec in ((".gz", gzip.open), (".bz2", bz2.BZ2File)):
-        if inner.endswith(extension):
-            raw = fs.open_input_stream(inner, compression=None)
-            return codec(io.BufferedReader(raw, 1 << 20))
-    return io.BufferedReader(fs.open_input_stream(inner, compression="detect"), 1 << 20)
+def split_path(path: str) -> tuple[str, str, str]:
+    """(scheme, authority, path) of a path as Spark lists it: nothing in it is encoded."""
+    scheme, authority, inner = re.fullmatch(r"(?:([A-Za-z][\w+.-]*):)?(?://([^/]*))?(.*)", path, re.DOTALL).groups()
+    return (scheme or "file").lower(), authority or "", inner
 
 
-def _until_cut(found: Iterator[tuple]) -> Iterator[tuple]:
-    """Records up to the point where a compressed file breaks off.
+def _azure(authority: str):
+    container, _, host = authority.partition("@")
+    return pafs.AzureFileSystem(account_name=host.split(".")[0]), container
 
-    Like a plain file that is cut, it keeps its whole records.  Any other read error
-    fails the task, and Spark tries again.
-    """
-    try:
-        yield from found
-    except EOFError:
-        return
+
+# Arrow's file system for the schemes of Hadoop's, and where an object's path begins there.
+_FILE_SYSTEMS: dict[str, Callable[[str], tuple[pafs.FileSystem, str]]] = {
+    "file": lambda _: (pafs.LocalFileSystem(), ""),
+    "dbfs": lambda _: (pafs.LocalFileSystem(), "/dbfs"),
+    "hdfs": lambda at: (pafs.FileSystem.from_uri(f"hdfs://{at}/")[0], ""),
+    "viewfs": lambda at: (pafs.FileSystem.from_uri(f"viewfs://{at}/")[0], ""),
+    **dict.fromkeys(("s3", "s3a", "s3n"), lambda at: (pafs.S3FileSystem(), at)),
+    "gs": lambda at: (pafs.GcsFileSystem(), at),
+    **dict.fromkeys(("abfs", "abfss", "wasb", "wasbs"), _azure),
+}
+
+
+def _open(path: str, content: bytes | None = None):
+    """Streamed read of a file, or of its given content; codec chosen by extension."""
+    if content is None:
+        scheme, authority, inner = split_path(path)
+        fs, base = _FILE_SYSTEMS[scheme](authority)
+        raw = fs.open_input_stream(base + inner, compression=None)
+    else:
+        raw = pa.BufferReader(content)
+    # These readers hand out all they have before they report a cut file.
+    for extension, codec in ((".gz", gzip.open), (".bz2", bz2.BZ2File)):
+        if path.endswith(extension):
+            return codec(io.BufferedReader(raw, 1 << 20))
+    codec = next((c for e, c in ((".zst", "zstd"), (".lz4", "lz4")) if path.endswith(e)), None)
+    return io.BufferedReader(pa.CompressedInputStream(raw, codec) if codec else raw, 1 << 20)
 
 
-def _scan(paths: Iterable[str], version: str, with_content: bool) -> Iterator[pa.RecordBatch]:
+def _scan(
+    files: Iterable[tuple[str, bytes | None]], version: str, with_content: bool
+) -> Iterator[pa.RecordBatch]:
     """Arrow batches of up to 16 MB; a larger record is a batch of its own."""
     rows: list[tuple] = []
     size = 0
-    for path in paths:
-        with _open(path) as stream:
-            found = _until_cut(records_of(stream, version, with_content))
-            for number, (headers, length, body) in enumerate(found, start=1):
-                bytes_ = length if with_content else 0
+    for path, content in files:
+        with _open(path, content) as stream:
+            found = records_of(stream, version, with_content)
+            for number, (headers, length, body, damage) in enumerate(found, start=1):
+                bytes_ = len(body or b"")
                 if rows and (size + bytes_ > _BATCH_BYTES or len(rows) >= _BATCH_RECORDS):
                     yield _batch(rows)
                     rows, size = [], 0
@@ -143,6 +195,7 @@ def _scan(paths: Iterable[str], version: str, with_content: bool) -> Iterator[pa
                         headers.get("Content-Type"),
                         length,
                         body,
+                        damage,
                     )
                 )
                 size += bytes_
@@ -162,21 +215,38 @@ def read_warc(
     paths: str | list[str],
     version: str = "1.0",
     with_content: bool = True,
+    whole_files: bool = False,
 ) -> DataFrame:
     """Records of WARC files, with file path and 1-based record number.
 
     `paths` takes globs.  Compressed files cannot be split, so a file is the unit
-    of parallelism, as Spark's size-based packing of whole files decides.
+    of parallelism, as Spark's size-based packing of whole files decides.  `damage` says
+    why a record has no content; it is null for whole records.
+
+    Files are streamed through Arrow's file systems.  A store that only Spark can open
+    is refused here, before any task starts; `whole_files` lets Spark read each file
+    (up to 2 GiB) as one value.
     """
     if version not in VERSIONS:
         raise ValueError(f"unknown WARC version {version!r}, expected one of {VERSIONS}")
-    files = spark.read.format("binaryFile").load(paths).select("path")
+    files = spark.read.format("binaryFile").load(paths)
+    if not whole_files:
+        scheme = F.regexp_extract("path", r"^([A-Za-z][\w+.-]*):", 1)
+        schemes = {r[0].lower() or "file" for r in files.select(scheme).distinct().collect()}
+        if unknown := sorted(schemes - set(_FILE_SYSTEMS)):
+            raise ValueError(f"no streamed reader for {unknown}; read these files with whole_files=True")
+    listed = files.select("path", "content") if whole_files else files.select("path")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = (p for b in batches for p in b.column(0).to_pylist())
-        return _scan(listed, version, with_content)
+        def opened() -> Iterator[tuple[str, bytes | None]]:
+            for batch in batches:
+                contents = batch.column(1) if whole_files else [None] * batch.num_rows
+                for path, content in zip(batch.column(0), contents):
+                    yield path.as_py(), content.as_buffer() if whole_files else None
+
+        return _scan(opened(), version, with_content)
 
-    return files.mapInArrow(scan, RECORD_SCHEMA)
+    return listed.mapInArrow(scan, RECORD_SCHEMA)
 
 
 def warc_docid(headers: str = "headers"):
@@ -184,7 +254,10 @@ def warc_docid(headers: str = "headers"):
 
 
 def warc_documents(records: DataFrame, version: str = "1.0") -> DataFrame:
-    """(docid, content, path, record_no): the page of each record, headers removed."""
+    """(docid, content, path, record_no): the page of each record, headers removed.
+
+    Damaged records have a null content, and so the status `error`.
+    """
     page = strip_http_headers("_body", version)
     return records.select(
         "path", "record_no", warc_docid().alias("docid"), decode_utf8("content").alias("_body")

@@ -6,10 +6,19 @@ import io
 
 import pytest
 
-from scanmill.operators.documents import count_records
+from scanmill.operators.documents import corpus_health, count_records
 from scanmill.operators.statistics import compute_term_statistics
 from scanmill.sources.tables import read_docid_list
-from scanmill.sources.warc import read_warc, records_of, warc_docid, warc_documents
+from scanmill.sources.warc import (
+    CUT_OFF,
+    NO_LENGTH,
+    OVERSIZED,
+    read_warc,
+    records_of,
+    split_path,
+    warc_docid,
+    warc_documents,
+)
 
 
 def record(version, body, *headers, length=None):
@@ -73,23 +82,31 @@ def test_other_version_is_not_a_record(spark, folder):
 
 
 @pytest.mark.parametrize("length", ["-5", "many", "1.5", ""])
-def test_bad_length_skips_one_record(spark, folder, length):
+def test_bad_length_costs_one_record_its_content(spark, folder, length):
     path = folder("d.warc.gz", page("t", "a"), page("<p>x", "bad", length=length), page("t", "b"))
-    assert [r["headers"]["WARC-TREC-ID"] for r in collected(read_warc(spark, path))] == ["a", "b"]
+    rows = collected(read_warc(spark, path))
+    assert [(r["headers"]["WARC-TREC-ID"], r["damage"]) for r in rows] == [
+        ("a", None), ("bad", NO_LENGTH), ("b", None),
+    ]
+    docs = warc_documents(read_warc(spark, path))
+    assert corpus_health(docs).first().asDict() == {"total": 3, "pages": 3, "errors": 1, "too_long": 0}
 
 
-def test_cut_off_file_keeps_whole_records():
+def test_cut_off_file_says_so():
     data = page("one", "a") + page("two", "b")
     for keep in (True, False):
         found = list(records_of(io.BytesIO(data[:-10]), "1.0", keep))
-        assert [h["WARC-TREC-ID"] for h, _, _ in found] == ["a"]
+        assert [(h["WARC-TREC-ID"], d) for h, _, _, d in found] == [("a", None), ("b", CUT_OFF)]
 
 
 def test_cut_off_compressed_file(spark, tmp_path):
-    data = gzip.compress(page("one", "a")) + gzip.compress(page("two" * 500, "b"))
-    (tmp_path / "cut.warc.gz").write_bytes(data[:-30])
+    first, second = gzip.compress(page("one", "a")), gzip.compress(page("two" * 500, "b"))
+    (tmp_path / "cut.warc.gz").write_bytes(first + second[:-30])
     rows = collected(read_warc(spark, str(tmp_path)))
-    assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a"]
+    assert [(r["headers"].get("WARC-TREC-ID"), r["damage"]) for r in rows] == [("a", None), ("b", CUT_OFF)]
+    (tmp_path / "cut.warc.gz").write_bytes(first + second[:12])
+    rows = collected(read_warc(spark, str(tmp_path)))
+    assert [(r["headers"].get("WARC-TREC-ID"), r["damage"]) for r in rows] == [("a", None), (None, CUT_OFF)]
     (tmp_path / "cut.warc.gz").write_bytes(b"not gzip at all")
     with pytest.raises(Exception, match="inflate|gzip|header"):
         read_warc(spark, str(tmp_path)).collect()
@@ -103,9 +120,39 @@ def test_large_records_and_wrong_lengths(spark, folder):
         page("y" * 9_000_000, "b"),
         page("t", "cut", length=1 << 30),
     )
-    rows = collected(read_warc(spark, path).select("path", "record_no", "headers", "content_length"))
-    assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a", "b"]
-    assert rows[0]["content_length"] > 20_000_000
+    for content in (True, False):
+        rows = read_warc(spark, path, with_content=content)
+        rows = collected(rows.select("path", "record_no", "headers", "content_length", "damage"))
+        assert [(r["headers"]["WARC-TREC-ID"], r["damage"]) for r in rows] == [
+            ("a", None), ("huge", OVERSIZED), ("b", None), ("cut", CUT_OFF),
+        ]
+        assert rows[0]["content_length"] > 20_000_000 and rows[1]["content_length"] == 1 << 40
+
+
+@pytest.mark.parametrize("name", ["a b.warc.gz", "a#b.warc.gz", "a%20b.warc.gz", "a[1].warc", "é.warc.bz2"])
+def test_names_that_need_care(spark, tmp_path, name):
+    codec = {"gz": gzip.compress, "bz2": bz2.compress}.get(name.rsplit(".", 1)[1], bytes)
+    (tmp_path / name).write_bytes(codec(page("t", "a")))
+    for whole in (False, True):
+        rows = collected(read_warc(spark, str(tmp_path), whole_files=whole))
+        assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a"]
+
+
+def test_paths_are_split_as_spark_lists_them():
+    assert split_path("file:/a b/c#d%20e") == ("file", "", "/a b/c#d%20e")
+    assert split_path("file:///x") == ("file", "", "/x")
+    assert split_path("/x/y:z") == ("file", "", "/x/y:z")
+    assert split_path("s3a://bucket/k/x.gz") == ("s3a", "bucket", "/k/x.gz")
+    assert split_path("hdfs://h:9000/k") == ("hdfs", "h:9000", "/k")
+    assert split_path("wasbs://c@acc.blob.host/k") == ("wasbs", "c@acc.blob.host", "/k")
+
+
+def test_a_store_that_only_spark_opens(spark, folder, tmp_path):
+    folder("v.warc.gz", page("t", "a"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.tests.link./in", tmp_path.as_uri())
+    rows = collected(read_warc(spark, "viewfs://tests/in", whole_files=True))
+    assert [r["headers"]["WARC-TREC-ID"] for r in rows] == ["a"]
 
 
 def test_counting_and_statistics(spark, folder):
