@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanmill.operators.docno import build_docno_mapping, lookup_docid, lookup_docno
-from scanmill.operators.documents import count_records
+from scanmill.operators.documents import corpus_health, count_records
 from scanmill.operators.statistics import compute_term_statistics
 from scanmill.runtime import scratch_path
 from scanmill.sources.tables import read_docid_list
-from scanmill.sources.warc import read_warc, warc_docid, warc_documents
+from scanmill.sources.warc import CUT_OFF, NO_LENGTH, read_warc, warc_docid, warc_documents
 from suite import sql
 from suite.base import pages, query, table
 
@@ -86,6 +86,41 @@ def _(spark, sf_dir):
     return count_records(records.withColumn("docid", warc_docid()))
 
 
+def _damaged(spark, sf_dir):
+    """An archive of all pages, each seventh without a usable length, and a file that is cut off."""
+    docs = pages(spark, sf_dir)
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-TREC-ID: "), "docid", F.lit("\r\nContent-Length: "))
+    size = F.octet_length("content")
+    seventh = F.when(F.col("docid").cast("bigint") % 7 == 3, F.lit("unknown")).otherwise(size.cast("string"))
+    path = scratch_path(spark, "damaged")
+    for name, length, rows in (
+        ("whole", seventh, docs),
+        ("cut", (size + 100).cast("string"), docs.agg(F.max_by("docid", "content").alias("docid"), F.max("content").alias("content"))),
+    ):
+        record = F.concat(head, length, F.lit("\r\n\r\n"), "content", F.lit("\r\n"))
+        writer = rows.select(record.alias("value")).write.option("lineSep", "\r\n")
+        writer.option("compression", "gzip").text(f"{path}/{name}")
+    return f"{path}/*/*.gz"
+
+
+@query(
+    "warc_damaged",
+    "S1 F5 A10 E1",
+    "SELECT count(*) + 1 AS total, count(*) + 1 AS pages, "
+    "count(*) FILTER (page_id % 7 = 3) + 1 AS errors, CAST(0 AS BIGINT) AS too_long, "
+    "count(*) FILTER (page_id % 7 = 3) AS no_length, CAST(1 AS BIGINT) AS cut_files FROM pages",
+)
+def _(spark, sf_dir):
+    path = _damaged(spark, sf_dir)
+    health = corpus_health(warc_documents(read_warc(spark, path)))
+    damage = read_warc(spark, path, with_content=False).agg(
+        F.count_if(F.col("damage") == NO_LENGTH).alias("no_length"),
+        F.count_distinct(F.when(F.col("damage") == CUT_OFF, F.col("path"))).alias("cut_files"),
+    )
+    counted = damage.first()
+    return health.select("*", *(F.lit(counted[n]).cast("bigint").alias(n) for n in ("no_length", "cut_files")))
+
+
 @query(
     "warc_term_statistics",
     "E2 S1",
