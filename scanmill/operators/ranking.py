@@ -226,20 +226,25 @@ def matching_pairs(
 
 
 def candidate_terms(
-    vectors: DataFrame, query_terms: DataFrame, row_key: list[str] | None = None, small: bool | None = None
+    run: DataFrame, vectors: DataFrame, query_terms: DataFrame, small: bool | None = None
 ) -> DataFrame:
-    """(qid, docid, term_id, tf): all query terms of each candidate document, tf 0 if absent.
+    """(qid, docid, rank, term_id, tf): all words of the query for each row of a run, tf 0 if absent.
 
-    The rows behind a likelihood score, for inspection; the scores do not need them.
+    Explains the scores of a ranked run: only the documents in it are looked at, and the
+    result has its rows times the words of their queries.  Of vectors that share a docid,
+    the largest tf counts.
     """
+    ranked = run.select("qid", "docid", "rank")
+    wanted = ranked.select("docid").distinct()
+    chosen = vectors.join(Q.bounded(wanted, None), "docid", "left_semi")
+    entries, _ = postings(chosen, ["docid"])
+    tfs = entries.groupBy("docid", "term_id").agg(F.max("tf").alias("tf"))
     words = Q.bounded(query_terms.select("qid", "term_id"), small)
-    entries, document = postings(vectors, row_key)
-    found = entries.join(words, "term_id").groupBy(*document, "qid").agg(
-        F.map_from_entries(F.collect_list(F.struct("term_id", "tf"))).alias("tfs")
+    return (
+        ranked.join(words, "qid")
+        .join(tfs, ["docid", "term_id"], "left")
+        .select("qid", "docid", "rank", "term_id", F.coalesce("tf", F.lit(0)).alias("tf"))
     )
-    rows = found.join(words, "qid")
-    tf = F.coalesce(F.try_element_at("tfs", F.col("term_id")), F.lit(0))
-    return rows.select("qid", "docid", "term_id", tf.alias("tf"))
 
 
 def lm_topk(

@@ -87,7 +87,8 @@ def doc_vectors(
     terms = sources.read_dictionary(spark, dictionary_path)
     pages = warc_pages(spark, warc, version)
     vectors = build_doc_vectors(pages, terms, analyzer, row_key=_WARC_KEY)
-    sinks.write_doc_vectors(to_unique_vectors(vectors) if unique else vectors, output, partitions)
+    buckets = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sinks.write_doc_vectors(to_unique_vectors(vectors) if unique else vectors, output, buckets)
 
 
 def decoded_vectors(spark: SparkSession, vectors: str, output: str, dictionary_path: str) -> None:

@@ -44,10 +44,46 @@ def written(
     if buckets is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    table = f"{name}_{uuid.uuid4().hex}"
-    rows = df.repartition(buckets, by).write.option("path", path)
-    rows.bucketBy(buckets, by).sortBy(by).saveAsTable(table)
-    return spark.table(table)
+    write_buckets(df, path, buckets, by)
+    return read_buckets(spark, path, df.schema.toDDL(), by)
+
+
+def _quoted(path: str) -> str:
+    return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def write_buckets(df: DataFrame, path: str, buckets: int, by: str = "docid") -> None:
+    """Rows hashed by a column into `buckets` sorted files, in a folder named by their number.
+
+    What the path held before is replaced.  The table that Spark needs for this is dropped
+    from the catalog; the files stay.
+    """
+    spark = df.sparkSession
+    df.limit(0).write.mode("overwrite").parquet(path)
+    table = f"buckets_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, by).write.option("path", f"{path.rstrip('/')}/buckets={buckets}")
+    writer.bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")
+
+
+def read_buckets(spark: SparkSession, path: str, ddl: str, by: str = "docid") -> DataFrame:
+    """A table, with its bucket layout declared if `write_buckets` wrote it.
+
+    The declaration leaves the catalog at once; the frame keeps it.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    counts = [r[0] for r in found.select("buckets").distinct().collect()] if "buckets" in found.columns else []
+    counts = [n for n in counts if n is not None]
+    if len(counts) != 1:
+        return spark.read.schema(ddl).parquet(path)
+    name = f"buckets_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+        f"INTO {counts[0]} BUCKETS LOCATION {_quoted(f'{path.rstrip("/")}/buckets={counts[0]}')}"
+    )
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def keyed(df: DataFrame, row_key: list[str] | None) -> tuple[DataFrame, list[str]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from scanmill.runtime import write_buckets
+
 
 def write_term_statistics(stats: DataFrame, path: str) -> None:
     stats.select("term", "df", "cf").write.mode("overwrite").parquet(path)
@@ -14,20 +16,12 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(path)
 
 
-def write_doc_vectors(
-    vectors: DataFrame, path: str, partitions: int | None = None, table: str | None = None
-) -> None:
-    """Vectors as they come, or compacted into `partitions` even parts.
+def write_doc_vectors(vectors: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Vectors as they come, or hashed by docid into `partitions` sorted files.
 
-    With `table`, the parts are buckets by docid of that catalog table, so that
-    later grouping and joins on docid need no exchange; ids should be unique then.
+    The files are buckets: later grouping by docid, and ranking, need no exchange.
     """
     if partitions is None:
         vectors.write.mode("overwrite").parquet(path)
-    elif table is None:
-        parts = vectors.repartition(partitions).sortWithinPartitions("docid")
-        parts.write.mode("overwrite").parquet(path)
     else:
-        parts = vectors.repartition(partitions, "docid")
-        writer = parts.write.mode("overwrite").option("path", path)
-        writer.bucketBy(partitions, "docid").sortBy("docid").saveAsTable(table)
+        write_buckets(vectors, path, partitions)

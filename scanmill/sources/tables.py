@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanmill.runtime import read_buckets
+
 TERM_STATISTICS = "term string, df bigint, cf bigint"
 DICTIONARY = "term_id int, term string, df bigint, cf bigint"
 FLAT_VECTORS = "docid string, term_ids array<int>, doc_len int"
-SPLIT_BYTES = 128 << 20  # what Spark reads in one task by default
 UNIQUE_VECTORS = "docid string, terms array<struct<term_id:int,tf:int>>, doc_len int"
 
 
@@ -22,18 +23,15 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_doc_vectors(spark: SparkSession, *paths: str, unique: bool = False) -> DataFrame:
-    return spark.read.schema(UNIQUE_VECTORS if unique else FLAT_VECTORS).parquet(*paths)
-
-
-def spread_if_small(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread a table over all cores when its files hold less than a split per core.
+    """Vectors of one or many folders (globs allowed).
 
-    Larger tables are read as they are, without a shuffle.
+    One folder that was written in buckets by docid is read as such: grouping by docid,
+    and ranking, then need no exchange of documents.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(2 * cores, key) if size < SPLIT_BYTES * cores else df
+    ddl = UNIQUE_VECTORS if unique else FLAT_VECTORS
+    if len(paths) == 1:
+        return read_buckets(spark, paths[0], ddl)
+    return spark.read.schema(ddl).parquet(*paths)
 
 
 def read_documents(
@@ -48,7 +46,7 @@ def read_documents(
 
 def parse_query_lines(lines: DataFrame) -> DataFrame:
     """`qid:words` lines to (qid, text); lines of any other form are skipped."""
-    qid = F.regexp_extract("value", r"^\s*(\d+)\s*:", 1).try_cast("int")
+    qid = F.regexp_extract("value", r"^\s*(\d+)\s*:", 1).try_cast("bigint")
     text = F.regexp_replace("value", r"^[^:]*:", "")
     return lines.select(qid.alias("qid"), text.alias("text")).filter("qid IS NOT NULL")
 

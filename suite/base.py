@@ -12,7 +12,6 @@ from scanmill import ship
 from scanmill.operators.dictionary import build_dictionary
 from scanmill.operators.statistics import compute_term_statistics
 from scanmill.operators.vectors import build_doc_vectors
-from scanmill.sources.tables import spread_if_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,21 +52,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """(docid, content) of all documents."""
     raw = table(spark, sf_dir, "documents")
-    docs = raw.select(F.col("doc_id").cast("string").alias("docid"), F.col("text").alias("content"), *extra)
-    return spread_if_small(docs, f"{sf_dir}/documents.parquet", "docid")
+    return raw.select(F.col("doc_id").cast("string").alias("docid"), F.col("text").alias("content"), *extra)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(docid, content) of all pages; content is HTML."""
     raw = table(spark, sf_dir, "pages")
-    docs = raw.select(F.col("page_id").cast("string").alias("docid"), F.col("html").alias("content"))
-    return spread_if_small(docs, f"{sf_dir}/pages.parquet", "docid")
+    return raw.select(F.col("page_id").cast("string").alias("docid"), F.col("html").alias("content"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, text): each benchmark item is a query."""
     raw = table(spark, sf_dir, "benchmark")
-    return raw.select(F.col("item_id").cast("int").alias("qid"), "text")
+    return raw.select(F.col("item_id").alias("qid"), "text")
 
 
 def statistics(spark: SparkSession, sf_dir: str, analyzer: str = "standard") -> DataFrame:

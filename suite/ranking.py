@@ -28,7 +28,7 @@ def _inputs(spark, sf_dir, analyzer="standard"):
     return stored, terms, queries(spark, sf_dir)
 
 
-_LINES = """SELECT CAST(item_id AS INTEGER) AS qid, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM benchmark"""
+_LINES = """SELECT item_id AS qid, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM benchmark"""
 
 
 @query("query_file", "S7", _LINES)
@@ -149,13 +149,16 @@ def _(spark, sf_dir):
 @query(
     "run_file",
     "K6",
-    f"SELECT qid || ' Q0 ' || docid || ' ' || rank || ' ' || tag AS line FROM ({_bm25_sql()})",
+    "SELECT qid || ' Q0 ' || docid || ' ' || rank || ' ' || CAST(CAST(score AS DECIMAL(18, 6)) AS VARCHAR) "
+    f"|| ' ' || tag AS line FROM ({_bm25_sql()})",
 )
 def _(spark, sf_dir):
+    """The lines as written, with scores of six digits."""
     path = scratch_path(spark, "run")
     write_run(_bm25(spark, sf_dir), path)
     fields = F.split("value", " ")
-    kept = [F.get(fields, F.lit(i)) for i in (0, 1, 2, 3, 5)]
+    score = F.get(fields, F.lit(4)).cast("double").cast("decimal(18,6)").cast("string")
+    kept = [score if i == 4 else F.get(fields, F.lit(i)) for i in range(6)]
     return spark.read.text(path).select(F.concat_ws(" ", *kept).alias("line"))
 
 
@@ -203,14 +206,17 @@ def _(spark, sf_dir):
     "J6 F8",
     sql.with_(
         *_STD,
-        "cand AS (SELECT DISTINCT qid, docid FROM post JOIN qt USING (term_id))",
-        select="SELECT cand.qid, cand.docid, qt.term_id, CAST(coalesce(tf, 0) AS INTEGER) AS tf FROM cand "
-        "JOIN qt USING (qid) LEFT JOIN post ON post.docid = cand.docid AND post.term_id = qt.term_id",
+        sql.likelihood(1000.0, "df"),
+        f"run AS ({sql.top_k('raw', K, 'lmretrieval')})",
+        select="SELECT run.qid, run.docid, run.rank, qt.term_id, CAST(coalesce(tf, 0) AS INTEGER) AS tf FROM run "
+        "JOIN qt USING (qid) LEFT JOIN post ON post.docid = run.docid AND post.term_id = qt.term_id",
     ),
 )
 def _(spark, sf_dir):
+    """The words behind each row of a ranked run."""
     flat, terms, asked = _inputs(spark, sf_dir)
-    return R.candidate_terms(flat, Q.prepare_queries(asked, terms, "standard"), ["docid"])
+    run = R.lm_topk(flat, terms, asked, K, 1000.0, "standard", row_key=["docid"])
+    return R.candidate_terms(written(run, "run"), flat, Q.prepare_queries(asked, terms, "standard"))
 
 
 @query(

@@ -161,7 +161,7 @@ POSTINGS = """post AS (
 
 def query_terms(analyzer: str = "standard") -> str:
     return (
-        "q AS (SELECT CAST(item_id AS INTEGER) AS qid, text FROM benchmark),\n"
+        "q AS (SELECT item_id AS qid, text FROM benchmark),\n"
         + occurrences("qocc", "q", "qid", analyzer, "text")
         + """,
 qt AS (

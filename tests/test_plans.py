@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from scanmill.operators import queries as Q
 from scanmill.operators.dictionary import build_dictionary
-from scanmill.operators.ranking import bm25_topk, lm_topk
+from scanmill.operators.ranking import bm25_topk, candidate_terms, lm_topk
 from scanmill.operators.statistics import compute_term_statistics, term_frequencies
 from scanmill.operators.vectors import build_doc_vectors, to_unique_vectors
 from scanmill.runtime import written
-from scanmill.sources.tables import read_documents
+from scanmill.sinks.tables import write_doc_vectors
+from scanmill.sources.tables import read_doc_vectors, read_documents
 
 
 def physical(df):
@@ -80,3 +81,31 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert docs.select("docid").first().docid == "2"
     by_column = read_documents(spark, path, "id", "body", segment=F.col("id") > 1)
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,1)]" in physical(by_column)
+
+
+@pytest.mark.parametrize("unique", [False, True])
+@pytest.mark.parametrize("rank", [bm25_topk, lm_topk])
+def test_ranking_stored_vectors_exchanges_no_documents(spark, stored, tmp_path, rank, unique):
+    """Over the folder that the job writes, only what is left of each query is shuffled."""
+    _, terms, vectors, asked = stored
+    twice = vectors.union(vectors.filter("docid = 'd1'"))
+    path = str(tmp_path / "it's vectors")
+    write_doc_vectors(to_unique_vectors(twice) if unique else twice, path, 3)
+    docs = read_doc_vectors(spark, path, unique=unique)
+    assert docs.count() == 10 and not [t for t in spark.catalog.listTables() if t.name.startswith("buckets_")]
+    run = rank(docs, terms, asked, 10)
+    plan = physical(run)
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("hashpartitioning(qid" in e for e in exchanges)
+    assert "docid" not in "".join(exchanges) and "_doc" not in "".join(exchanges)
+    # Records that share an id stay apart.
+    assert run.filter("docid = 'd1'").count() == 2
+    plain = rank(to_unique_vectors(twice) if unique else twice, terms, asked, 10)
+    assert sorted(map(repr, run.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_explaining_a_run_is_bounded_by_the_run(stored):
+    _, terms, vectors, asked = stored
+    run = lm_topk(vectors, terms, asked, 2)
+    rows = candidate_terms(run, vectors, Q.prepare_queries(asked, terms, "porter")).collect()
+    assert len(rows) == 2 * 2 and {r.tf for r in rows} <= {0, 1, 2}
