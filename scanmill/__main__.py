@@ -8,13 +8,24 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scanmill import ship
+from scanmill.functions import scoring
 from scanmill.functions.text import get_analyzer, read_stop_words
 from scanmill.operators.dictionary import lookup_term_ids, lookup_terms
 from scanmill.operators.docno import lookup_docid, lookup_docno
 from scanmill.plans import jobs
+from scanmill.runtime import scratch_cleared
 from scanmill.sources.tables import read_dictionary
 
 
+def _length(text: str) -> float | None:
+    return None if text == "measured" else float(text)
+
+
+def _report(counters: dict[str, int]) -> None:
+    for name, value in counters.items():
+        print(f"{name}\t{value}")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="scanmill", description=__doc__)
     subs = top.add_subparsers(dest="job", required=True)
@@ -47,6 +58,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--queries", required=True)
         p.add_argument("--topk", type=int, default=1000)
         p.add_argument("--unique", action="store_true", help="vectors hold unique terms")
+        p.add_argument("--tie", default="docid", choices=("docid", "docid_desc"))
+        p.add_argument("--tag", help="last field of the run's lines")
 
     count = job("count-records", warc)
     count.add_argument("--input", required=True, action="append")
@@ -66,8 +79,14 @@ def parser() -> argparse.ArgumentParser:
     bm25.add_argument("--documents", type=int, help="documents in the collection, else counted")
     bm25.add_argument("--all-documents", action="store_true", help="rank zero and negative scores too")
     bm25.add_argument("--cache", action="store_true")
+    bm25.add_argument("--k1", type=float, default=scoring.K1)
+    bm25.add_argument("--b", type=float, default=scoring.B)
+    bm25.add_argument(
+        "--average-length", type=_length, default=scoring.AVERAGE_LENGTH, help="a number, or `measured`"
+    )
     lm = job("lm", io, analysis, dictionary, retrieval)
-    lm.add_argument("--smoothing", type=float, default=1000.0)
+    lm.add_argument("--smoothing", type=float, default=scoring.SMOOTHING)
+    lm.add_argument("--background", default="df", choices=("df", "cf"))
     job("docno-mapping", io).add_argument("--max", type=int)
     ids = job("docno-lookup")
     ids.add_argument("--index", required=True)
@@ -90,8 +109,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if job == "count-records":
         jobs.count_warc_records(spark, args.input, args.warc_version).show()
     elif job == "term-statistics":
-        jobs.term_statistics(
-            spark, args.input, args.output, analyzer, args.warc_version, args.df_min, args.df_max
+        _report(
+            jobs.term_statistics(
+                spark, args.input, args.output, analyzer, args.warc_version, args.df_min, args.df_max
+            )
         )
     elif job == "merge-statistics":
         jobs.merged_statistics(spark, args.input, args.output, args.df_min, args.df_max)
@@ -101,34 +122,42 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif job == "lookup":
         terms = read_dictionary(spark, args.dictionary)
         if args.term:
-            lookup_terms(terms, spark.createDataFrame([(t,) for t in args.term], "term string")).show()
+            lookup_terms(terms, spark.createDataFrame([(t,) for t in args.term], "term string")).show(
+                len(args.term), truncate=False
+            )
         if args.term_id:
             wanted = spark.createDataFrame([(i,) for i in args.term_id], "term_id int")
-            lookup_term_ids(terms, wanted).show()
+            lookup_term_ids(terms, wanted).show(len(args.term_id), truncate=False)
     elif job == "doc-vectors":
-        jobs.doc_vectors(
-            spark, args.input, args.output, args.dictionary, analyzer, args.warc_version,
-            args.partitions, args.unique,
+        _report(
+            jobs.doc_vectors(
+                spark, args.input, args.output, args.dictionary, analyzer, args.warc_version,
+                args.partitions, args.unique,
+            )
         )
     elif job == "decode-vectors":
         jobs.decoded_vectors(spark, _first(args.input), args.output, args.dictionary)
     elif job == "plain-text":
-        jobs.plain_text(spark, args.input, args.output, args.warc_version)
+        _report(jobs.plain_text(spark, args.input, args.output, args.warc_version))
     elif job == "term-ids":
-        jobs.term_ids(
-            spark, args.input, args.output, args.dictionary, analyzer, args.warc_version,
-            args.partitions,
+        _report(
+            jobs.term_ids(
+                spark, args.input, args.output, args.dictionary, analyzer, args.warc_version,
+                args.partitions,
+            )
         )
     elif job == "bm25":
         jobs.bm25_run(
             spark, _first(args.input), args.output, args.dictionary, args.queries, args.topk,
             args.unique, args.cache, analyzer=analyzer, n_docs=args.documents,
-            positive_only=not args.all_documents,
+            positive_only=not args.all_documents, k1=args.k1, b=args.b,
+            average_length=args.average_length, tie=args.tie, tag=args.tag or "bm25",
         )
     elif job == "lm":
         jobs.lm_run(
             spark, _first(args.input), args.output, args.dictionary, args.queries, args.topk,
-            args.smoothing, args.unique, analyzer=analyzer,
+            args.smoothing, args.unique, analyzer=analyzer, background=args.background,
+            tie=args.tie, tag=args.tag or "lmretrieval",
         )
     elif job == "docno-mapping":
         jobs.docno_mapping(spark, _first(args.input), args.output, args.max)
@@ -136,17 +165,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         mapping = spark.read.parquet(args.index)
         if args.docid:
             wanted = spark.createDataFrame([(d,) for d in args.docid], "docid string")
-            lookup_docno(mapping, wanted).show(truncate=False)
+            lookup_docno(mapping, wanted).show(len(args.docid), truncate=False)
         if args.docno:
             wanted = spark.createDataFrame([(n,) for n in args.docno], "docno bigint")
-            lookup_docid(mapping, wanted).select("docno", F.col("docid")).show(truncate=False)
+            lookup_docid(mapping, wanted).select("docno", F.col("docid")).show(
+                len(args.docno), truncate=False
+            )
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"scanmill {args.job}").getOrCreate()
     ship(spark)
-    run(spark, args)
+    with scratch_cleared(spark):
+        run(spark, args)
 
 
 if __name__ == "__main__":

@@ -39,7 +39,3 @@ def likelihood(tf: Column, doc_len: Column, background: Column, smoothing: float
     if is_jelinek_mercer(smoothing):
         return F.lit(smoothing) * tf / doc_len + F.lit(1.0 - smoothing) * background
     return (tf + F.lit(smoothing) * background) / (doc_len + F.lit(smoothing))
-
-
-def log_or_minus_inf(p: Column) -> Column:
-    return F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))

@@ -19,6 +19,7 @@ from scanmill.functions import patterns
 from scanmill.functions.stemming import stem_tokens
 from scanmill.functions.words import ENGLISH_STOP_WORDS, FUNCTION_WORDS
 
+# The limits that the results of a collection hang on.
 MAX_DOCUMENT_CHARS = 512 * 1024
 MAX_TERM_CHARS = 64
 MAX_TOKEN_CHARS = 255
@@ -60,13 +61,17 @@ def strip_http_headers(content: Column | str, version: str = "1.0") -> Column:
 
 @F.arrow_udf(T.StringType())
 def _decode_entities(text: pa.Array) -> pa.Array:
-    decoded = [t if t is None or "&" not in t else _html.unescape(t) for t in text.to_pylist()]
+    decoded = [None if t is None else _html.unescape(t) for t in text.to_pylist()]
     return pa.array(decoded, pa.string())
 
 
 def decode_entities(text: Column | str) -> Column:
-    """HTML character references to characters, by the HTML5 rules."""
-    return _decode_entities(_col(text))
+    """HTML character references to characters, by the HTML5 rules.
+
+    Only texts that hold a `&` go through Python.
+    """
+    text = _col(text)
+    return F.coalesce(_decode_entities(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def strip_markup(page: Column | str) -> Column:

@@ -32,7 +32,7 @@ def repeated_terms(stats: DataFrame) -> DataFrame:
 def check_dictionary(dictionary: DataFrame, expected_count: int | None = None) -> None:
     twice = repeated_terms(dictionary).first()
     if twice is not None:
-        raise ValueError(f"more than one record for term: {twice.term}")
+        raise ValueError(f"term {twice.term!r} has {twice.rows} rows")
     if expected_count is not None:
         found = dictionary.count()
         if found != expected_count:

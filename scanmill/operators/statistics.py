@@ -38,23 +38,27 @@ def compute_term_statistics(
     html: bool = True,
     max_chars: int | None = MAX_DOCUMENT_CHARS,
     max_term_chars: int = MAX_TERM_CHARS,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """(term, df, cf) over the usable documents of (docid, content).
 
+    With `by`, one such table for each value of these columns, which are kept.
+
     Each document contributes its tokens followed by its distinct tokens: the first
     part counts towards cf, the second towards df.  So one map-side-combined
     aggregation on `term` does it, and nothing is ever shuffled by document.
     """
     usable = with_status(with_docid(docs), max_chars).filter("status = 'ok'")
-    tokens = usable.select(document_tokens(analyzer, html).alias("tokens"))
+    tokens = usable.select(*by, document_tokens(analyzer, html).alias("tokens"))
     parts = tokens.select(
+        *by,
         F.size("tokens").alias("n"),
         F.posexplode(F.concat("tokens", F.array_distinct("tokens"))).alias("pos", "term"),
     )
     is_token = (F.col("pos") < F.col("n")).cast("bigint")
     stats = (
         parts.filter(F.length("term") <= max_term_chars)
-        .groupBy("term")
+        .groupBy(*by, "term")
         .agg(F.sum(1 - is_token).alias("df"), F.sum(is_token).alias("cf"))
     )
     return in_df_range(stats, df_min, df_max)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from scanmill.functions.text import MAX_DOCUMENT_CHARS, Analyzer
 from scanmill.operators.documents import document_tokens, with_docid, with_status
-from scanmill.runtime import exploded, has_at_most, keyed, together
+from scanmill.runtime import exploded, keyed, together, written
 
-# Dictionaries up to this many terms are broadcast whole (about 100 bytes a term).
-# Of larger ones only that many of the most frequent terms are, and the other
-# tokens meet the rest of the dictionary in a shuffle join.
-BROADCAST_TERMS = 4_000_000
+# Dictionaries up to this many terms, of this many bytes each on average, are broadcast
+# whole.  Of larger ones only as many of the most frequent terms are as fit, and the
+# other tokens meet the rest of the dictionary in a shuffle join.
+BROADCAST_TERMS = 1_000_000
+_TERM_BYTES = 64
+_ENTRY_BYTES = 48  # of a hash table's entry, without the term
 
 # Copies of the rest of the dictionary in that shuffle join.  An unknown token can be
 # as frequent as any (say, one cut off by a df maximum); salted, its rows are spread.
@@ -29,19 +31,33 @@ def _unpacked(packed: Column) -> Column:
     return F.transform(ordered, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
 
 
+def _broadcast_head(dictionary: DataFrame, terms: int) -> int | None:
+    """How many of the most frequent terms may be broadcast; `None` for all of them."""
+    size = F.sum(F.octet_length("term") + _ENTRY_BYTES)
+    rows, held = dictionary.agg(F.count(F.lit(1)), size).first()
+    if rows <= terms and (held or 0) <= terms * _TERM_BYTES:
+        return None
+    return min(terms, int(terms * _TERM_BYTES * rows / held))
+
+
 def _join_bounded(
-    rows: DataFrame, dictionary: DataFrame, key: str, value: str, broadcast_terms: int
+    docs: DataFrame, group: list[str], array: str, dictionary: DataFrame, key: str, value: str, terms: int
 ) -> DataFrame:
-    """Left join of exploded rows with the dictionary; `rows` has `_pos`, null when empty.
+    """(group, _pos, key, value): array elements left-joined with the dictionary.
 
-    Rows whose key is unknown keep a null value, or are dropped unless they are the
-    first of their document, which stands for the document itself.
+    `_pos` is null for an empty array.  Rows whose key is unknown keep a null value, or
+    are dropped unless they are the first of their document, which stands for it.
     """
-    entries = dictionary.select(key, value)
-    if has_at_most(entries, broadcast_terms):
-        return rows.join(F.broadcast(entries), key, "left")
+    docs = docs.select(*group, array)
+    head_terms = _broadcast_head(dictionary, terms)
+    if head_terms is not None:
+        # Two branches read the arrays: written first, they are computed once.
+        docs = written(docs, "arrays")
+    rows = docs.select(*group, F.posexplode_outer(array).alias("_pos", key))
+    if head_terms is None:
+        return rows.join(F.broadcast(dictionary.select(key, value)), key, "left")
     # Ids are dense and ordered by df: this head is bounded, and holds all hot keys.
-    is_head = F.col("term_id") <= broadcast_terms
+    is_head = F.col("term_id") <= head_terms
     head = F.broadcast(dictionary.filter(is_head).select(key, value))
     tail = dictionary.filter(~is_head).select(key, value)
     first = F.col("_pos").isNull() | (F.col("_pos") == 0)
@@ -69,8 +85,7 @@ def encode_tokens(
     """
     rows, key = keyed(docs, row_key)
     group = together(key, keep)
-    placed = rows.select(*group, F.posexplode_outer("tokens").alias("_pos", "term"))
-    coded = _join_bounded(placed, dictionary, "term", "term_id", broadcast_terms)
+    coded = _join_bounded(rows, group, "tokens", dictionary, "term", "term_id", broadcast_terms)
     ids = _unpacked(F.collect_list(_packed("_pos", "term_id")))
     return coded.groupBy(*group).agg(ids.alias("term_ids")).select(*keep, "term_ids")
 
@@ -103,8 +118,7 @@ def decode_doc_vectors(
     """(docid, terms): the terms of each flat vector, in order."""
     rows, key = keyed(vectors, row_key)
     group = together(key, ["docid"])
-    placed = rows.select(*group, F.posexplode_outer("term_ids").alias("_pos", "term_id"))
-    named = _join_bounded(placed, dictionary, "term_id", "term", broadcast_terms)
+    named = _join_bounded(rows, group, "term_ids", dictionary, "term_id", "term", broadcast_terms)
     entry = F.when(F.col("term").isNotNull(), F.struct("_pos", "term"))
     terms = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["term"])
     return named.groupBy(*group).agg(terms.alias("terms")).select("docid", "terms")

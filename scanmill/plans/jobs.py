@@ -6,14 +6,15 @@ writes is what the next one reads, so lineage ends between jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from scanmill.functions.text import Analyzer
 from scanmill.operators import dumps, ranking
 from scanmill.operators.dictionary import build_dictionary, dictionary_summary
 from scanmill.operators.docno import build_docno_mapping
-from scanmill.operators.documents import count_records
+from scanmill.operators.documents import count_records, observe_health
 from scanmill.operators.statistics import (
     DEFAULT_DF_MIN,
     compute_term_statistics,
@@ -33,6 +34,12 @@ def warc_pages(spark: SparkSession, warc: str | list[str], version: str = "1.0")
     return warc_documents(read_warc(spark, warc, version), version)
 
 
+def _observed(spark: SparkSession, warc: str | list[str], version: str) -> tuple[DataFrame, Observation]:
+    """Pages, and their counters once a job has read them."""
+    pages, seen = observe_health(warc_pages(spark, warc, version), "pages")
+    return pages.drop("status"), seen
+
+
 def count_warc_records(spark: SparkSession, warc: str | list[str], version: str = "1.0") -> DataFrame:
     """One row (total, pages); bodies are skipped, not read into Spark."""
     records = read_warc(spark, warc, version, with_content=False)
@@ -47,9 +54,11 @@ def term_statistics(
     version: str = "1.0",
     df_min: int = DEFAULT_DF_MIN,
     df_max: int | None = None,
-) -> None:
-    stats = compute_term_statistics(warc_pages(spark, warc, version), analyzer, df_min, df_max)
-    sinks.write_term_statistics(stats, output)
+) -> dict[str, int]:
+    """Writes statistics; returns the counters of the pages read."""
+    pages, seen = _observed(spark, warc, version)
+    sinks.write_term_statistics(compute_term_statistics(pages, analyzer, df_min, df_max), output)
+    return seen.get
 
 
 def merged_statistics(
@@ -83,12 +92,16 @@ def doc_vectors(
     version: str = "1.0",
     partitions: int | None = None,
     unique: bool = False,
-) -> None:
+) -> dict[str, int]:
+    """Writes vectors in buckets by docid; returns the counters of pages and encoded terms."""
     terms = sources.read_dictionary(spark, dictionary_path)
-    pages = warc_pages(spark, warc, version)
+    pages, seen = _observed(spark, warc, version)
     vectors = build_doc_vectors(pages, terms, analyzer, row_key=_WARC_KEY)
+    encoded = Observation("vectors")
+    vectors = vectors.observe(encoded, F.coalesce(F.sum("doc_len"), F.lit(0)).alias("encoded_terms"))
     buckets = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sinks.write_doc_vectors(to_unique_vectors(vectors) if unique else vectors, output, buckets)
+    return seen.get | encoded.get
 
 
 def decoded_vectors(spark: SparkSession, vectors: str, output: str, dictionary_path: str) -> None:
@@ -99,9 +112,12 @@ def decoded_vectors(spark: SparkSession, vectors: str, output: str, dictionary_p
     lines.write_lines(lines.plain_text_lines(joined), output)
 
 
-def plain_text(spark: SparkSession, warc: str | list[str], output: str, version: str = "1.0") -> None:
-    dump = dumps.dump_plain_text(warc_pages(spark, warc, version))
-    lines.write_lines(lines.plain_text_lines(dump), output)
+def plain_text(
+    spark: SparkSession, warc: str | list[str], output: str, version: str = "1.0"
+) -> dict[str, int]:
+    pages, seen = _observed(spark, warc, version)
+    lines.write_lines(lines.plain_text_lines(dumps.dump_plain_text(pages)), output)
+    return seen.get
 
 
 def term_ids(
@@ -112,11 +128,12 @@ def term_ids(
     analyzer: str | Analyzer = "standard",
     version: str = "1.0",
     partitions: int | None = None,
-) -> None:
+) -> dict[str, int]:
     terms = sources.read_dictionary(spark, dictionary_path)
-    pages = warc_pages(spark, warc, version)
+    pages, seen = _observed(spark, warc, version)
     dump = dumps.dump_term_ids(pages, terms, analyzer, row_key=_WARC_KEY)
     lines.write_lines(lines.term_id_lines(dump), output, partitions)
+    return seen.get
 
 
 def bm25_run(

@@ -5,11 +5,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch tables made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
@@ -27,7 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def written(
@@ -48,6 +57,25 @@ def written(
     return read_buckets(spark, path, df.schema.toDDL(), by)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark writes to; none is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables that are made inside, when the work is done or has failed."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def _quoted(path: str) -> str:
     return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -59,7 +87,7 @@ def write_buckets(df: DataFrame, path: str, buckets: int, by: str = "docid") ->
     from the catalog; the files stay.
     """
     spark = df.sparkSession
-    df.limit(0).write.mode("overwrite").parquet(path)
+    remove(spark, path)
     table = f"buckets_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, by).write.option("path", f"{path.rstrip('/')}/buckets={buckets}")
     writer.bucketBy(buckets, by).sortBy(by).saveAsTable(table)
@@ -69,17 +97,20 @@ def write_buckets(df: DataFrame, path: str, buckets: int, by: str = "docid") ->
 def read_buckets(spark: SparkSession, path: str, ddl: str, by: str = "docid") -> DataFrame:
     """A table, with its bucket layout declared if `write_buckets` wrote it.
 
-    The declaration leaves the catalog at once; the frame keeps it.
+    The declaration leaves the catalog at once; the frame keeps it.  Files of several such
+    tables are read as plain files.
     """
-    found = spark.read.format("binaryFile").load(path)
-    counts = [r[0] for r in found.select("buckets").distinct().collect()] if "buckets" in found.columns else []
-    counts = [n for n in counts if n is not None]
-    if len(counts) != 1:
-        return spark.read.schema(ddl).parquet(path)
+    files = spark.read.option("recursiveFileLookup", "true")
+    folder = F.regexp_extract("path", r"^(.*/buckets=[0-9]+)/[^/]*$", 1)
+    folders = files.format("binaryFile").load(path).select(folder).distinct().limit(2).collect()
+    if len(folders) != 1 or not folders[0][0]:
+        return files.schema(ddl).parquet(path)
+    location = folders[0][0]
+    buckets = location.rpartition("=")[2]
     name = f"buckets_{uuid.uuid4().hex}"
     spark.sql(
         f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-        f"INTO {counts[0]} BUCKETS LOCATION {_quoted(f'{path.rstrip("/")}/buckets={counts[0]}')}"
+        f"INTO {buckets} BUCKETS LOCATION {_quoted(location)}"
     )
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

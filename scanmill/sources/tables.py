@@ -31,7 +31,7 @@ def read_doc_vectors(spark: SparkSession, *paths: str, unique: bool = False) ->
     ddl = UNIQUE_VECTORS if unique else FLAT_VECTORS
     if len(paths) == 1:
         return read_buckets(spark, paths[0], ddl)
-    return spark.read.schema(ddl).parquet(*paths)
+    return spark.read.schema(ddl).option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def read_documents(

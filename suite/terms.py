@@ -12,7 +12,7 @@ from scanmill.operators.statistics import (
     merge_term_statistics,
     term_frequencies,
 )
-from scanmill.runtime import scratch_path
+from scanmill.runtime import scratch_path, written
 from scanmill.sinks.tables import write_dictionary, write_term_statistics
 from scanmill.sources.tables import read_dictionary, read_documents, read_term_statistics
 from suite import sql
@@ -96,12 +96,7 @@ _SEGMENTS = (
 
 def _segments(spark, sf_dir):
     """Statistics of each language's documents, with a threshold of their own."""
-    langs = [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().collect()]
-    docs = documents(spark, sf_dir, "lang")
-    return [
-        compute_term_statistics(docs.filter(F.col("lang") == lang), "standard", 2, html=False)
-        for lang in sorted(langs)
-    ]
+    return compute_term_statistics(documents(spark, sf_dir, "lang"), "standard", 2, html=False, by=("lang",))
 
 
 _MERGED = sql.with_(
@@ -113,14 +108,15 @@ _MERGED = sql.with_(
 
 @query("merge_term_statistics", "E3 A4 U1", _MERGED)
 def _(spark, sf_dir):
-    return merge_term_statistics(*_segments(spark, sf_dir), df_min=4)
+    return merge_term_statistics(_segments(spark, sf_dir).drop("lang"), df_min=4)
 
 
 @query("merge_written_statistics", "S4 K1 U1", _MERGED)
 def _(spark, sf_dir):
     base = scratch_path(spark, "segments")
-    for number, stats in enumerate(_segments(spark, sf_dir)):
-        write_term_statistics(stats, f"{base}/disk{number}")
+    segments = written(_segments(spark, sf_dir), "segments")
+    write_term_statistics(segments.filter("lang < 'e'"), f"{base}/disk0")
+    write_term_statistics(segments.filter("lang >= 'e'"), f"{base}/disk1")
     return merge_term_statistics(read_term_statistics(spark, f"{base}/disk*"), df_min=4)
 
 
@@ -130,10 +126,7 @@ def _(spark, sf_dir):
     sql.with_(*_SEGMENTS, select="SELECT term, count(*) AS rows FROM seg GROUP BY term HAVING count(*) > 1"),
 )
 def _(spark, sf_dir):
-    first, *others = _segments(spark, sf_dir)
-    for segment in others:
-        first = first.unionByName(segment)
-    return D.repeated_terms(first)
+    return D.repeated_terms(_segments(spark, sf_dir))
 
 
 @query(

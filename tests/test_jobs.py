@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+from pathlib import Path
 
 import pytest
 
 from scanmill.__main__ import parser, run
+from scanmill.runtime import scratch_cleared, shared_dir, written
 from tests.test_warc import INFO, page
 
 PAGES = {
@@ -74,6 +76,46 @@ def test_runs(base, lines):
     assert lines("lm-flat")[-1].startswith("2 Q0 cw-2 1 ") and lines("lm-flat")[-1].endswith(" lmretrieval")
 
 
+def test_scratch_tables_go_when_a_job_ends(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with pytest.raises(RuntimeError), scratch_cleared(spark):
+        written(spark.range(3), "left")
+        assert set(folder.iterdir()) - before
+        raise RuntimeError
+    assert set(folder.iterdir()) == before
+
+
+def test_counters(base, capsys):
+    folder, job = base
+    capsys.readouterr()
+    job("term-statistics --input {b}/w/*.gz --output {b}/s/again --df-min 1")
+    counts = dict(line.split("\t") for line in capsys.readouterr().out.splitlines() if "\t" in line)
+    assert counts == {"total": "6", "pages": "4", "errors": "0", "too_long": "0"}
+    job("doc-vectors --input {b}/w/*.gz --output {b}/again --dictionary {b}/dict")
+    counts = dict(line.split("\t") for line in capsys.readouterr().out.splitlines() if "\t" in line)
+    assert counts == {"total": "6", "pages": "4", "errors": "0", "too_long": "0", "encoded_terms": "9"}
+
+
+def test_lookups_and_options_are_not_cut(base, lines, capsys):
+    folder, job = base
+    capsys.readouterr()
+    long = "x" * 40
+    job("lookup --dictionary {b}/dict " + " ".join(f"--term {long}{i}" for i in range(25)))
+    shown = capsys.readouterr().out.replace("|", " ").split()
+    assert all(f"{long}{i}" in shown for i in range(25))
+    job(
+        "bm25 --input {b}/flat --output {b}/run-options --dictionary {b}/dict --queries {b}/queries --topk 5 "
+        "--k1 1.2 --b 0.5 --average-length measured --tie docid_desc --tag mine"
+    )
+    assert lines("run-options") and all(line.endswith(" mine") for line in lines("run-options"))
+    job(
+        "lm --input {b}/flat --output {b}/lm-options --dictionary {b}/dict --queries {b}/queries --topk 5 "
+        "--background cf --tag other"
+    )
+    assert all(line.endswith(" other") for line in lines("lm-options"))
+
+
 def test_reports(base, capsys, tmp_path):
     folder, job = base
     capsys.readouterr()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanmill.operators import queries as Q
+from scanmill.operators import vectors as vectors_module
 from scanmill.operators.dictionary import build_dictionary
 from scanmill.operators.ranking import bm25_topk, candidate_terms, lm_topk
 from scanmill.operators.statistics import compute_term_statistics, term_frequencies
@@ -109,3 +110,12 @@ def test_explaining_a_run_is_bounded_by_the_run(stored):
     run = lm_topk(vectors, terms, asked, 2)
     rows = candidate_terms(run, vectors, Q.prepare_queries(asked, terms, "porter")).collect()
     assert len(rows) == 2 * 2 and {r.tf for r in rows} <= {0, 1, 2}
+
+
+def test_a_large_dictionary_costs_one_analysis(stored, monkeypatch):
+    docs, terms, _, _ = stored
+    kept = []
+    monkeypatch.setattr(vectors_module, "written", lambda df, name: kept.append(physical(df)) or written(df, name))
+    plan = physical(build_doc_vectors(docs, terms, "porter", html=True, broadcast_terms=2))
+    assert len(kept) == 1 and kept[0].count("ArrowEvalPython") == 2 and kept[0].count("Scan parquet") == 1
+    assert "ArrowEvalPython" not in plan

@@ -106,7 +106,11 @@ def test_compacted_files(spark, docs, terms, texts, tmp_path):
     vectors = build_doc_vectors(docs, terms, "standard", html=False, row_key=["docid"])
     path = str(tmp_path / "vectors")
     write_doc_vectors(vectors, path, partitions=3)
-    assert len(list((tmp_path / "vectors").glob("*.parquet"))) == 3
+    assert [p.name for p in (tmp_path / "vectors").iterdir()] == ["buckets=3"]
+    assert len(list((tmp_path / "vectors" / "buckets=3").glob("*.parquet"))) == 3
+    write_doc_vectors(vectors, path + "2", partitions=2)
+    both = read_doc_vectors(spark, path, path + "2")
+    assert both.count() == 2 * len(texts) and both.columns == ["docid", "term_ids", "doc_len"]
     back = read_doc_vectors(spark, path)
     assert {r.docid: r.doc_len for r in back.collect()} == {d: len(ws) for d, ws in texts.items()}
     write_doc_vectors(to_unique_vectors(vectors), path)
