@@ -21,6 +21,8 @@ from scanmill.operators.ranking import bm25_topk, lm_topk
 from scanmill.operators.statistics import compute_term_statistics
 from scanmill.operators.vectors import build_doc_vectors, decode_doc_vectors, to_unique_vectors
 from scanmill.runtime import written
+from scanmill.sources.warc import read_warc, warc_documents
+from suite.archives import page_archive
 from suite.base import DF_MIN, documents, pages, queries
 
 TOP_K = 1000
@@ -75,8 +77,18 @@ def main() -> None:
         lambda: build_doc_vectors(docs, terms, "porter", html=False, row_key=["docid"]),
         buckets,
     )
+    drained(
+        "doc_vectors_large_dictionary",
+        lambda: build_doc_vectors(docs, terms, "porter", html=False, row_key=["docid"], broadcast_terms=10_000),
+    )
     unique = stored("unique_vectors", lambda: to_unique_vectors(flat), buckets)
     drained("decode_vectors", lambda: decode_doc_vectors(flat, terms))
+    drained("decode_large_dictionary", lambda: decode_doc_vectors(flat, terms, broadcast_terms=10_000))
+    archive = page_archive(spark, sf_dir, "1.0")
+    drained(
+        "archive_statistics",
+        lambda: compute_term_statistics(warc_documents(read_warc(spark, archive)), "porter", DF_MIN),
+    )
     drained("plain_text", lambda: dump_plain_text(docs, html=False))
     drained("bm25_flat", lambda: bm25_topk(flat, terms, asked, TOP_K))
     drained("bm25_unique", lambda: bm25_topk(unique, terms, asked, TOP_K))

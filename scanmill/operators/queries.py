@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +17,27 @@ BROADCAST_QUERY_BYTES = 16 << 20
 BROADCAST_QUERY_TERMS = 1_000_000
 
 
+def _text_bytes(queries: DataFrame) -> int:
+    return queries.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def are_small(queries: DataFrame) -> bool:
     """Whether all the query text fits the broadcast bound."""
-    total = queries.agg(F.sum(F.octet_length("text") + 16)).first()[0]
-    return (total or 0) <= BROADCAST_QUERY_BYTES
+    return _text_bytes(queries) <= BROADCAST_QUERY_BYTES
+
+
+def in_groups(queries: DataFrame, rank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rank a query set of any size: cut by query into groups that fit the broadcast bound.
+
+    Each group is one more scan of the collection; postings are never shuffled by term.
+    """
+    size = _text_bytes(queries)
+    if size <= BROADCAST_QUERY_BYTES:
+        return rank(queries)
+    # Groups are made by a hash, so they are planned half as large as they may be.
+    groups = -(-2 * size // BROADCAST_QUERY_BYTES)
+    group = F.pmod(F.xxhash64("qid"), F.lit(groups))
+    return reduce(DataFrame.unionByName, [rank(queries.filter(group == g)) for g in range(groups)])
 
 
 def bounded(df: DataFrame, small: bool | None) -> DataFrame:

@@ -31,17 +31,23 @@ def _rounded(score: Column, digits: int | None) -> Column:
     return F.when(infinite, score).otherwise(F.round(score, digits))
 
 
-def top_k(scores: DataFrame, k: int, tie: str = "docid", tag: str = "run") -> DataFrame:
-    """(qid, docid, rank, score, tag): the k best rows per query, rank from 1."""
+def top_k(
+    scores: DataFrame, k: int, tie: str = "docid", tag: str = "run", deep_beyond: int | None = None
+) -> DataFrame:
+    """(qid, docid, rank, score, tag): the k best rows per query, rank from 1.
+
+    Up to Spark's limit for cutting groups in each task (or `deep_beyond`), one task
+    ranks a query.  For more, the rows that are left are ordered by ranges, and places
+    are counted over all parts, so no task holds a whole query.
+    """
     if tie not in _TIES:
         raise ValueError(f"unknown tie rule {tie!r}, expected one of {_TIES}")
     docid = F.col("docid").asc() if tie == "docid" else F.col("docid").desc()
     best = [F.col("score").desc(), docid]
     spark = scores.sparkSession
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    limit = deep_beyond or int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
-        # Spark cuts groups before the shuffle only up to that k.  Beyond it, first
-        # rank within many small groups, so that no task sorts a whole query.
+        # First cut within many small groups of each query.
         slots = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         slot = F.pmod(F.xxhash64("docid"), F.lit(slots))
         part = Window.partitionBy("qid", "_slot").orderBy(*best)
@@ -51,7 +57,13 @@ def top_k(scores: DataFrame, k: int, tie: str = "docid", tag: str = "run") -> Da
             .filter(F.col("rank") <= k)
             .drop("_slot", "rank")
         )
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*best)))
+        placed = dense_ids(scores.select("qid", "docid", "score"), [F.col("qid").asc(), *best], "_place")
+        first = placed.groupBy("qid").agg(F.min("_place").alias("_first"))
+        place = (F.col("_place") - F.col("_first") + 1).cast("int")
+        ranked = placed.join(first, "qid").withColumn("rank", place)
+    else:
+        order = Window.partitionBy("qid").orderBy(*best)
+        ranked = scores.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select(
         "qid", "docid", "rank", "score", F.lit(tag).alias("tag")
     )
@@ -94,23 +106,27 @@ def bm25_topk(
     digits: int | None = SCORE_DIGITS,
     row_key: list[str] | None = None,
     tag: str = "bm25",
+    deep_beyond: int | None = None,
 ) -> DataFrame:
     """Best k documents per query (qid, text), by BM25 over flat or unique vectors.
 
     `average_length=None` measures it; `n_docs=None` counts the vectors.  With
     `positive_only=False`, documents without any query word score 0 and take part.
     """
-    small = Q.are_small(queries)
-    terms = Q.prepare_queries(queries, dictionary, analyzer, small)
     n = Q.document_count(vectors) if n_docs is None else F.lit(n_docs)
-    scores = bm25_scores(vectors, terms, n, k1, b, average_length, row_key, small)
-    scores = scores.withColumn("score", _rounded(F.col("score"), digits))
-    if positive_only:
-        scores = scores.filter("score > 0")
-    else:
-        scores = written(scores, "scores")
-        scores = scores.unionByName(_zero_scores(scores, vectors, queries, k, tie))
-    return top_k(scores, k, tie, tag)
+
+    def rank(asked: DataFrame) -> DataFrame:
+        terms = Q.prepare_queries(asked, dictionary, analyzer, True)
+        scores = bm25_scores(vectors, terms, n, k1, b, average_length, row_key, True)
+        scores = scores.withColumn("score", _rounded(F.col("score"), digits))
+        if positive_only:
+            scores = scores.filter("score > 0")
+        else:
+            scores = written(scores, "scores")
+            scores = scores.unionByName(_zero_scores(scores, vectors, asked, k, tie))
+        return top_k(scores, k, tie, tag, deep_beyond)
+
+    return Q.in_groups(queries, rank)
 
 
 def _zero_scores(
@@ -264,9 +280,11 @@ def lm_topk(
 
     `smoothing` up to 1 is the Jelinek-Mercer weight, above 1 the Dirichlet prior.
     """
-    small = Q.are_small(queries)
-    terms = Q.prepare_queries(queries, dictionary, analyzer, small)
-    scores = likelihood_scores(
-        vectors, terms, Q.collection_size(dictionary), smoothing, background, row_key, small
-    )
-    return top_k(scores.withColumn("score", _rounded(F.col("score"), digits)), k, tie, tag)
+    size = Q.collection_size(dictionary)
+
+    def rank(asked: DataFrame) -> DataFrame:
+        terms = Q.prepare_queries(asked, dictionary, analyzer, True)
+        scores = likelihood_scores(vectors, terms, size, smoothing, background, row_key, True)
+        return top_k(scores.withColumn("score", _rounded(F.col("score"), digits)), k, tie, tag)
+
+    return Q.in_groups(queries, rank)

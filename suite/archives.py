@@ -14,7 +14,7 @@ from suite import sql
 from suite.base import pages, query, table
 
 
-def _archive(spark, sf_dir, version):
+def page_archive(spark, sf_dir, version):
     """A gzipped archive: for each page a request without an id, and the response."""
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n"), "content")
     head = f"WARC/{version}\r\nWARC-Type: %s\r\n"
@@ -50,12 +50,12 @@ def _responses(records, version):
 
 @query("warc_scan_v10", "S1 P1 P2 D1", _RESPONSE.format(content="substr(html, strpos(html, '<'))"))
 def _(spark, sf_dir):
-    return _responses(read_warc(spark, _archive(spark, sf_dir, "1.0"), "1.0"), "1.0")
+    return _responses(read_warc(spark, page_archive(spark, sf_dir, "1.0"), "1.0"), "1.0")
 
 
 @query("warc_scan_v018", "S2 P3", _RESPONSE.format(content="chr(13) || chr(10) || html"))
 def _(spark, sf_dir):
-    return _responses(read_warc(spark, _archive(spark, sf_dir, "0.18"), "0.18"), "0.18")
+    return _responses(read_warc(spark, page_archive(spark, sf_dir, "0.18"), "0.18"), "0.18")
 
 
 @query(
@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     "CAST(0 AS BIGINT) AS files_with_gaps FROM pages",
 )
 def _(spark, sf_dir):
-    records = read_warc(spark, _archive(spark, sf_dir, "1.0"), with_content=False)
+    records = read_warc(spark, page_archive(spark, sf_dir, "1.0"), with_content=False)
     files = records.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("record_no").alias("distinct"),
@@ -82,7 +82,7 @@ def _(spark, sf_dir):
 
 @query("count_records", "E1 A1", "SELECT 2 * count(*) AS total, count(*) AS pages FROM pages")
 def _(spark, sf_dir):
-    records = read_warc(spark, _archive(spark, sf_dir, "1.0"), with_content=False)
+    records = read_warc(spark, page_archive(spark, sf_dir, "1.0"), with_content=False)
     return count_records(records.withColumn("docid", warc_docid()))
 
 
@@ -132,7 +132,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    records = read_warc(spark, _archive(spark, sf_dir, "1.0"))
+    records = read_warc(spark, page_archive(spark, sf_dir, "1.0"))
     return compute_term_statistics(warc_documents(records), "porter", df_min=3)
 
 

@@ -131,6 +131,12 @@ def _(spark, sf_dir):
     return _bm25(spark, sf_dir, k=1500)
 
 
+@query("bm25_deep_cut", "W5 W6 W7", _bm25_sql(k=100))
+def _(spark, sf_dir):
+    """The way for a large k, with a k that does cut."""
+    return _bm25(spark, sf_dir, k=100, deep_beyond=50)
+
+
 _ALL = """allraw AS (
   SELECT q.qid, vec.docid, coalesce(raw.score, 0.0) AS score
   FROM q CROSS JOIN vec LEFT JOIN raw ON raw.qid = q.qid AND raw.docid = vec.docid

@@ -63,13 +63,24 @@ def test_ranking_is_one_scan_with_early_cuts(stored, rank):
     assert plan.index("Generate explode(terms") > plan.index("BroadcastHashJoin")
 
 
-def test_large_query_sets_are_not_broadcast(stored, monkeypatch):
+@pytest.mark.parametrize("rank", [bm25_topk, lm_topk])
+def test_large_query_sets_are_ranked_in_groups(spark, stored, monkeypatch, rank):
+    _, terms, vectors, asked = stored
+    more = asked.union(spark.createDataFrame([(2, "cherry egg"), (3, "zebra")], asked.schema))
+    whole = rank(vectors, terms, more, 3).collect()
+    monkeypatch.setattr(Q, "BROADCAST_QUERY_BYTES", 40)
+    assert not Q.are_small(more)
+    run = rank(vectors, terms, more, 3)
+    plan = physical(run)
+    assert "hashpartitioning(term_id" not in plan and plan.count("WindowGroupLimit") > 2
+    assert sorted(map(repr, run.collect())) == sorted(map(repr, whole))
+
+
+def test_deep_ranking_sorts_no_whole_query(stored):
     _, terms, vectors, asked = stored
-    monkeypatch.setattr(Q, "BROADCAST_QUERY_BYTES", 1)
-    assert not Q.are_small(asked)
-    run = bm25_topk(vectors, terms, asked, 3)
-    assert "strategy=broadcast" not in run._jdf.queryExecution().analyzed().toString()
-    assert run.count() == 3
+    run = bm25_topk(vectors, terms, asked, 3, deep_beyond=2)
+    assert "row_number" not in physical(run)
+    assert sorted(map(repr, run.collect())) == sorted(map(repr, bm25_topk(vectors, terms, asked, 3).collect()))
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):

@@ -166,7 +166,8 @@ def test_deep_ranking_beyond_the_group_limit(spark):
     got = top_k(rows, 1500)
     best = sorted(((-r.score, r.docid) for r in rows.filter("qid = 1").collect()))[:1500]
     assert [(-s, d) for d, s in result(got)[1]] == best
-    assert "xxhash64" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.filter("qid = 0").agg(F.min("rank"), F.max("rank"), F.count("*")).first()[:] == (1, 1500, 1500)
 
 
 def test_scores_do_not_depend_on_partitioning(spark, wide):
