@@ -61,7 +61,7 @@ def test_dictionary_order_and_lookups(spark, stats):
 
 
 def test_dictionary_checks(spark, stats):
-    with pytest.raises(ValueError, match="more than one record"):
+    with pytest.raises(ValueError, match="has 2 rows"):
         build_dictionary(stats.union(stats.limit(1)))
     with pytest.raises(ValueError, match="expected 4999"):
         build_dictionary(stats, expected_count=4999)
