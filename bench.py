@@ -65,8 +65,10 @@ def main() -> None:
     def drained(name: str, build: Callable[[], DataFrame]) -> None:
         timed(name, lambda: build().write.format("noop").mode("overwrite").save())
 
-    docs = documents(spark, sf_dir)
-    html = pages(spark, sf_dir)
+    # The tables are one file each; a corpus has many.  Dealt over two files a core, untimed.
+    parts = 2 * spark.sparkContext.defaultParallelism
+    docs = written(documents(spark, sf_dir).repartition(parts, "docid"), "documents")
+    html = written(pages(spark, sf_dir).repartition(parts, "docid"), "pages")
     asked = queries(spark, sf_dir)
 
     drained("term_statistics_standard", lambda: compute_term_statistics(docs, "standard", DF_MIN, html=False))
