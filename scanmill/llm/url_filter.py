@@ -59,6 +59,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return _ascii_lower(host), path
 
 
+def _said(url: Column) -> Column:
+    """What the models read: a URL from the host (A-Z lower-cased) to its end, query and fragment too."""
+    at = F.instr(url, "://")
+    rest = F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    return F.concat(_ascii_lower(host), F.substr(rest, F.length(host) + 1))
+
+
 def _matches(rule: Rule) -> Column:
     on_host = (F.col("host") == rule.host) | F.endswith(F.col("host"), F.lit("." + rule.host))
     return on_host & F.startswith(F.col("path"), F.lit(rule.path))
@@ -186,23 +194,26 @@ def filter_urls(
 
     Host and path are those of `url_parts`.  The longest matching rule decides; `rule` is
     null where none matches, and the models decide.  `score` is the mean log-likelihood
-    difference per character of host, path and end mark, of every URL; a URL scoring at
+    difference per character of host, path, query, fragment and end mark, of every URL; a URL scoring at
     least the calibrated threshold is allowed.  Without training URLs all score 0 and are
     allowed.  A null URL, or one without `://`, is judged as an empty text.
 
     Equal URLs are scored once.  Input columns with the names of new ones are replaced.
     """
     kept = others(pages, "host", "path", "rule", "verdict", "score")
-    host, path = url_parts(column(url_col).cast("string"))
-    parted = pages.select(*(column(c) for c in kept), host.alias("host"), path.alias("path"))
-    texts = parted.select("host", "path").distinct()
+    url = column(url_col).cast("string")
+    host, path = url_parts(url)
+    parted = pages.select(
+        *(column(c) for c in kept), host.alias("host"), path.alias("path"), _said(url).alias("__said")
+    )
+    texts = parted.select("host", "path", F.col("__said").alias("said")).distinct()
     texts = texts.select(
         F.monotonically_increasing_id().alias("key"),
         "host",
         "path",
         _first_rule(rules, lambda r: r.text).cast("string").alias("rule"),
         _first_rule(rules, lambda r: r.allow).cast("boolean").alias("accepted"),
-        F.concat("host", "path").alias("said"),
+        "said",
     )
     texts = written(texts, "url-texts")
     positions = written(_positions(texts, order), "url-positions")
@@ -210,13 +221,11 @@ def filter_urls(
     sums = (
         positions.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
     )
-    scored = written(texts.join(sums, "key").drop("key", "said"), "url-scores")
+    scored = written(texts.join(sums, "key").drop("key", "host", "path"), "url-scores")
     cut = _threshold(scored)
     verdict = F.when(F.coalesce("accepted", F.col("score") >= cut), "allow").otherwise("block")
-    judged = scored.select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), "rule", verdict.alias("verdict"), "score"
-    )
-    same = (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path"))
-    return parted.join(judged, same).select(
+    # The text said tells host and path.
+    judged = scored.select(F.col("said").alias("__said"), "rule", verdict.alias("verdict"), "score")
+    return parted.join(judged, "__said").select(
         *(column(c) for c in kept), "host", "path", "rule", "verdict", "score"
     )

@@ -92,3 +92,15 @@ def test_scores_equal_the_definition_and_separate(spark):
 def test_no_rules_and_no_rows(spark):
     assert {r.verdict for r in judged(spark, ["http://a/", None], []).values()} == {"allow"}
     assert judged(spark, []) == {}
+
+
+def test_query_and_fragment_count(spark):
+    good = [f"http://a{i}.org/fr/p?page={i}#top" for i in range(20)]
+    bad = [f"http://b{i}.net/p?redirect=casino{i}" for i in range(20)]
+    unknown = ["http://c.com/p?redirect=casino5", "http://c.com/p?page=5#top", "http://c.com?a=\n/x"]
+    got = judged(spark, good + bad + unknown)
+    score = ratio([(u[7:], True) for u in good] + [(u[7:], False) for u in bad])
+    for i, url in enumerate(good + bad + unknown):
+        assert got[i].score == pytest.approx(score(url[7:]), abs=1e-9)
+    assert got[40].verdict == "block" and got[41].verdict == "allow"
+    assert (got[40].host, got[40].path) == (got[41].host, got[41].path)
