@@ -212,10 +212,16 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
     unpack = zlib.decompressobj(31)
     parts = []
     while at < len(data):
-        chunk = data[at : at + _CHUNK]
+        chunk, before = data[at : at + _CHUNK], unpack.copy()
         try:
             parts.append(unpack.decompress(chunk))
         except zlib.error as error:
+            # A failed call returns nothing: what comes before the failure is read by bytes.
+            for i in range(len(chunk)):
+                try:
+                    parts.append(before.decompress(chunk[i : i + 1]))
+                except zlib.error:
+                    break
             return b"".join(parts), at, str(error)
         at += len(chunk)
         if unpack.eof:
@@ -234,10 +240,29 @@ def _next_member(data: bytes, view: memoryview, at: int) -> int:
     return len(data)
 
 
+def _plain_record(data: bytes, view: memoryview, at: int) -> int:
+    """Where the next plain record after the start of a failed member begins, or the end.
+
+    A record that the member only stores comes out of it unchanged: it is part of the member.
+    """
+    unpack, fed = zlib.decompressobj(31), at
+    found = _next_record(data, at + 1)
+    while found < len(data):
+        end = _parse(data, found)[2]
+        try:
+            unpack.decompress(view[fed:found])
+            if unpack.decompress(view[found:end]) != data[found:end]:
+                return found
+        except zlib.error:
+            return found
+        fed, found = end, _next_record(data, end)
+    return found
+
+
 def salvage(data: bytes) -> Iterator[Found]:
     """Records and gaps of a file, compressed by member or not at all, in file order.
 
-    Bytes of a member that fails are one gap, up to the next good member; whole records
+    Bytes of a member that fails are one gap, up to the next good member or plain record; whole records
     that come out of it before the failure are kept.  Empty members are skipped.
     """
     view = memoryview(data)
@@ -246,7 +271,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         if data[at : at + 3] == _MAGIC:
             inner, end, failed = _inflate(view, at)
             if failed is not None:
-                end = _next_member(data, view, at + 1)
+                end = min(_plain_record(data, view, at), _next_member(data, view, at + 1))
             for found in _records(inner):
                 if found.reason is None:
                     yield Found(at, end, None, found.headers, found.block)

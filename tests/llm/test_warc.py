@@ -102,3 +102,14 @@ def test_empty_table(spark):
     path = scratch_path(spark, "warc-test")
     write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
     assert salvage_archives(spark, path).collect() == []
+
+
+def test_plain_records_after_a_broken_member():
+    first = member(RECORDS[0])
+    for cut in range(30, len(first) - 20, 7):
+        data = first[:cut] + b"\r\n" + b"".join(RECORDS[1:4]) + member(RECORDS[4])
+        assert ids(data) == [1, 2, 3, 4] and gaps(data) == [(0, cut + 2)]
+    stored = bytearray(gzip.compress(b"".join(RECORDS[:3]), compresslevel=0))
+    stored[-6] ^= 0xFF  # the checksum: what the member stores is not read twice
+    assert ids(bytes(stored)) == [0, 1, 2]
+    assert ids(bytes(stored) + b"\n" + b"".join(RECORDS[1:4])) == [0, 1, 2, 1, 2, 3]
