@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scanmill.runtime import written
+
 Columns = dict[str, pa.Array]
 
 
@@ -56,3 +58,36 @@ def with_results(
 def text_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column of a batch; other types of column are refused by Spark earlier."""
     return batch.column(batch.schema.get_field_index(name))
+
+
+# Groups with more than this share of all rows are joined by broadcast: there are fewer of
+# them than its inverse.
+_HOT_SHARE = 1000
+_SMALL_BYTES = 16 << 20
+
+
+def with_group_values(rows: DataFrame, group_col: str, values: DataFrame, count_col: str) -> DataFrame:
+    """Rows with the columns of their group; null groups are equal to each other.
+
+    `values` has one row a group: the group, its number of rows (left out of the result) and
+    the columns to add, which replace those of `rows`.  It is broadcast if it is small.  If
+    not, only the few groups with over a thousandth of all rows are, and the other rows,
+    none of a hot group, meet their values in a shuffle join.
+    """
+    values = written(values, "groups")
+    size = F.coalesce(F.octet_length(column(group_col).cast("string")), F.lit(0)) + 64
+    held, total = values.agg(F.sum(size), F.sum(column(count_col))).first()
+    added = others(values, group_col, count_col)
+    rows = rows.select(*(column(c) for c in others(rows, *added)))
+
+    def joined(left: DataFrame, right: DataFrame, hint: bool) -> DataFrame:
+        right = right.select(column(group_col).alias("__group"), *(column(c) for c in added))
+        right = F.broadcast(right) if hint else right
+        return left.join(right, column(group_col).eqNullSafe(F.col("__group"))).drop("__group")
+
+    if (held or 0) <= _SMALL_BYTES:
+        return joined(rows, values, True)
+    is_hot = column(count_col) > total // _HOT_SHARE
+    hot = values.filter(is_hot).select(column(group_col).alias("__hot"))
+    cold = rows.join(F.broadcast(hot), column(group_col).eqNullSafe(F.col("__hot")), "left_anti")
+    return joined(rows, values.filter(is_hot), True).unionByName(joined(cold, values.filter(~is_hot), False))

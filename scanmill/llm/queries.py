@@ -13,9 +13,12 @@ from scanmill.llm.ngram_join import near_duplicates
 from scanmill.llm.nn_descent import nearest_neighbours
 from scanmill.llm.quality import classify_quality
 from scanmill.llm.registry import REGISTRY, query, table
+from scanmill.llm.secret_scan import count_of, find_secrets, labelled_samples, spans_text, train_secret_model
 from scanmill.llm.substring_dedup import dedup_substrings
 from scanmill.llm.url_filter import Rule, filter_urls
+from scanmill.llm.vector_codes import encode_vectors
 from scanmill.llm.warc_salvage import salvage_archives, write_archives
+from scanmill.llm.whitening import whiten_embeddings
 from scanmill.runtime import scratch_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -272,4 +275,84 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "n_epochs")
 
 
+def _code_rounds_sql(rounds: int) -> str:
+    """Assignments and new codebooks, one pair of tables a round, then the last assignment."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} AS MATERIALIZED (
+      SELECT id, vec_id, label, parts.p, x, arg_min(e, (d, e)) AS e, min(d) AS d
+      FROM (SELECT parts.*, e,
+              list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+            FROM parts JOIN book{r} AS b ON b.p = parts.p) AS parts
+      GROUP BY ALL
+    )""")
+        if r < rounds:
+            parts.append(f"""book{r + 1} AS MATERIALIZED (
+      SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} AS b LEFT JOIN (
+        SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+          SELECT p, e, i, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n
+          FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM near{r}) GROUP BY ALL
+        ) GROUP BY ALL
+      ) AS m ON m.p = b.p AND m.e = b.e
+    )""")
+    return ",\n    ".join(parts)
+
+
+@query(
+    "op11_vector_codes",
+    f"""
+    WITH kept AS (
+      SELECT row_number() OVER () AS id, vec_id, label,
+        list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), parts AS MATERIALIZED (
+      SELECT id, vec_id, label, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x
+      FROM (SELECT *, unnest(range(8)) AS p FROM kept)
+    ), book0 AS MATERIALIZED (
+      SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 16
+    ),
+    {_code_rounds_sql(6)},
+    coded AS (
+      SELECT id, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+      FROM near6 GROUP BY ALL
+    ), listed AS (SELECT p, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM book6)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) FROM listed) AS codebooks_sha256
+    FROM coded
+    """,
+)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, train_secret_model(labelled_samples(docs)))
+    return found.select(
+        "doc_id",
+        *(count_of("base_spans", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(spans_text("base_spans"), 256).alias("base_sha256"),
+        spans_text("spans").alias("spans"),
+    )
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    values = F.posexplode("whitened").alias("at", "whitened")
+    each = made.select("vec_id", values, "n", "deviation", "explained", "identity_error")
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get("explained", F.col("at")).alias("explained"),
+        "identity_error",
+    )
+
+
 __all__ = ["REGISTRY"]
