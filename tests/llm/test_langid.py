@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from scanmill.llm import langid
 from scanmill.llm.langid import _gram_vectors, _grams, _letter_vector, identify_language, train_profiles
 
 EN = "the quick brown fox jumps over the lazy dog and the cat that sat with them"
@@ -44,3 +45,39 @@ def test_nothing_to_learn_from(spark):
     found = identify_language(spark.createDataFrame([("words",)], "text string"), profiles).collect()
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]
     assert identify_language(empty, profiles).collect() == []
+
+
+def test_pieces_of_a_long_text_give_the_sums_of_the_whole(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(5))
+    for _ in range(60):
+        text = "".join(rng.choice(list("abΣß İ.,12"), int(rng.integers(5, 60))))
+        whole = _grams([text], 3).sums(64, 1, 3)
+        monkeypatch.setattr(langid, "_BATCH_CHARS", int(rng.integers(1, 12)))
+        sums, letters = langid._sums_of([text], 3, 64, 1)
+        assert (sums == whole).all() and bool(letters[0]) == any(c.isalpha() for c in text.lower())
+        monkeypatch.undo()
+
+
+def test_memory_is_bounded_by_the_piece(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 400_000)))
+    profiles = langid.Profiles(["x"], np.ones((1, 1024)))
+    monkeypatch.setattr(langid, "_BATCH_CHARS", 1 << 16)
+    tracemalloc.start()
+    profiles.predict([text] + ["ab cd"] * 3000)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_claimed_languages_and_the_bound_of_languages(spark):
+    rows = [(EN, "en"), (EN, "en"), (DE, "de"), (DE, "de"), ("xyz", "aa")]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    profiles = train_profiles(train, max_languages=2)
+    assert profiles.names == ["de", "en"]
+    asked = [("the dog and the fox", "de"), ("the dog and the fox", "en"), ("the dog", None), ("the dog", "aa"), (None, "en")]
+    found = identify_language(spark.createDataFrame(asked, "text string, lang string"), profiles, claimed_col="lang")
+    got = [(r.lang_pred, r.claimed_score) for r in found.collect()]
+    assert [g[0] for g in got] == ["en", "en", "en", "en", "und"]
+    assert got[1][1] > 2 * got[0][1] >= 0 and [g[1] for g in got[2:]] == [None] * 3

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test data")
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in REGISTRY.items() if e.sql))
@@ -47,6 +47,19 @@ def test_held_out_accuracy(spark):
     assert rows > 30 and right >= 0.93 * rows
 
 
+def test_pipeline_corrects_languages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    right = {r.doc_id: r.lang for r in docs.filter("length(text) > 300 and doc_id % 4 = 0").collect()}
+    damaged = F.when(F.col("doc_id") % 8 == 0, F.lit(None)).otherwise(F.when(F.col("lang") == "en", "de").otherwise("en"))
+    some = (F.col("doc_id") % 4 == 0) & (F.length("text") > 300)
+    worse = docs.withColumn("lang", F.when(some, damaged).otherwise(F.col("lang")))
+    named = {r.doc_id: r.lang for r in corpus_pipeline.identify(spark, worse, str(SF_DIR)).collect()}
+    mended = sum(named[i] == lang for i, lang in right.items() if lang is not None)
+    assert len(right) > 20 and mended >= 0.95 * sum(lang is not None for lang in right.values())
+    same = {r.doc_id: r.lang for r in corpus_pipeline.identify(spark, docs, str(SF_DIR)).collect()}
+    assert all(same[i] == lang for i, lang in right.items() if lang is not None)
+
+
 def test_pipeline_stages(spark):
     sf_dir = str(SF_DIR)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
