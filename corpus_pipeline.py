@@ -26,12 +26,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+# By so much the predicted language has to be nearer, as a cosine, than the one a row names.
+CLEARLY_NEARER = 0.1
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told: null texts and texts without a letter."""
+    """Name each document's language, and drop those whose language cannot be told.
+
+    Null texts and texts without a letter go.  A missing `lang`, and one that the text is
+    clearly further from than from the predicted language, is replaced by the prediction.
+    """
     ship(spark)
     profiles = train_profiles(docs.filter(~held_out("doc_id", 4, 2)).select("text", "lang"))
-    named = identify_language(docs.select(*COLUMNS), profiles)
-    return named.filter(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+    named = identify_language(docs.select(*COLUMNS), profiles, claimed_col="lang")
+    wrong = F.coalesce(F.col("score") >= F.col("claimed_score") + CLEARLY_NEARER, F.lit(True))
+    lang = F.when(wrong, F.col("lang_pred")).otherwise(F.col("lang"))
+    return named.filter(F.col("lang_pred") != UNDETERMINED).withColumn("lang", lang).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
