@@ -5,13 +5,14 @@ words of each document, look the hashes up, compare the words of every hit, and
 or remove what is covered.  Documents are never shuffled.
 
 Benchmarks are small beside a corpus, but this is checked: items are cut into groups
-of at most `max_broadcast_bytes` of text, and each group is one more pass over the
-documents' rows, so that a larger benchmark costs time and not memory.
+whose tables of windows take at most `max_broadcast_bytes`, and each group is one more
+pass over the documents' rows, so that a larger benchmark costs time and not memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,64 +21,126 @@ from pyspark.sql import functions as F
 
 from scanmill.llm.frames import column, others, text_of, with_results
 from scanmill.llm.textscan import ALPHANUMERIC, LOWER, Block, Words, blocks, windows, words_of
+from scanmill.runtime import written
 
 WINDOW = 13
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 192 << 20
+# Of a table, for each word: 8 for its place, 16 for a window's hash, example and items, 4 for
+# each item that has it.
+TABLE_BYTES = 28
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FILTER_BITS = 22
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _words_text(block: Block, words: Words, first: int, length: int) -> bytes:
-    """Words of a run, folded, joined by one space: what must be equal for a hit."""
-    low, high = words.starts[first], words.ends[first + length - 1]
-    if length == 1:
-        return LOWER[block.data[low:high]].tobytes()
-    spans = zip(words.starts[first : first + length], words.ends[first : first + length])
-    return b" ".join(LOWER[block.data[s:e]].tobytes() for s, e in spans)
+def _folded(block: Block, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, folded, each followed by one blank: bytes, starts and ends of words."""
+    sizes = words.ends - words.starts
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    said = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+    inside = np.ones(len(said), bool)
+    inside[ends] = False
+    said[inside] = LOWER[block.data[np.repeat(words.starts - starts, sizes) + np.flatnonzero(inside)]]
+    return said, starts, ends
+
+
+@dataclass(frozen=True)
+class _Table:
+    """Distinct windows of one length, by hash; those of different words may share one."""
+
+    hashes: np.ndarray
+    words: np.ndarray  # where in the items' words an example begins
+    first: np.ndarray  # where its items begin; one entry more than windows
+    items: np.ndarray
+    filter: np.ndarray
+
+    def candidates(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions whose hash is in the table."""
+        maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
+        at = np.searchsorted(self.hashes, hashes[maybe])
+        at[at == len(self.hashes)] = 0
+        return maybe[self.hashes[at] == hashes[maybe]]
 
 
 class Windows:
-    """The windows of some items, by length: a bit filter, and hash -> words -> items."""
+    """The windows of some items: their words once, and about 28 bytes a window (TABLE_BYTES)."""
 
     def __init__(self, ids: list, texts: list[str], window: int) -> None:
-        self.by_length: dict[int, dict[int, dict[bytes, set]]] = {}
-        column_ = pa.array(texts, pa.string())
-        for block in blocks(column_):
+        self.ids = ids
+        said, starts, ends = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        size = count = 0
+        for block in blocks(pa.array(texts, pa.string())):
             words = words_of(block, ALPHANUMERIC, LOWER)
+            text, start, end = _folded(block, words)
+            said.append(text)
+            starts.append(start + size)
+            ends.append(end + size)
             for row in range(block.rows):
                 first, last = int(words.first[row]), int(words.first[row + 1])
                 length = min(window, last - first)
-                if not length:
-                    continue
-                hashes = windows(words.hashes[first:last], length)
-                table = self.by_length.setdefault(length, {})
-                for i, h in enumerate(hashes.tolist()):
-                    said = _words_text(block, words, first + i, length)
-                    table.setdefault(h, {}).setdefault(said, set()).add(ids[block.first + row])
-        self.filters: dict[int, np.ndarray] = {}
-
-    def candidates(self, length: int, hashes: np.ndarray) -> np.ndarray:
-        """Positions that may be hits."""
-        if length not in self.filters:
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            keys = np.fromiter(self.by_length[length], np.uint64)
-            bits[keys >> np.uint64(64 - _FILTER_BITS)] = True
-            self.filters[length] = bits
-        return np.flatnonzero(self.filters[length][hashes >> np.uint64(64 - _FILTER_BITS)])
-
-
-def _hits(block: Block, words: Words, found: Windows) -> Iterator[tuple[int, int, int, set]]:
+                if length:
+                    hashes = windows(words.hashes[first:last], length)
+                    places = np.arange(first, first + len(hashes)) + count
+                    item = np.full(len(hashes), block.first + row)
+                    found.setdefault(length, []).append((hashes, places, item))
+            size += len(text)
+            count += len(start)
+        none = np.zeros(0, np.int64)
+        self._said = np.concatenate(said) if said else np.zeros(0, np.uint8)
+        self._starts = np.concatenate(starts or [none]).astype(np.uint32)
+        self._ends = np.concatenate(ends or [none]).astype(np.uint32)
+        self.by_length = {n: self._table(n, *map(np.concatenate, zip(*parts))) for n, parts in found.items()}
+
+    def words_at(self, place: int, length: int) -> bytes:
+        return self._said[self._starts[place] : self._ends[place + length - 1]].tobytes()
+
+    def _table(self, length: int, hashes: np.ndarray, places: np.ndarray, items: np.ndarray) -> _Table:
+        order = np.lexsort((items, hashes))
+        hashes, places, items = hashes[order], places[order], items[order]
+        # Windows that share a hash are told apart by their words, so by a second number.
+        second = np.zeros(len(hashes), np.int64)
+        bounds = np.append(np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])), len(hashes))
+        for run in np.flatnonzero(np.diff(bounds) > 1):
+            numbers: dict[bytes, int] = {}
+            for i in range(bounds[run], bounds[run + 1]):
+                second[i] = numbers.setdefault(self.words_at(int(places[i]), length), len(numbers))
+        order = np.lexsort((items, second, hashes))
+        hashes, places, items, second = hashes[order], places[order], items[order], second[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (second[1:] != second[:-1]))
+        kept = new | np.append(True, items[1:] != items[:-1])
+        first = np.append(np.cumsum(kept)[new] - 1, kept.sum())
+        bits = np.zeros(1 << _FILTER_BITS, bool)
+        bits[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+        return _Table(
+            hashes[new], places[new].astype(np.uint32), first.astype(np.uint32), items[kept].astype(np.uint32), bits
+        )
+
+    def items_of(self, length: int, value: np.uint64, said: bytes) -> np.ndarray:
+        """The items that hold a window of these words."""
+        table = self.by_length[length]
+        at = int(np.searchsorted(table.hashes, value))
+        while at < len(table.hashes) and table.hashes[at] == value:
+            if self.words_at(int(table.words[at]), length) == said:
+                return table.items[table.first[at] : table.first[at + 1]]
+            at += 1
+        return np.zeros(0, np.uint32)
+
+
+def _hits(block: Block, words: Words, found: Windows) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(row, first word, words, items) of each occurrence of a window in a block."""
-    for length in found.by_length:
-        table = found.by_length[length]
+    for length, table in found.by_length.items():
         hashes = windows(words.hashes, length)
-        for at in found.candidates(length, hashes).tolist():
-            texts = table.get(int(hashes[at]))
-            if texts is None or words.rows[at] != words.rows[at + length - 1]:
-                continue
-            items = texts.get(_words_text(block, words, at, length))
-            if items:
+        maybe = table.candidates(hashes)
+        maybe = maybe[words.rows[maybe] == words.rows[maybe + length - 1]]
+        if not len(maybe):
+            continue
+        said, starts, ends = _folded(block, words)
+        for at in maybe.tolist():
+            items = found.items_of(length, hashes[at], said[starts[at] : ends[at + length - 1]].tobytes())
+            if len(items):
                 yield int(words.rows[at]), at, length, items
 
 
@@ -92,10 +155,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return result
 
 
-def _groups(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[int]:
-    """How many groups the items need so that each holds at most about `max_bytes`."""
-    size = benchmark.agg(F.sum(F.octet_length(column(text_col)))).first()[0] or 0
-    return list(range(max(1, -(-2 * int(size) // max_bytes)))) if size > max_bytes else [0]
+def _groups(items: DataFrame, max_bytes: int) -> int:
+    """How many groups the items need so that the table of each takes about `max_bytes` at most."""
+    words = F.regexp_count("text", F.lit(_WORD))
+    size = items.agg(F.sum(F.octet_length("text") + (words + 1) * F.lit(TABLE_BYTES))).first()[0] or 0
+    # Groups are made by a hash, so they are planned half as large as they may be.
+    return 1 if size <= max_bytes else -(-2 * int(size) // max_bytes)
 
 
 def find_contamination(
@@ -121,16 +186,19 @@ def find_contamination(
         column(id_col).cast("string").alias("id"), column(benchmark_text_col).alias("text")
     ).filter("id is not null and text is not null")
     spark = docs.sparkSession
-    groups = _groups(items, "id", "text", max_broadcast_bytes)
+    groups = _groups(items, max_broadcast_bytes)
     added = f"n_words bigint, n_hit bigint, hit_spans {_SPANS}, hit_items array<string>"
     result = docs.select(*(column(c) for c in others(docs, "n_words", "n_hit", "hit_spans", "hit_items")))
-    for group in groups:
-        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(len(groups))) == group)
+    for group in range(groups):
+        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == group)
         rows = part.collect()
         shared = spark.sparkContext.broadcast(
             Windows([r["id"] for r in rows], [r["text"] for r in rows], window)
         )
         result = _pass(result, shared, text_col, added, more=group > 0)
+        if group < groups - 1:
+            # Passes one after another: a task never holds the tables of two.
+            result = written(result, "contamination")
     return result
 
 
@@ -154,7 +222,7 @@ def _pass(docs: DataFrame, shared, text_col: str, added: str, more: bool) -> Dat
             for row, at, length, ids in _hits(block, words, shared.value):
                 start = at - int(words.first[row])
                 spans[block.first + row].append((start, start + length))
-                items[block.first + row] |= ids
+                items[block.first + row].update(shared.value.ids[i] for i in ids)
         spans = [_merged(s) for s in spans]
         return {
             "n_words": pa.array(counts),

@@ -66,6 +66,30 @@ _HOT_SHARE = 1000
 _SMALL_BYTES = 16 << 20
 
 
+def split_join(
+    left: DataFrame, right: DataFrame, keys: list[str], is_hot: Column, spread: Column
+) -> DataFrame:
+    """Inner join on long keys, in which no task gets all rows of a hot key.
+
+    `right` has one row a key, in a written table; those that are hot, of which the caller
+    bounds the number, are broadcast.  Rows of `left` with a hot key are then dealt by
+    `spread`, any long that differs between them, so `left` is read once.
+    """
+    values = [c for c in right.columns if c not in keys]
+    found = F.struct(*(column(v) for v in values))
+    hot = right.filter(is_hot).select(*(column(k).alias(f"__hot_{k}") for k in keys), found.alias("__hot"))
+    cold = right.filter(~is_hot).select(*(column(k).alias(f"__cold_{k}") for k in keys), found.alias("__cold"))
+    near = left.join(F.broadcast(hot), [column(k) == F.col(f"__hot_{k}") for k in keys], "left")
+    first = F.when(F.col("__hot").isNull(), column(keys[0])).otherwise(spread).alias("__dealt")
+    dealt = near.select(*(column(c) for c in left.columns), "__hot", first)
+    same = [F.col("__dealt") == F.col(f"__cold_{keys[0]}")]
+    same += [column(k) == F.col(f"__cold_{k}") for k in keys[1:]]
+    # A spread row may meet another key's value by chance; its own comes first.
+    joined = dealt.join(cold, same, "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    joined = joined.filter(F.col("__found").isNotNull())
+    return joined.select(*(column(c) for c in left.columns), *(F.col("__found")[v].alias(v) for v in values))
+
+
 def with_group_values(rows: DataFrame, group_col: str, values: DataFrame, count_col: str) -> DataFrame:
     """Rows with the columns of their group; null groups are equal to each other.
 

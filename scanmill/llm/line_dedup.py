@@ -2,7 +2,8 @@
 
 Lines are exploded and their normalised keys hashed (128 bits); a count of distinct
 documents per hash tells which lines repeat; documents then lose those lines and are
-put together again in line order.
+put together again in line order.  The few hashes that are very common are broadcast, so
+that no task gets all documents of one line.
 
 Tasks emit one row per document and distinct key, so a line that stands in a third of
 all documents is counted with partial sums, and what is joined back is a list of
@@ -19,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanmill.llm.frames import column, others, text_of, with_results
+from scanmill.llm.frames import column, others, split_join, text_of, with_results
 from scanmill.runtime import written
 
+# Keys of more than this share of all postings are broadcast.
+_COMMON_SHARE = 1000
 _SPACE = b" \t\n\v\f\r"
 _PAIR = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())]))
 
@@ -89,9 +92,11 @@ def dedup_lines(
     counted = postings.distinct().groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("doc").alias("keeper")
     )
-    repeated = counted.filter(F.col("n") >= min_docs).drop("n")
+    repeated = written(counted.filter(F.col("n") >= min_docs), "repeated-lines")
+    # Fewer keys than the share's inverse are as common as this.
+    common = F.col("n") > postings.count() // _COMMON_SHARE
     drops = (
-        postings.join(repeated, ["h1", "h2"])
+        split_join(postings, repeated, ["h1", "h2"], common, F.xxhash64("doc", "h2"))
         .filter(F.col("doc") != F.col("keeper"))
         .groupBy("doc")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.llm.frames import column, text_of, with_results
-from scanmill.llm.textscan import NOT_SPACE, Block, blocks, mixed, words_of
+from scanmill.llm.textscan import BLOCK_BYTES, NOT_SPACE, Block, blocks, mixed, words_of
 from scanmill.runtime import written
 
 STATISTICS = (
@@ -62,16 +62,29 @@ _KIND[128:] = _BEYOND
 _KINDS = 11
 
 
-def _statistics(block: Block) -> np.ndarray:
-    """One row of transformed statistics per text; all of an empty text are those of no words."""
+@dataclass
+class _Counts:
+    """What the statistics are made of, one entry per text: all but `distinct` add up over pieces."""
+
+    kinds: np.ndarray  # (texts, _KINDS) characters
+    words: np.ndarray
+    symbol_ended: np.ndarray
+    capital: np.ndarray
+    symbol: np.ndarray
+    distinct: np.ndarray
+    again: np.ndarray
+
+
+def _counts(block: Block) -> tuple[_Counts, np.ndarray]:
+    """Counts of a block, and the hashes of its words."""
     rows, data = block.rows, block.data
     row_of = np.repeat(np.arange(rows), np.diff(block.offsets))
     kinds = _KIND[data]
     table = np.bincount(row_of * _KINDS + kinds, minlength=rows * _KINDS).reshape(rows, _KINDS)
+    del row_of
     words = words_of(block, NOT_SPACE)
-    n = words.counts().astype(np.float64)
-    last = _KIND[data[words.ends - 1]] if len(words.ends) else np.zeros(0, np.uint8)
-    head = _KIND[data[words.starts]] if len(words.starts) else np.zeros(0, np.uint8)
+    last = kinds[words.ends - 1] if len(words.ends) else np.zeros(0, np.uint8)
+    head = kinds[words.starts] if len(words.starts) else np.zeros(0, np.uint8)
     single = (words.ends - words.starts) == 1
     # Sorting hashes that also depend on the row counts the distinct words of all rows at once.
     own = mixed(words.hashes + words.rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,31 +93,73 @@ def _statistics(block: Block) -> np.ndarray:
     distinct[order[1:]] = own[order[1:]] != own[order[:-1]]
     again = np.zeros(len(own), bool)
     again[1:] = own[1:] == own[:-1]
-    ink = table.sum(axis=1) - table[:, _SPACE] - table[:, _LINE]
+
+    def found(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(words.rows[mask], minlength=rows)
+
+    counts = _Counts(
+        table, words.counts(), found(last == _SYMBOL), found(head == _UPPER),
+        found(single & (head == _SYMBOL)), found(distinct), found(again),
+    )
+    return counts, words.hashes
+
+
+def _long_counts(block: Block) -> _Counts:
+    """Counts of a block of one long text, added up over pieces that no word crosses."""
+    total: _Counts | None = None
+    hashes: list[np.ndarray] = []
+    start = 0
+    while start < len(block.data):
+        end = min(start + BLOCK_BYTES, len(block.data))
+        while end < len(block.data) and NOT_SPACE[block.data[end]]:
+            gap = NOT_SPACE[block.data[end : end + BLOCK_BYTES]]
+            at = int(np.argmin(gap))
+            end += at if not gap[at] else len(gap)
+        piece = block.data[start:end]
+        counts, own = _counts(Block(0, piece, np.array([0, len(piece)])))
+        if total is None:
+            total = counts
+        else:
+            for name in ("kinds", "words", "symbol_ended", "capital", "symbol", "again"):
+                setattr(total, name, getattr(total, name) + getattr(counts, name))
+            if len(own) and hashes:
+                total.again += int(own[0] == hashes[-1][-1])
+        if len(own):
+            hashes.append(own)
+        start = end
+    total.distinct = np.array([len(np.unique(np.concatenate(hashes))) if hashes else 0])
+    return total
+
+
+def _statistics(block: Block) -> np.ndarray:
+    """One row of transformed statistics per text; all of an empty text are those of no words."""
+    long = block.rows == 1 and len(block.data) > BLOCK_BYTES
+    c = _long_counts(block) if long else _counts(block)[0]
+    n = c.words.astype(np.float64)
+    ink = c.kinds.sum(axis=1) - c.kinds[:, _SPACE] - c.kinds[:, _LINE]
 
     def share(usual: float, *found: int) -> np.ndarray:
         """Square root of the share of some kinds of characters, blended with a usual share."""
-        return np.sqrt((table[:, list(found)].sum(axis=1) + usual * _BLEND_CHARS) / (ink + _BLEND_CHARS))
+        return np.sqrt((c.kinds[:, list(found)].sum(axis=1) + usual * _BLEND_CHARS) / (ink + _BLEND_CHARS))
 
-    def word_share(usual: float, mask: np.ndarray) -> np.ndarray:
-        found = np.bincount(words.rows[mask], minlength=rows)
+    def word_share(usual: float, found: np.ndarray) -> np.ndarray:
         return np.sqrt((found + usual * _BLEND_WORDS) / (n + _BLEND_WORDS))
 
     return np.column_stack(
         [
             np.log((ink + 5 * _BLEND_WORDS) / (n + _BLEND_WORDS)),
-            np.log((n + _BLEND_WORDS) / (table[:, _LINE] + 1 + _BLEND_WORDS / 25)),
+            np.log((n + _BLEND_WORDS) / (c.kinds[:, _LINE] + 1 + _BLEND_WORDS / 25)),
             share(0.03, _UPPER),
             share(0, _DIGIT),
             share(0.03, _STOP),
             share(0.01, _COMMA),
             share(0, _QUOTE),
             share(0, _SYMBOL, _OTHER),
-            word_share(0, last == _SYMBOL),
-            word_share(0.1, head == _UPPER),
-            word_share(0, single & (head == _SYMBOL)),
-            word_share(0.8, distinct),
-            word_share(0, again),
+            word_share(0, c.symbol_ended),
+            word_share(0.1, c.capital),
+            word_share(0, c.symbol),
+            word_share(0.8, c.distinct),
+            word_share(0, c.again),
         ]
     )
 

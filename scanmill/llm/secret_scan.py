@@ -46,9 +46,10 @@ _PIECE = 4096
 # Symbols a string can hold, for smoothing: 64 of base 64, four of punctuation.
 _ALPHABET = 68
 _SMOOTHING = 8.0  # how many observations the likelihood anywhere counts as
-# Share of ordinary samples that may lie above the threshold, of random ones that may lie below.
-_FALSE_ALARMS, _MISSES = 0.001, 0.01
-_ACCURACY = 100_000
+# A share of ordinary samples above the threshold weighs so many times one of random samples below.
+_FALSE_ALARM_COST = 10
+_BINS = 50  # of scores, for each unit
+_LIMIT = 10.0
 _HALVES = 2
 
 
@@ -281,28 +282,52 @@ def _counted(samples: DataFrame) -> list[dict[tuple[bool, int], int]]:
     return halves
 
 
+def _threshold(scored: DataFrame, cost: float) -> float:
+    """The cut with the largest share of random samples above, less `cost` times that of ordinary ones.
+
+    It is the middle of the first best stretch of a histogram with a fixed number of bins;
+    without samples of both labels nothing is above it.
+    """
+    bounded = F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.col("score")))
+    bins = scored.groupBy(F.floor(bounded * _BINS).alias("bin")).agg(
+        F.count(F.when(F.col("random"), 1)).alias("random"), F.count(F.when(~F.col("random"), 1)).alias("ordinary")
+    )
+    rows = bins.orderBy("bin").collect()
+    above = {name: sum(r[name] for r in rows) for name in ("random", "ordinary")}
+    best, at = 0.0, float("inf")
+    if not all(above.values()):
+        return at
+    total = dict(above)
+    for here, after in zip(rows, rows[1:]):
+        above = {name: n - here[name] for name, n in above.items()}
+        gain = above["random"] / total["random"] - cost * above["ordinary"] / total["ordinary"]
+        if gain > best:
+            best, at = gain, (here["bin"] + 1 + after["bin"]) / 2 / _BINS
+    return at
+
+
+def _crossed(samples: DataFrame, halves: list[dict[tuple[bool, int], int]]) -> DataFrame:
+    """Samples with the score that the model of the other half gives them."""
+    scores = [_score(F.col("token"), SecretModel(_ratios(h), 0.0).column()) for h in reversed(halves)]
+    score = F.when(_half(F.col("token")) == 0, scores[0]).otherwise(scores[1])
+    return samples.select("token", "random", score.alias("score"))
+
+
 def train_secret_model(samples: DataFrame) -> SecretModel:
     """A model out of (token, random); rows with a null or an empty token are left out.
 
-    Models of either half score the other half, over all samples.  The threshold is the middle
-    between what one ordinary sample in 1,000 exceeds and what one random sample in 100 stays
-    below, or the former if these overlap; without samples of both labels nothing exceeds it.
+    Some strings of a corpus that no pattern finds are secrets all the same, and would be
+    learnt as ordinary.  So models of either half score the other half, and ordinary samples
+    that look random by that are left out; the same again, without them, gives the threshold.
     """
     samples = written(samples.select("token", "random").filter("token <> '' and random is not null"), "samples")
-    halves = _counted(samples)
+    scored = written(_crossed(samples, _counted(samples)), "sample-scores")
+    clean = scored.filter(F.col("random") | (F.col("score") <= _threshold(scored, 1.0))).drop("score")
+    halves = _counted(clean)
     whole = dict(halves[0])
     for key, n in halves[1].items():
         whole[key] = whole.get(key, 0) + n
-    crossed = [SecretModel(_ratios(h), 0.0) for h in reversed(halves)]
-    scores = [_score(F.col("token"), model.column()) for model in crossed]
-    scored = samples.select("random", F.when(_half(F.col("token")) == 0, scores[0]).otherwise(scores[1]).alias("score"))
-    ordinary, random = scored.agg(
-        F.percentile_approx(F.when(~F.col("random"), F.col("score")), 1 - _FALSE_ALARMS, _ACCURACY),
-        F.percentile_approx(F.when(F.col("random"), F.col("score")), _MISSES, _ACCURACY),
-    ).first()
-    if ordinary is None or random is None:
-        return SecretModel(_ratios(whole), float("inf"))
-    return SecretModel(_ratios(whole), (ordinary + random) / 2 if ordinary < random else ordinary)
+    return SecretModel(_ratios(whole), _threshold(_crossed(clean, halves), _FALSE_ALARM_COST))
 
 
 def find_secrets(docs: DataFrame, model: SecretModel, text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.llm.fm_index import FMIndex
-from scanmill.llm.frames import column, others, text_of, with_results
+from scanmill.llm.frames import column, others, split_join, text_of, with_results
 from scanmill.llm.textscan import NOT_SPACE, blocks, windows, within_row, words_of
 from scanmill.runtime import written
 
@@ -36,6 +36,8 @@ WINDOW = 20
 HOT = 2000
 SHARD_SYMBOLS = 1 << 20
 BROADCAST_ROWS = 400_000
+# Anchors of more than this share of all units are broadcast to them.
+_COMMON_SHARE = 1000
 _ANCHOR = 6
 _SYMBOL = 5
 _MAX_UNIT = 64  # windows in a unit
@@ -368,14 +370,18 @@ def dedup_substrings(
     firsts = described.groupBy("same").agg(F.min("doc").alias("least"))
     copies = described.join(firsts, "same").filter("doc <> least").select("rid", "doc", "n_words")
     copies = written(copies.distinct(), "copies")
-    gone = copies.select("rid")
+    gone = copies.select("rid", "doc")
     if copies.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    live = rows.join(gone, "rid", "left_anti").select("doc", "rid", "text").filter("text is not null")
+    live = rows.join(gone, ["rid", "doc"], "left_anti").select("doc", "rid", "text").filter("text is not null")
 
     postings = _postings(live, window)
     counted = postings.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    units = postings.join(counted, "anchor")
+    counted = written(counted, "anchors")
+    met = counted.agg(F.sum("n")).first()[0] or 0
+    # Fewer anchors than the share's inverse are as common as this.
+    common = F.col("n") > met // _COMMON_SHARE
+    units = split_join(postings, counted, ["anchor"], common, F.xxhash64("rid", "place"))
     listed = units.groupBy("rid").agg(
         F.collect_list(F.struct("anchor", "place", (F.col("n") > HOT).alias("hot"))).alias("units"),
         F.sum(F.col("place") % _SHARES + window - _SYMBOL).alias("symbols"),

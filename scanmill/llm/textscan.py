@@ -111,17 +111,15 @@ class Words:
         return np.diff(self.first)
 
 
-def _pieces(inside: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts that no word crosses, about `_PIECE_BYTES` apart."""
-    start, size = 0, len(inside)
-    while start < size:
-        end = min(start + _PIECE_BYTES, size)
-        while end < size and inside[end]:
-            gap = inside[end : end + _PIECE_BYTES]
-            at = int(np.argmin(gap))
-            end += at if not gap[at] else len(gap)
-        yield start, end
-        start = end
+def _long_sum(data: np.ndarray, value: np.ndarray, powers: np.ndarray) -> np.uint64:
+    """The polynomial of some bytes, of any number, a piece at a time."""
+    total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    step = np.uint64(pow(_BASE, _PIECE_BYTES, 1 << 64))
+    for low in range(0, len(data), _PIECE_BYTES):
+        piece = value[data[low : low + _PIECE_BYTES]]
+        total += factor * np.sum(piece * powers[: len(piece)], dtype=np.uint64)
+        factor *= step
+    return total[0]
 
 
 def words_of(block: Block, kind: np.ndarray, fold: np.ndarray = SAME) -> Words:
@@ -141,19 +139,20 @@ def words_of(block: Block, kind: np.ndarray, fold: np.ndarray = SAME) -> Words:
     del before, after
     hashes = np.empty(len(starts), np.uint64)
     value = _BYTE_VALUE[fold]
-    powers = inverse = np.zeros(0, np.uint64)
-    for low, high in _pieces(inside):
+    most = min(_PIECE_BYTES, len(data)) + 1
+    powers, inverse = _powers(most, _BASE), _powers(most, pow(_BASE, -1, 1 << 64))
+    for low in range(0, len(data), _PIECE_BYTES):
+        high = min(low + _PIECE_BYTES, len(data))
         a, b = np.searchsorted(starts, (low, high))
-        if a == b:
-            continue
-        if len(powers) < high - low + 1:
-            powers = _powers(high - low + 1, _BASE)
-            inverse = _powers(high - low + 1, pow(_BASE, -1, 1 << 64))
         sums = np.empty(high - low + 1, np.uint64)
         sums[0] = 0
         np.cumsum(value[data[low:high]] * powers[: high - low], out=sums[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        hashes[a:b] = (sums[e] - sums[s]) * inverse[s]
+        # The last word of a piece may run on.
+        c = b - 1 if a < b and ends[b - 1] > high else b
+        s, e = starts[a:c] - low, ends[a:c] - low
+        hashes[a:c] = (sums[e] - sums[s]) * inverse[s]
+        for i in range(c, b):
+            hashes[i] = _long_sum(data[starts[i] : ends[i]], value, powers)
     hashes = mixed(hashes + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, offsets)
     rows = np.repeat(np.arange(block.rows), np.diff(first))

@@ -4,7 +4,9 @@ URLs that the rules accept or reject train one variable-order Markov model each.
 probability of a character after its context is the Witten-Bell blend of all context
 lengths, from `order` characters down to none.  A URL that no rule decides is judged by
 the log-likelihood difference of the two models per character, against a threshold
-calibrated on the URLs that the rules decide.
+calibrated on the URLs that the rules decide: each half of them is scored by models of the
+other half, so that no URL is judged by what was learnt from itself.  A URL counts as often
+as there are pages with it.
 
 The models are tables of context counts, as large as the training URLs make them, and
 stay distributed: the blend is worked out by joins from short contexts to long ones, for
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanmill.llm.frames import column, others, text_of, with_results
+from scanmill.llm.frames import column, others, text_of, with_group_values
 from scanmill.runtime import written
 
 ORDER = 4
@@ -28,6 +30,7 @@ _START = "\x02"
 _END = "\x03"
 _BINS = 1000
 _LIMIT = 20.0
+_FLUSH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -60,11 +63,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _said(url: Column) -> Column:
-    """What the models read: a URL from the host (A-Z lower-cased) to its end, query and fragment too."""
-    at = F.instr(url, "://")
-    rest = F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
-    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    return F.concat(_ascii_lower(host), F.substr(rest, F.length(host) + 1))
+    """What the models read: the whole URL, up to the host's end A-Z lower-cased; null is empty."""
+    whole = F.coalesce(url, F.lit(""))
+    upto = F.regexp_extract(whole, r"^(?s:.*?)://[^/?#]*", 0)
+    return F.concat(_ascii_lower(upto), F.substr(whole, F.length(upto) + 1))
 
 
 def _matches(rule: Rule) -> Column:
@@ -81,57 +83,69 @@ def _first_rule(rules: list[Rule], value) -> Column:
 
 
 def _positions(urls: DataFrame, order: int) -> DataFrame:
-    """(key, accepted, gram, n): each run of `order` characters of context and one more.
+    """(key, accepted, half, n, gram): each run of `order` characters of context and one more.
 
-    A text starts with `order` start marks and ends with one end mark.  Runs that a batch
-    has several times for a URL are counted.
+    A text starts with `order` start marks and ends with one end mark.
     """
+    names = ["key", "accepted", "half", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             grams: list[str] = []
+
+            def held() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                columns = [batch.column(i).take(at) for i in range(len(names))]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(grams, pa.string())], names=[*names, "gram"])
+
             for row, text in enumerate(text_of(batch, "said").to_pylist()):
                 marked = _START * order + text + _END
-                own = [marked[i : i + order + 1] for i in range(len(text) + 1)]
-                grams.extend(own)
-                rows.extend([row] * len(own))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(grams, pa.string())],
-                names=["key", "accepted", "gram"],
-            )
+                for i in range(len(text) + 1):
+                    grams.append(marked[i : i + order + 1])
+                    rows.append(row)
+                    if len(rows) == _FLUSH:
+                        yield held()
+                        rows, grams = [], []
+            yield held()
 
-    return urls.select("key", "accepted", "said").mapInArrow(
-        run, "key bigint, accepted boolean, gram string"
-    )
+    ddl = "key bigint, accepted boolean, half int, n bigint, gram string"
+    return urls.select(*names, "said").mapInArrow(run, ddl)
+
+
+# The models: of all training URLs, and of either half of them.
+_MODELS = ("all", "0", "1")
 
 
 def _log_ratios(positions: DataFrame, order: int) -> DataFrame:
-    """(gram, ratio): log of P(last character | context) of accepted over rejected URLs.
+    """(gram, ratio_all, ratio_0, ratio_1): log of P(last character | context), accepted over rejected.
 
     For order k, P_k = (count(context + c) + kinds(context) * P_{k-1}) / (count(context) +
     kinds(context)), where kinds is the number of different characters seen after the
     context; P_{-1} spreads evenly over 256 characters.
     """
+    labels = {"good": F.col("accepted"), "bad": ~F.col("accepted")}
+    of_model = {"all": F.lit(True), "0": F.col("half") == 0, "1": F.col("half") == 1}
+    columns = [f"{label}_{m}" for label in labels for m in _MODELS]
     trained = positions.filter("accepted is not null").groupBy("gram").agg(
-        F.count(F.when(F.col("accepted"), 1)).alias("good"),
-        F.count(F.when(~F.col("accepted"), 1)).alias("bad"),
+        *(
+            F.coalesce(F.sum(F.when(is_label & of_model[m], F.col("n"))), F.lit(0)).alias(f"{label}_{m}")
+            for label, is_label in labels.items()
+            for m in _MODELS
+        )
     )
     trained = written(trained, "url-grams")
     # `tail` is the gram cut to the context length in hand; its blend so far is kept along.
     grams = positions.select("gram").distinct()
-    grams = grams.withColumn("p_good", F.lit(1 / 256)).withColumn("p_bad", F.lit(1 / 256))
+    grams = grams.select("gram", *(F.lit(1 / 256).alias(f"p_{c}") for c in columns))
     for k in range(order + 1):
         size = k + 1
         seen = trained.groupBy(F.substring("gram", order + 1 - k, size).alias("tail")).agg(
-            F.sum("good").alias("good"), F.sum("bad").alias("bad")
+            *(F.sum(c).alias(c) for c in columns)
         )
         context = seen.groupBy(F.substring("tail", 1, k).alias("context")).agg(
-            F.sum("good").alias("all_good"),
-            F.sum("bad").alias("all_bad"),
-            F.sum((F.col("good") > 0).cast("bigint")).alias("kinds_good"),
-            F.sum((F.col("bad") > 0).cast("bigint")).alias("kinds_bad"),
+            *(F.sum(c).alias(f"sum_{c}") for c in columns),
+            *(F.sum((F.col(c) > 0).cast("bigint")).alias(f"kinds_{c}") for c in columns),
         )
         grams = (
             grams.withColumn("tail", F.substring("gram", order + 1 - k, size))
@@ -142,32 +156,35 @@ def _log_ratios(positions: DataFrame, order: int) -> DataFrame:
                 "gram",
                 *(
                     F.when(
-                        F.coalesce(F.col(f"all_{c}"), F.lit(0)) > 0,
+                        F.coalesce(F.col(f"sum_{c}"), F.lit(0)) > 0,
                         (F.coalesce(F.col(c), F.lit(0)) + F.col(f"kinds_{c}") * F.col(f"p_{c}"))
-                        / (F.col(f"all_{c}") + F.col(f"kinds_{c}")),
+                        / (F.col(f"sum_{c}") + F.col(f"kinds_{c}")),
                     )
                     .otherwise(F.col(f"p_{c}"))
                     .alias(f"p_{c}")
-                    for c in ("good", "bad")
+                    for c in columns
                 ),
             )
         )
-    return grams.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
+    return grams.select(
+        "gram", *((F.log(f"p_good_{m}") - F.log(f"p_bad_{m}")).alias(f"ratio_{m}") for m in _MODELS)
+    )
 
 
 def _threshold(scored: DataFrame) -> float:
     """The cut between rejected and accepted training URLs with the best balanced accuracy.
 
-    The middle of the best stretch of a histogram with a fixed number of bins; 0 if one
-    class is missing.
+    Scores are those of the other half's models.  The middle of the best stretch of a
+    histogram with a fixed number of bins, the first of equal ones; 0 if one class is missing.
     """
-    bins = F.round(F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.col("score"))) * (_BINS / _LIMIT))
+    crossed = F.col("crossed")
+    bins = F.round(F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), crossed)) * (_BINS / _LIMIT))
     rows = (
         scored.filter("accepted is not null")
         .groupBy(bins.cast("bigint").alias("bin"))
         .agg(
-            F.count(F.when(F.col("accepted"), 1)).alias("good"),
-            F.count(F.when(~F.col("accepted"), 1)).alias("bad"),
+            F.coalesce(F.sum(F.when(F.col("accepted"), F.col("n"))), F.lit(0)).alias("good"),
+            F.coalesce(F.sum(F.when(~F.col("accepted"), F.col("n"))), F.lit(0)).alias("bad"),
         )
         .orderBy("bin")
         .collect()
@@ -194,11 +211,12 @@ def filter_urls(
 
     Host and path are those of `url_parts`.  The longest matching rule decides; `rule` is
     null where none matches, and the models decide.  `score` is the mean log-likelihood
-    difference per character of host, path, query, fragment and end mark, of every URL; a URL scoring at
+    difference per character of the whole URL and an end mark, of every URL; a URL scoring at
     least the calibrated threshold is allowed.  Without training URLs all score 0 and are
-    allowed.  A null URL, or one without `://`, is judged as an empty text.
+    allowed.  A null URL is judged as an empty text.
 
-    Equal URLs are scored once.  Input columns with the names of new ones are replaced.
+    Equal URLs are scored once, and weigh as many pages as they have.  Input columns with the
+    names of new ones are replaced.
     """
     kept = others(pages, "host", "path", "rule", "verdict", "score")
     url = column(url_col).cast("string")
@@ -206,26 +224,30 @@ def filter_urls(
     parted = pages.select(
         *(column(c) for c in kept), host.alias("host"), path.alias("path"), _said(url).alias("__said")
     )
-    texts = parted.select("host", "path", F.col("__said").alias("said")).distinct()
+    texts = parted.groupBy("host", "path", F.col("__said").alias("said")).agg(F.count(F.lit(1)).alias("n"))
     texts = texts.select(
         F.monotonically_increasing_id().alias("key"),
-        "host",
-        "path",
+        "n",
         _first_rule(rules, lambda r: r.text).cast("string").alias("rule"),
         _first_rule(rules, lambda r: r.allow).cast("boolean").alias("accepted"),
+        (F.crc32(F.col("said").cast("binary")) % 2).cast("int").alias("half"),
         "said",
     )
     texts = written(texts, "url-texts")
     positions = written(_positions(texts, order), "url-positions")
     ratios = _log_ratios(positions, order)
-    sums = (
-        positions.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
+    sums = positions.join(ratios, "gram").groupBy("key").agg(
+        *(F.avg(f"ratio_{m}").alias(f"score_{m}") for m in _MODELS)
+    )
+    crossed = F.when(F.col("half") == 0, F.col("score_1")).otherwise(F.col("score_0"))
+    scored = texts.join(sums, "key").select(
+        "said", "n", "rule", "accepted", F.col("score_all").alias("score"), crossed.alias("crossed")
     )
-    scored = written(texts.join(sums, "key").drop("key", "host", "path"), "url-scores")
+    scored = written(scored, "url-scores")
     cut = _threshold(scored)
     verdict = F.when(F.coalesce("accepted", F.col("score") >= cut), "allow").otherwise("block")
     # The text said tells host and path.
-    judged = scored.select(F.col("said").alias("__said"), "rule", verdict.alias("verdict"), "score")
-    return parted.join(judged, "__said").select(
+    judged = scored.select(F.col("said").alias("__said"), "rule", verdict.alias("verdict"), "score", F.col("n").alias("__n"))
+    return with_group_values(parted, "__said", judged, "__n").select(
         *(column(c) for c in kept), "host", "path", "rule", "verdict", "score"
     )

@@ -1,6 +1,13 @@
 from __future__ import annotations
 
-from scanmill.llm.decontaminate import contaminated, find_contamination, remove_spans
+import random
+import re
+
+import numpy as np
+import pytest
+
+from scanmill.llm import decontaminate
+from scanmill.llm.decontaminate import TABLE_BYTES, Windows, contaminated, find_contamination, remove_spans
 
 ITEM = " ".join(f"w{i}" for i in range(20))
 
@@ -57,3 +64,68 @@ def test_spans_are_cut_out(spark):
 def test_empty_tables(spark):
     assert marked(spark, [], ITEMS).collect() == []
     assert [r.n_hit for r in marked(spark, ROWS[:1], []).collect()] == [0]
+
+
+def plain(text, items, window=13):
+    """(words, hit words, items) of one text, by comparing words at every place."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    words, hit, found = split(text), set(), set()
+    for item, said in items:
+        own = split(said)
+        size = min(window, len(own))
+        wanted = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+        for at in range(len(words) - size + 1):
+            if tuple(words[at : at + size]) in wanted:
+                hit |= set(range(at, at + size))
+                found.add(str(item))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_random_texts_equal_plain_version(spark, monkeypatch, collide):
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice("aBé c9 d--e f") for _ in range(n))
+    items = [(i, said(rng.randint(0, 9))) for i in range(40)]
+    texts = [said(rng.randint(0, 60)) + " " + rng.choice(items)[1] for _ in range(80)]
+    if collide:
+        # Every window has the same hash: only the words can tell them apart.
+        same = decontaminate.windows
+        monkeypatch.setattr(decontaminate, "windows", lambda h, n: same(h, n) % np.uint64(2))
+    table = Windows([str(i) for i, _ in items], [t for _, t in items], 4)
+    import pyarrow as pa
+
+    from scanmill.llm.textscan import ALPHANUMERIC, LOWER, blocks, words_of
+
+    for text in texts:
+        (block,) = blocks(pa.array([text]))
+        words = words_of(block, ALPHANUMERIC, LOWER)
+        hit, found = set(), set()
+        for _, at, length, ids in decontaminate._hits(block, words, table):
+            hit |= set(range(at, at + length))
+            found |= {table.ids[i] for i in ids}
+        assert (int(words.counts()[0]), len(hit), sorted(found)) == plain(text, items, 4)
+
+
+def test_the_bound_is_that_of_the_table(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(400)) for _ in range(300)] * 2
+    table = Windows(list(map(str, range(600))), texts, 13)
+    arrays = [table._said, table._starts, table._ends]
+    for t in table.by_length.values():
+        arrays += [t.hashes, t.words, t.first, t.items]
+    held = sum(a.nbytes for a in arrays)
+    assert held <= sum(len(t) + TABLE_BYTES * (1 + t.count(" ") + 1) for t in texts)
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    estimate = sum(len(t) + TABLE_BYTES * (t.count(" ") + 2) for t in texts)
+    assert decontaminate._groups(items, estimate) == 1 and decontaminate._groups(items, estimate - 1) == 3
+    assert decontaminate._groups(items.limit(0), 1) == 1
+
+
+def test_many_groups_of_long_items(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(60)), 0) for i in range(30)]
+    texts = [f"x {items[i][1]} y {items[(i * 7) % 30][1][5:90]}" for i in range(30)]
+    docs = [(i, t, "", 0) for i, t in enumerate(texts)]
+    found = marked(spark, docs, items, max_broadcast_bytes=20_000).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r.hit_items)) for r in found}
+    assert got == {i: plain(t, [(a, b) for a, b, _ in items]) for i, t in enumerate(texts)}

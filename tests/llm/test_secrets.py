@@ -68,18 +68,28 @@ def counted(samples):
     return counts
 
 
-def quantile(values, share):
-    values = sorted(values)
-    return values[max(0, math.ceil(share * len(values)) - 1)]
+def crossed(samples):
+    halves = [[s for s in samples if zlib.crc32(s[0].encode()) % 2 == h] for h in (0, 1)]
+    models = [plain_ratios(counted(h)) for h in reversed(halves)]
+    return [(models[h](token), token, label) for h in (0, 1) for token, label in halves[h]]
+
+
+def best_cut(scored, cost):
+    bins = sorted({math.floor(s * 50) for s, _, _ in scored})
+    best, at = 0.0, math.inf
+    for low, high in zip(bins, bins[1:]):
+        above = {label: [math.floor(s * 50) > low for s, _, x in scored if x == label] for label in (True, False)}
+        gain = sum(above[True]) / len(above[True]) - cost * sum(above[False]) / len(above[False])
+        if gain > best + 1e-12:
+            best, at = gain, (low + 1 + high) / 100
+    return at
 
 
 def plain_model(samples):
-    halves = [[s for s in samples if zlib.crc32(s[0].encode()) % 2 == h] for h in (0, 1)]
-    crossed = [plain_ratios(counted(h)) for h in reversed(halves)]
-    scores = [(label, crossed[h](token)) for h in (0, 1) for token, label in halves[h]]
-    low = quantile([s for label, s in scores if not label], 0.999)
-    high = quantile([s for label, s in scores if label], 0.01)
-    return plain_ratios(counted(samples)), (low + high) / 2 if low < high else low
+    scored = crossed(samples)
+    cut = best_cut(scored, 1)
+    clean = [(token, label) for s, token, label in scored if label or s <= cut]
+    return plain_ratios(counted(clean)), best_cut(crossed(clean), 10)
 
 
 def test_model_and_spans_equal_plain_version(spark):
@@ -150,9 +160,12 @@ def test_long_texts_and_many_matches(spark):
     blob = "Ab3dEf9h" * 300_000
     data = spark.createDataFrame([(text, 1), (blob, 2), (None, 3)], "text string, spans int")
     model = S.SecretModel([1.0] * S._SYMBOLS**2, 0.5)
-    got = {r.spans: r for r in S.find_secrets(data, model).withColumn("n", F.size("spans")).select("n", "text", "base_spans", "spans").selectExpr("n", "size(base_spans) as spans", "spans[n-1] as last").collect()}
-    assert {k: r.n for k, r in got.items()} == {40_000: 40_000, 0: got[0].n}
-    assert got[40_000].last.end == len(text) - 1
+    found = S.find_secrets(data, model).select(
+        F.size("base_spans").alias("base"), F.size("spans").alias("n"), F.get("spans", F.size("spans") - 1).alias("last")
+    )
+    long, one, none = sorted(found.collect(), key=lambda r: -r.n)
+    assert (long.base, long.n, long.last.end) == (40_000, 40_000, len(text) - 1)
+    assert (one.base, one.n, one.last.end, none.n) == (0, 1, len(blob), 0)
 
 
 def test_samples_of_one_label_add_nothing(spark):
