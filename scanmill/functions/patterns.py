@@ -1,4 +1,4 @@
-"""Regular expressions for tokens and markup, in two dialects.
+"""Regular expressions for tokens, in two dialects.
 
 `spark` patterns are for Java's engine.  Every loop in them is possessive, which
 keeps matching iterative (no stack growth on a million-letter token) and linear.
@@ -8,8 +8,6 @@ loops nor look-behind and need neither.
 
 from __future__ import annotations
 
-from scanmill.functions.words import BLOCK_ELEMENTS
-
 # Unicode word-break classes (UAX #29 and Unicode Line_Break data).
 _HAN = r"\x{2E80}-\x{2FD5}\x{3005}\x{3007}\x{3021}-\x{3029}\x{3038}-\x{303B}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}"
 _HIRAGANA = r"\x{3041}-\x{3096}\x{309D}-\x{309F}"
@@ -65,33 +63,6 @@ def token_pattern(dialect: str = "spark", shortcut: bool = True) -> str:
     return rf"{_PLAIN_WORD}|{_NOT_A_START}(?:{full})"
 
 
-def hidden_pattern(dialect: str = "spark") -> str:
-    """Comments, scripts and styles; an unclosed one runs to the end of the page.
-
-    Groups 1-4 keep `<script` `>` / `<style` `>`, so those still act as block tags.
-    """
-    return (
-        r"(?is)<!--.*?(?:-->|\z)"
-        r"|(<script)[\s/>].*?(?:</script[^>]*(>)|\z)"
-        r"|(<style)[\s/>].*?(?:</style[^>]*(>)|\z)"
-    )
-
-
-def _tag_rest(dialect: str) -> str:
-    p = _possessive(dialect)
-    return rf"(?:[^>=]+{p}|=\s*{p}(?:\"[^\"]*{p}\"|'[^']*{p}')?{p})*{p}"
-
-
-def block_tag_pattern(dialect: str = "spark") -> str:
-    p = _possessive(dialect)
-    names = "|".join(BLOCK_ELEMENTS)
-    return rf"(?i)</?(?:{names})(?:[\s/]{_tag_rest(dialect)})?{p}(?:>|\z)"
-
-
-def other_tag_pattern(dialect: str = "spark") -> str:
-    return rf"(?i)</?[a-z]{_tag_rest(dialect)}(?:>|\z)|<[!?/][^>]*(?:>|\z)"
-
-
 def _possessive(dialect: str) -> str:
     if dialect not in ("spark", "re2"):
         raise ValueError(f"unknown regex dialect: {dialect!r}")

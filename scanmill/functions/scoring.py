@@ -1,4 +1,7 @@
-"""Ranking formulas as Column expressions."""
+"""Ranking formulas.
+
+Those without a logarithm are plain arithmetic, for Columns and for numpy arrays alike.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +24,10 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5))
 
 
-def bm25_term(
-    tf: Column, doc_len: Column, average_length: Column, k1: float = K1, b: float = B
-) -> Column:
+def bm25_term(tf, doc_len, average_length, k1: float = K1, b: float = B):
     """Saturated, length-normalised term frequency."""
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * doc_len / average_length)
-    return F.lit(k1 + 1.0) * tf / (norm + tf)
+    norm = k1 * ((1.0 - b) + b * doc_len / average_length)
+    return (k1 + 1.0) * tf / (norm + tf)
 
 
 def is_jelinek_mercer(smoothing: float) -> bool:
@@ -34,8 +35,8 @@ def is_jelinek_mercer(smoothing: float) -> bool:
     return smoothing <= 1.0
 
 
-def likelihood(tf: Column, doc_len: Column, background: Column, smoothing: float) -> Column:
+def likelihood(tf, doc_len, background, smoothing: float):
     """Smoothed probability of a term in a document (doc_len > 0)."""
     if is_jelinek_mercer(smoothing):
-        return F.lit(smoothing) * tf / doc_len + F.lit(1.0 - smoothing) * background
-    return (tf + F.lit(smoothing) * background) / (doc_len + F.lit(smoothing))
+        return smoothing * tf / doc_len + (1.0 - smoothing) * background
+    return (tf + smoothing * background) / (doc_len + smoothing)

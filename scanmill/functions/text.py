@@ -1,12 +1,11 @@
 """Text scalars as Column expressions: header stripping, markup, analyzers.
 
-All of it runs in the JVM apart from entity decoding and Porter stemming, which get
-Arrow batches of stripped text and of tokens.
+All of it runs in the JVM apart from the text of HTML pages and Porter stemming, which get
+Arrow batches of pages and of tokens.
 """
 
 from __future__ import annotations
 
-import html as _html
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanmill.functions import patterns
+from scanmill.functions.markup import visible_texts
 from scanmill.functions.stemming import stem_tokens
 from scanmill.functions.words import ENGLISH_STOP_WORDS, FUNCTION_WORDS
 
@@ -60,30 +60,18 @@ def strip_http_headers(content: Column | str, version: str = "1.0") -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def _decode_entities(text: pa.Array) -> pa.Array:
-    decoded = [None if t is None else _html.unescape(t) for t in text.to_pylist()]
-    return pa.array(decoded, pa.string())
+def _visible_texts(pages: pa.Array) -> pa.Array:
+    return visible_texts(pages)
 
 
-def decode_entities(text: Column | str) -> Column:
-    """HTML character references to characters, by the HTML5 rules.
+def html_to_text(page: Column | str) -> Column:
+    """Visible text of an HTML page, references decoded, whitespace normalised.
 
-    Only texts that hold a `&` go through Python.
+    Only pages that hold a `<` or a `&` go through Python.
     """
-    text = _col(text)
-    return F.coalesce(_decode_entities(F.when(F.contains(text, F.lit("&")), text)), text)
-
-
-def strip_markup(page: Column | str) -> Column:
-    """Drop comments, scripts, styles and tags; block tags leave a space."""
-    text = F.regexp_replace(_col(page), patterns.hidden_pattern(), "$1$2$3$4")
-    text = F.regexp_replace(text, patterns.block_tag_pattern(), " ")
-    return F.regexp_replace(text, patterns.other_tag_pattern(), "")
-
-
-def html_to_text(page: Column | str) -> Column:
-    """Visible text of an HTML page, entities decoded, whitespace normalised."""
-    text = decode_entities(strip_markup(page))
+    page = _col(page)
+    marked = F.contains(page, F.lit("<")) | F.contains(page, F.lit("&"))
+    text = F.coalesce(_visible_texts(F.when(marked, page)), page)
     return F.trim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "))
 
 

@@ -1,12 +1,13 @@
 """Ranked retrieval: BM25 and query likelihood, all queries in one scan.
 
-Every plan has the same shape: vectors -> postings (in-row) -> join with the
-broadcast query terms -> one sum per document and query (combined before its
-shuffle) -> best k per query (cut down in each task before its shuffle).
+Every plan has the same shape: vectors -> scores of every document and query that meet,
+made inside the row against the broadcast query terms -> best k per query, cut down in
+each task.  Only what that leaves of each query is exchanged.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from scanmill.functions import scoring
 from scanmill.functions.text import Analyzer
 from scanmill.operators import queries as Q
 from scanmill.operators.numbering import dense_ids
+from scanmill.operators.scan import Matches, Scorer, Sums, scan_scores
 from scanmill.operators.vectors import postings
 from scanmill.runtime import has_at_most, written
 
@@ -76,19 +78,28 @@ def bm25_scores(
     k1: float = scoring.K1,
     b: float = scoring.B,
     average_length: float | Column | None = scoring.AVERAGE_LENGTH,
-    row_key: list[str] | None = None,
-    small: bool | None = None,
+    k: int | None = None,
+    margin: float = 0.0,
 ) -> DataFrame:
-    """(qid, docid, score) of every document that shares a term with a query."""
+    """(qid, docid, score) of every document that shares a term with a query.
+
+    With `k`, rows more than `margin` below the k best of a query may be missing.
+    """
     length = Q.average_length(vectors) if average_length is None else F.lit(average_length)
     weights = query_terms.select(
         "qid", "term_id", (F.col("qtf") * scoring.idf(F.col("df"), n_docs)).alias("weight")
     )
-    entries, document = postings(vectors, row_key)
-    matched = entries.join(Q.bounded(weights, small), "term_id")
-    part = F.col("weight") * scoring.bm25_term(F.col("tf"), F.col("doc_len"), length, k1, b)
-    scores = matched.groupBy(*document, "qid").agg(F.sum(part).alias("score"))
-    return scores.select("qid", "docid", "score")
+
+    def part(m: Matches) -> np.ndarray:
+        return m.values["weight"] * scoring.bm25_term(m.tf, m.doc_len, m.average_length, k1, b)
+
+    scorer = Scorer(part, lambda sums: sums.total)
+    return scan_scores(vectors, weights, ["weight"], [], scorer, length, k, margin)
+
+
+def _margin(digits: int | None) -> float:
+    """Scores this close may be equal once they are rounded."""
+    return 0.0 if digits is None else 2 * 10.0**-digits
 
 
 def bm25_topk(
@@ -111,13 +122,15 @@ def bm25_topk(
     """Best k documents per query (qid, text), by BM25 over flat or unique vectors.
 
     `average_length=None` measures it; `n_docs=None` counts the vectors.  With
-    `positive_only=False`, documents without any query word score 0 and take part.
+    `positive_only=False`, documents without any query word score 0 and take part.  Each row
+    is a document, whether or not rows share an id (`row_key` is not needed for that).
     """
     n = Q.document_count(vectors) if n_docs is None else F.lit(n_docs)
 
     def rank(asked: DataFrame) -> DataFrame:
         terms = Q.prepare_queries(asked, dictionary, analyzer, True)
-        scores = bm25_scores(vectors, terms, n, k1, b, average_length, row_key, True)
+        best = k if positive_only else None
+        scores = bm25_scores(vectors, terms, n, k1, b, average_length, best, _margin(digits))
         scores = scores.withColumn("score", _rounded(F.col("score"), digits))
         if positive_only:
             scores = scores.filter("score > 0")
@@ -184,8 +197,8 @@ def likelihood_scores(
     collection_size: Column,
     smoothing: float = scoring.SMOOTHING,
     background: str = "df",
-    row_key: list[str] | None = None,
-    small: bool | None = None,
+    k: int | None = None,
+    margin: float = 0.0,
 ) -> DataFrame:
     """(qid, docid, score): log P(query | document) over the distinct query terms.
 
@@ -198,6 +211,8 @@ def likelihood_scores(
     and the last sum depends on the document only through its length: it is
     `sum ln(c * background)`, a constant of the query, minus `terms * ln(len + mu)`
     for the Dirichlet prior.
+
+    With `k`, rows more than `margin` below the k best of a query may be missing.
     """
     if background not in ("df", "cf"):
         raise ValueError(f"unknown background {background!r}, expected df|cf")
@@ -210,25 +225,26 @@ def likelihood_scores(
     per_query = terms.groupBy("qid").agg(
         F.sum("absent").alias("absent_sum"), F.count(F.lit(1)).alias("n_terms")
     )
-    weights = terms.join(Q.bounded(per_query, small), "qid")
-    entries, document = postings(vectors, row_key)
-    matched = entries.join(Q.bounded(weights, small), "term_id")
-    tf, length = F.col("tf"), F.col("doc_len")
-    if mixing:
-        present = F.log(scoring.likelihood(tf, length, F.col("p"), smoothing))
-        by_length = F.lit(0.0)
-    else:
-        present = F.log(tf + F.lit(smoothing) * F.col("p"))
-        by_length = F.col("n_terms") * F.log(length + F.lit(smoothing))
-    sums = matched.groupBy(*document, "doc_len", "qid", "n_terms", "absent_sum").agg(
-        F.sum(present - F.col("absent")).alias("gain"), F.count(F.lit(1)).alias("n_matched")
-    )
-    score = F.col("gain") + F.col("absent_sum") - by_length
-    if share == 0:
+    # The driver collects these terms in parts of a bounded size.
+    weights = terms.join(per_query, "qid")
+
+    def part(m: Matches) -> np.ndarray:
+        if mixing:
+            present = np.log(scoring.likelihood(m.tf, m.doc_len, m.values["p"], smoothing))
+        else:
+            present = np.log(m.tf + smoothing * m.values["p"])
+        return present - m.values["absent"]
+
+    def score(sums: Sums) -> np.ndarray:
+        n = sums.values["n_terms"]
+        found = sums.total + sums.values["absent_sum"]
+        if not mixing:
+            found = found - n * np.log(sums.doc_len + smoothing)
         # Without background, a document that lacks a term is impossible.
-        complete = F.col("n_matched") == F.col("n_terms")
-        score = F.when(complete, score).otherwise(F.lit(float("-inf")))
-    return sums.select("qid", "docid", score.alias("score"))
+        return found if share > 0 else np.where(sums.n_matched == n, found, -np.inf)
+
+    names = ["p", "absent"], ["absent_sum", "n_terms"]
+    return scan_scores(vectors, weights, *names, Scorer(part, score), None, k, margin)
 
 
 def matching_pairs(
@@ -284,7 +300,7 @@ def lm_topk(
 
     def rank(asked: DataFrame) -> DataFrame:
         terms = Q.prepare_queries(asked, dictionary, analyzer, True)
-        scores = likelihood_scores(vectors, terms, size, smoothing, background, row_key, True)
+        scores = likelihood_scores(vectors, terms, size, smoothing, background, k, _margin(digits))
         return top_k(scores.withColumn("score", _rounded(F.col("score"), digits)), k, tie, tag)
 
     return Q.in_groups(queries, rank)

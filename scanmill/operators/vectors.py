@@ -5,32 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanmill.functions.lookup import IdIndex, TermIndex, decoded, encoded, index_of
 from scanmill.functions.text import MAX_DOCUMENT_CHARS, Analyzer
 from scanmill.operators.documents import document_tokens, with_docid, with_status
 from scanmill.runtime import exploded, keyed, together, written
 
-# Dictionaries up to this many terms, of this many bytes each on average, are broadcast
-# whole.  Of larger ones only as many of the most frequent terms are as fit, and the
-# other tokens meet the rest of the dictionary in a shuffle join.
+# Dictionaries up to this many terms, of this many bytes each on average, are looked up
+# inside the row, in an index that is broadcast.  Of larger ones only as many of the most
+# frequent terms are, and only tokens outside that head leave their row.
 BROADCAST_TERMS = 1_000_000
 _TERM_BYTES = 64
-_ENTRY_BYTES = 48  # of a hash table's entry, without the term
+_ENTRY_BYTES = 48  # of an index entry and what building it takes, without the term
 
-# Copies of the rest of the dictionary in that shuffle join.  An unknown token can be
-# as frequent as any (say, one cut off by a df maximum); salted, its rows are spread.
+# Copies of the rest of the dictionary in the shuffle join of those tokens.  An unknown token
+# can be as frequent as any (say, one cut off by a df maximum); salted, its rows are spread.
 TAIL_SALTS = 16
 
 
-def _packed(pos: str, value: str) -> Column:
-    """Position and id in one long: sorts by position, 8 bytes in a shuffle."""
-    return F.shiftleft(F.col(pos).cast("bigint"), 32).bitwiseOR(F.col(value).cast("bigint"))
-
-
-def _unpacked(packed: Column) -> Column:
-    ordered = F.sort_array(packed)
-    return F.transform(ordered, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-
-
 def _broadcast_head(dictionary: DataFrame, terms: int) -> int | None:
     """How many of the most frequent terms may be broadcast; `None` for all of them."""
     size = F.sum(F.octet_length("term") + _ENTRY_BYTES)
@@ -40,35 +31,32 @@ def _broadcast_head(dictionary: DataFrame, terms: int) -> int | None:
     return min(terms, int(terms * _TERM_BYTES * rows / held))
 
 
-def _join_bounded(
-    docs: DataFrame, group: list[str], array: str, dictionary: DataFrame, key: str, value: str, terms: int
+def _tail_matches(
+    rows: DataFrame, group: list[str], positions: Column, keys: Column, tail: DataFrame, key: str, value: str
 ) -> DataFrame:
-    """(group, _pos, key, value): array elements left-joined with the dictionary.
+    """(group, _late): for each row with any, the (position, value) pairs found in the tail.
 
-    `_pos` is null for an empty array.  Rows whose key is unknown keep a null value, or
-    are dropped unless they are the first of their document, which stands for it.
+    `keys` are the array elements that the head does not know, `positions` their places.
     """
-    docs = docs.select(*group, array)
-    head_terms = _broadcast_head(dictionary, terms)
-    if head_terms is not None:
-        # Two branches read the arrays: written first, they are computed once.
-        docs = written(docs, "arrays")
-    rows = docs.select(*group, F.posexplode_outer(array).alias("_pos", key))
-    if head_terms is None:
-        return rows.join(F.broadcast(dictionary.select(key, value)), key, "left")
-    # Ids are dense and ordered by df: this head is bounded, and holds all hot keys.
-    is_head = F.col("term_id") <= head_terms
-    head = F.broadcast(dictionary.filter(is_head).select(key, value))
-    tail = dictionary.filter(~is_head).select(key, value)
-    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
-    near = rows.join(head, key, "left").filter(F.col(value).isNotNull() | first)
-    place = [c for c in rows.columns if c != key]
+    each = rows.select(*group, F.explode(F.arrays_zip(positions.alias("pos"), keys.alias("key"))).alias("_e"))
+    each = each.select(*group, F.col("_e.pos").alias("_pos"), F.col("_e.key").alias(key))
+    salted = each.withColumn("_salt", F.pmod(F.xxhash64(*group, "_pos"), F.lit(TAIL_SALTS)).cast("int"))
     salts = F.sequence(F.lit(0), F.lit(TAIL_SALTS - 1))
-    salted = tail.select(key, value, F.explode(salts).alias("_salt"))
-    far = rows.join(head.select(key), key, "left_anti").withColumn(
-        "_salt", F.pmod(F.xxhash64(*place), F.lit(TAIL_SALTS)).cast("int")
-    )
-    return near.unionByName(far.join(salted, [key, "_salt"]).drop("_salt"))
+    copies = tail.select(key, value, F.explode(salts).alias("_salt"))
+    found = salted.join(copies, [key, "_salt"])
+    return found.groupBy(*group).agg(F.collect_list(F.struct("_pos", value)).alias("_late"))
+
+
+def _with_late(rows: DataFrame, late: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with `_late`, null where nothing was found; keys may be null."""
+    renamed = late.select(*(F.col(g).alias(f"_late_{g}") for g in group), "_late")
+    same = [F.col(g).eqNullSafe(F.col(f"_late_{g}")) for g in group]
+    return rows.join(renamed, same, "left").drop(*(f"_late_{g}" for g in group))
+
+
+def _merged(early: Column, late: Column, value: str) -> Column:
+    """Elements of `early` (position, value) and of `late`, in the order of positions."""
+    return F.transform(F.array_sort(F.concat(early, late)), lambda x: x[value])
 
 
 def encode_tokens(
@@ -80,14 +68,31 @@ def encode_tokens(
 ) -> DataFrame:
     """Replace `tokens` by `term_ids`, in order, unknown tokens dropped.
 
-    Every input row gives one output row, if need be with an empty array: null
-    positions and ids survive the outer join and vanish in the collection.
+    Every input row gives one output row, if need be with an empty array.  Nothing is
+    exchanged, unless the dictionary is too large to be shared: then the tokens outside its
+    head leave the row to meet the tail, and what they find comes back to it.
     """
+    head_terms = _broadcast_head(dictionary, broadcast_terms)
+    if head_terms is None:
+        index = index_of(dictionary, TermIndex)
+        return docs.select(*keep, encoded("tokens", index).alias("term_ids"))
     rows, key = keyed(docs, row_key)
     group = together(key, keep)
-    coded = _join_bounded(rows, group, "tokens", dictionary, "term", "term_id", broadcast_terms)
-    ids = _unpacked(F.collect_list(_packed("_pos", "term_id")))
-    return coded.groupBy(*group).agg(ids.alias("term_ids")).select(*keep, "term_ids")
+    # Ids are dense and ordered by df: this head is bounded, and holds all hot terms.
+    is_head = F.col("term_id") <= head_terms
+    index = index_of(dictionary.filter(is_head), TermIndex)
+    rows = rows.select(*group, "tokens", encoded("tokens", index, True).alias("_ids"))
+    # Two branches read the arrays: written first, they are computed once.
+    rows = written(
+        rows.select(*group, "_ids", F.filter("tokens", lambda _, i: F.get("_ids", i) == 0).alias("_unknown")), "arrays"
+    )
+    places = F.filter(F.transform("_ids", lambda v, i: F.when(v == 0, i)), lambda p: p.isNotNull())
+    late = _tail_matches(rows, group, places, F.col("_unknown"), dictionary.filter(~is_head), "term", "term_id")
+    joined = _with_late(rows.drop("_unknown"), late, group)
+    known = F.filter(F.transform("_ids", lambda v, i: F.struct(i.alias("_pos"), v.alias("term_id"))), lambda e: e["term_id"] > 0)
+    whole = _merged(known, F.col("_late"), "term_id")
+    plain = F.filter("_ids", lambda v: v > 0)
+    return joined.select(*keep, F.when(F.col("_late").isNull(), plain).otherwise(whole).alias("term_ids"))
 
 
 def build_doc_vectors(
@@ -115,13 +120,28 @@ def decode_doc_vectors(
     row_key: list[str] | None = None,
     broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """(docid, terms): the terms of each flat vector, in order."""
+    """(docid, terms): the terms of each flat vector, in order; unknown ids are dropped.
+
+    Nothing is exchanged, unless the dictionary is too large to be shared.
+    """
+    head_terms = _broadcast_head(dictionary, broadcast_terms)
+    if head_terms is None:
+        return vectors.select("docid", decoded("term_ids", index_of(dictionary, IdIndex)).alias("terms"))
     rows, key = keyed(vectors, row_key)
     group = together(key, ["docid"])
-    named = _join_bounded(rows, group, "term_ids", dictionary, "term_id", "term", broadcast_terms)
-    entry = F.when(F.col("term").isNotNull(), F.struct("_pos", "term"))
-    terms = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["term"])
-    return named.groupBy(*group).agg(terms.alias("terms")).select("docid", "terms")
+    is_head = F.col("term_id") <= head_terms
+    index = index_of(dictionary.filter(is_head), IdIndex)
+    rows = rows.select(*group, "term_ids", decoded("term_ids", index, True).alias("_terms"))
+    # Two branches read the arrays: written first, they are computed once.
+    missing = F.filter("term_ids", lambda _, i: F.get("_terms", i).isNull())
+    rows = written(rows.select(*group, "_terms", missing.alias("_unknown")), "arrays")
+    places = F.filter(F.transform("_terms", lambda t, i: F.when(t.isNull(), i)), lambda p: p.isNotNull())
+    late = _tail_matches(rows, group, places, F.col("_unknown"), dictionary.filter(~is_head), "term_id", "term")
+    joined = _with_late(rows.drop("_unknown"), late, group)
+    numbered = F.transform("_terms", lambda t, i: F.struct(i.alias("_pos"), t.alias("term")))
+    whole = _merged(F.filter(numbered, lambda e: e["term"].isNotNull()), F.col("_late"), "term")
+    plain = F.filter("_terms", lambda t: t.isNotNull())
+    return joined.select("docid", F.when(F.col("_late").isNull(), plain).otherwise(whole).alias("terms"))
 
 
 def _let(value: Column, body) -> Column:

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanmill.operators import queries as Q
+from scanmill.operators import ranking
 from scanmill.operators import vectors as vectors_module
 from scanmill.operators.dictionary import build_dictionary
 from scanmill.operators.ranking import bm25_topk, candidate_terms, lm_topk
 from scanmill.operators.statistics import compute_term_statistics, term_frequencies
-from scanmill.operators.vectors import build_doc_vectors, to_unique_vectors
+from scanmill.operators.vectors import build_doc_vectors, decode_doc_vectors, to_unique_vectors
 from scanmill.runtime import written
 from scanmill.sinks.tables import write_doc_vectors
 from scanmill.sources.tables import read_doc_vectors, read_documents
@@ -41,12 +42,13 @@ def test_explode_does_not_repeat_the_analysis(stored):
     assert physical(term_frequencies(stored[0], "porter", html=False)).count("ArrowEvalPython") == 1
 
 
-def test_vectors_broadcast_a_checked_dictionary(stored):
-    docs, terms, _, _ = stored
+def test_vectors_are_coded_and_decoded_inside_the_row(stored):
+    docs, terms, vectors, _ = stored
     plan = physical(build_doc_vectors(docs, terms, "porter", html=False))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("ArrowEvalPython") == 1
+    # One pass for stems and ids together; no join and nothing exchanged.
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    plan = physical(decode_doc_vectors(vectors, terms))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
     beyond = physical(build_doc_vectors(docs, terms, "porter", html=False, broadcast_terms=2))
     assert "_salt" in beyond
 
@@ -56,11 +58,31 @@ def test_ranking_is_one_scan_with_early_cuts(stored, rank):
     _, terms, vectors, asked = stored
     run = rank(written(to_unique_vectors(vectors)), terms, asked, 10)
     plan = physical(run)
-    assert plan.count("WindowGroupLimit") == 2
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert "SortMergeJoin" not in plan
-    # Postings meet the broadcast query terms before anything is shuffled.
-    assert plan.index("Generate explode(terms") > plan.index("BroadcastHashJoin")
+    assert plan.count("WindowGroupLimit") == 2 and "Join" not in plan
+    # Documents meet the queries in the row; what is exchanged is what the cut leaves of a query.
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(qid" in exchanges[0]
+    below = plan.splitlines()[plan.splitlines().index(exchanges[0]) + 1 :]
+    assert "WindowGroupLimit" in "".join(below)
+
+
+@pytest.mark.parametrize("rank", [bm25_topk, lm_topk])
+def test_the_scan_cuts_each_task(spark, corpus, rank):
+    """Rows leave the scan only if they may be among the best of their query."""
+    many = spark.range(3000).selectExpr(
+        "cast(id as string) docid", "concat(repeat('apple ', int(id % 7) + 1), 'cherry banana') content"
+    )
+    docs = written(many.coalesce(1))
+    terms = build_dictionary(compute_term_statistics(docs, "porter", 1, html=False))
+    vectors = written(to_unique_vectors(build_doc_vectors(docs, terms, "porter", html=False)))
+    asked = spark.createDataFrame([(1, "apple"), (2, "banana cherry"), (3, "nothing")], "qid int, text string")
+    prepared = Q.prepare_queries(asked, terms, "porter")
+    score = ranking.bm25_scores if rank is bm25_topk else ranking.likelihood_scores
+    whole = score(vectors, prepared, F.lit(9000))
+    cut = score(vectors, prepared, F.lit(9000), k=5, margin=1e-6)
+    assert whole.count() == 6000 and cut.count() < 2500
+    expected = ranking.top_k(whole.withColumn("score", F.round("score", 6)), 5).collect()
+    assert sorted(ranking.top_k(cut.withColumn("score", F.round("score", 6)), 5).collect()) == sorted(expected)
 
 
 @pytest.mark.parametrize("rank", [bm25_topk, lm_topk])
@@ -128,5 +150,6 @@ def test_a_large_dictionary_costs_one_analysis(stored, monkeypatch):
     kept = []
     monkeypatch.setattr(vectors_module, "written", lambda df, name: kept.append(physical(df)) or written(df, name))
     plan = physical(build_doc_vectors(docs, terms, "porter", html=True, broadcast_terms=2))
+    # The text of pages, then stems and ids.
     assert len(kept) == 1 and kept[0].count("ArrowEvalPython") == 2 and kept[0].count("Scan parquet") == 1
     assert "ArrowEvalPython" not in plan

@@ -189,9 +189,11 @@ def test_dictionary_of_a_larger_corpus(spark, wide):
 
 
 def test_query_lines(spark):
-    lines = ["15:espn sports", "16:a: b", "no number", "x:y", " 17 :z", "99999999999:big", ""]
+    lines = ["15:espn sports", "16:a: b", "no number", "x:y", " 17 :z", "99999999999:big", "9223372036854775808:beyond", ""]
     got = parse_query_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
-    assert {r.qid: r.text for r in got.collect()} == {15: "espn sports", 16: "a: b", 17: "z"}
+    assert {r.qid: r.text for r in got.collect()} == {
+        15: "espn sports", 16: "a: b", 17: "z", 99999999999: "big"
+    }
 
 
 def test_run_lines(spark):

@@ -92,6 +92,41 @@ def test_both_dialects_agree(spark):
         ("a <unclosed attr", "a"),
         ("<p-x>a</p-x>b", "ab"),
         ("a<!-- never closed", "a"),
+        # Comments that end early, late or never; bogus ones; declarations.
+        ("a<!-->b", "ab"),
+        ("a<!--->b", "ab"),
+        ("a<!-- x --!>b", "ab"),
+        ("a<!-- x -- > y -->b", "ab"),
+        ("a</ x>b", "ab"),
+        ("a</>b", "ab"),
+        ("a</", "a</"),
+        ("a<?php echo '>'; ?>b", "a'; ?>b"),
+        ("a<![CDATA[ x > y ]]>b", "a y ]]>b"),
+        ("<svg><![CDATA[ x > y &amp; ]]></svg>b", "x > y &amp; b"),
+        ("<svg/><![CDATA[ x > y ]]>b", "y ]]>b"),
+        ("<svg><p>a<![CDATA[ x > y ]]>", "a y ]]>"),
+        # Attribute values.
+        ("<a x='>' y = \">\" z=>k</a>", "k"),
+        ("<a x=\"never closed>k</a>", ""),
+        ("<img alt=a/b>k<br/>l", "k l"),
+        ("<a ='x>y'>k", "y'>k"),
+        ("<a / x = '/>'/>k", "k"),
+        # Raw text and escapable raw text.
+        ("<title>a<b>c</b>&amp;d</TITLE >e", "a<b>c</b>&d e"),
+        ("<textarea><!-- x --></textarea>y", "<!-- x -->y"),
+        ("<xmp>a<p>&amp;</xmp>b", "a<p>&amp;b"),
+        ("a<title>no end", "a no end"),
+        ("<plaintext>a<b>&lt;</plaintext>", "a<b>&lt;</plaintext>"),
+        ("<style></styles>x</style>y", "y"),
+        ("a<script><!-- <script> </script> --></script>b", "a b"),
+        ("a<script><!-- </script>b", "a b"),
+        ("a<script><!--><script></script>b", "a b"),
+        ("a<script>no end <p>", "a"),
+        # What only looks like markup.
+        ("1<2 <3 a<1>b < i", "1<2 <3 a<1>b < i"),
+        ("<é>x</é>", "<é>x"),
+        ("&am<b>p;</b> &ampx &notit; &#x41 &#0;", "&amp; &x ¬it; A \ufffd"),
+        ("<P\nCLASS=x>a<DIV\f>b", "a b"),
     ],
 )
 def test_html_to_text(spark, page, text):
