@@ -1,8 +1,9 @@
 """Web archives: a writer that stores equal payloads once, and a salvage reader.
 
 The writer makes one gzip member per record, as archives do, and Spark's text writer puts
-them into files.  That writer adds a separator after every row, so a row holds its member
-without the last byte, which is 0, and the separator is that byte.
+them into files.  That writer adds a separator after every row, so a row holds some members
+without the last byte, which is 0, and the separator is that byte.  Files are bounded by rows,
+and rows by bytes: a record that is larger follows on as many empty members as it is worth rows.
 
 The reader checks every member and record (gzip CRC, version line, headers, length, end
 mark, block digest).  After a failed check it searches for the next valid member or
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from scanmill.llm.frames import column
 
-MAX_RECORDS_PER_FILE = 5000
+# A file holds so many rows at most, so 128 MB, or one longer record beside 120 MB.
+ROWS_PER_FILE = 16
+_ROW_BYTES = 8 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
-_MAX_HEADER = 1 << 20
 _CHUNK = 64 << 10
 _BATCH_BYTES = 8 << 20
 _DATE = "2025-01-01T00:00:00Z"
@@ -89,6 +91,10 @@ def member(record: bytes) -> bytes:
     return packed
 
 
+# Ends with the checksum and size of nothing, so with a 0.
+_EMPTY_MEMBER = member(b"")
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
@@ -118,17 +124,31 @@ def write_archives(
         "page", "url", "payload", F.col("__sha").isNotNull().alias("revisit"), "first"
     )
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            packed = [
-                member(record_bytes(*(c[i].as_py() for c in batch.columns)))[:-1]
-                for i in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+            for i in range(batch.num_rows):
+                packed = member(record_bytes(*(c[i].as_py() for c in batch.columns)))
+                if held and size + len(packed) > _ROW_BYTES:
+                    yield b"".join(held)[:-1]
+                    held, size = [], 0
+                # Rows that are worth the rest of a long record come before it, so that a new
+                # file is begun for it.
+                for _ in range(len(packed) // _ROW_BYTES):
+                    yield _EMPTY_MEMBER[:-1]
+                held.append(packed)
+                size += len(packed)
+        if held:
+            yield b"".join(held)[:-1]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
     members = marked.mapInArrow(pack, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\x00").option(
-        "maxRecordsPerFile", MAX_RECORDS_PER_FILE
+        "maxRecordsPerFile", ROWS_PER_FILE
     ).text(path)
 
 
@@ -155,19 +175,21 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     line = _VERSION.match(data, at)
     if not line:
         raise _Bad("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + _MAX_HEADER)
-    if stop < 0:
-        raise _Bad("headers do not end")
     headers: dict[str, str] = {}
-    for raw in data[line.end() : stop].split(b"\r\n"):
-        name, colon, value = raw.decode("utf-8", "replace").partition(":")
+    start = line.end()
+    # Lines are read one by one: what is no header ends the search, however long the file is.
+    while (stop := data.find(b"\r\n", start)) != start:
+        if stop < 0:
+            raise _Bad("headers do not end")
+        name, colon, value = data[start:stop].partition(b":")
         if not colon:
             raise _Bad("bad header line")
-        headers[name.strip().lower()] = value.strip()
+        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        start = stop + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()) or "warc-type" not in headers:
         raise _Bad("no usable length or type")
-    first = stop + 4
+    first = stop + 2
     end = first + int(length)
     if end > len(data):
         raise _Bad("block is cut off")
@@ -262,16 +284,26 @@ def _plain_record(data: bytes, view: memoryview, at: int) -> int:
 def salvage(data: bytes) -> Iterator[Found]:
     """Records and gaps of a file, compressed by member or not at all, in file order.
 
-    Bytes of a member that fails are one gap, up to the next good member or plain record; whole records
-    that come out of it before the failure are kept.  Empty members are skipped.
+    A record at a version line is taken as it stands, whatever its block holds.  Only after a
+    failed check is the next good member or record searched for.  Bytes of a member that fails
+    are one gap, up to there; whole records that come out of it before the failure are kept.
+    Empty members are skipped.
     """
     view = memoryview(data)
     at, size = 0, len(data)
+    known = -1  # the next good member, once it was searched for
+
+    def next_member(start: int) -> int:
+        nonlocal known
+        if known < start:
+            known = _next_member(data, view, start)
+        return known
+
     while at < size:
         if data[at : at + 3] == _MAGIC:
             inner, end, failed = _inflate(view, at)
             if failed is not None:
-                end = min(_plain_record(data, view, at), _next_member(data, view, at + 1))
+                end = min(_plain_record(data, view, at), next_member(at + 1))
             for found in _records(inner):
                 if found.reason is None:
                     yield Found(at, end, None, found.headers, found.block)
@@ -279,19 +311,15 @@ def salvage(data: bytes) -> Iterator[Found]:
                     yield Found(at, end, f"{found.reason} (bytes {found.start} to {found.end} of the member)")
             if failed is not None:
                 yield Found(at, end, failed)
-            at = end
-        elif _VERSION.match(data, at):
-            # Plain records run to the next member, or to the end.
-            after = _next_member(data, view, at)
-            part = data if (at, after) == (0, size) else data[at:after]
-            for found in _records(part):
-                yield Found(at + found.start, at + found.end, found.reason, found.headers, found.block)
-            at = after
         else:
-            line, packed = _next_record(data, at + 1), _next_member(data, view, at + 1)
-            end = min(line, packed)
-            yield Found(at, end, "neither member nor version line")
-            at = end
+            try:
+                headers, block, end = _parse(data, at)
+                yield Found(at, end, None, headers, block)
+            except _Bad as bad:
+                end = min(_next_record(data, at + 1), next_member(at + 1))
+                reason = str(bad) if _VERSION.match(data, at) else "neither member nor version line"
+                yield Found(at, end, reason)
+        at = end
 
 
 def _payload(block: bytes) -> bytes:
@@ -316,7 +344,8 @@ def salvage_archives(spark: SparkSession, paths: str | list[str], with_payload:
     has none, states them in its headers.  `with_payload` adds the payload itself.
 
     Files are read by Spark, so any store it reads will do.  A file is one row of at most
-    2 GiB, and the unit of parallelism; the task that reads it holds it in memory.
+    2 GiB, and the unit of parallelism; the task that reads it holds it in memory.  The writer
+    of this module keeps its files far below that.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     schema = _SCHEMA + (", payload binary" if with_payload else "")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 
+from scanmill.llm import warc_salvage
 from scanmill.llm.warc_salvage import (
     digest_of,
     member,
@@ -113,3 +114,42 @@ def test_plain_records_after_a_broken_member():
     stored[-6] ^= 0xFF  # the checksum: what the member stores is not read twice
     assert ids(bytes(stored)) == [0, 1, 2]
     assert ids(bytes(stored) + b"\n" + b"".join(RECORDS[1:4])) == [0, 1, 2, 1, 2, 3]
+
+
+def test_an_archive_inside_a_record_stays_inside():
+    for inner in (member(RECORDS[1]), RECORDS[1] + member(RECORDS[2]), gzip.compress(b"".join(RECORDS[:3]))):
+        outer = record_bytes(7, "u", inner, False, None)
+        for data in (outer, outer + RECORDS[3], member(outer), RECORDS[0] + outer + member(RECORDS[4])):
+            assert gaps(data) == [] and set(ids(data)) - {0, 3, 4} == {7}
+        found = next(f for f in salvage(outer))
+        assert found.block.endswith(inner)
+    # Once the outer record fails, what can be read inside it is read.
+    outer = record_bytes(7, "u", member(RECORDS[1]), False, None).replace(b"X-Page-ID: 7", b"X-Page-ID 7!")
+    assert ids(outer + RECORDS[3]) == [1, 3]
+
+
+def test_long_urls_and_many_failures(spark):
+    path = scratch_path(spark, "warc-test")
+    rows = [(1, "http://h/" + "u" * (2 << 20), "x"), (2, "http://h/" + "\n" * (1 << 20), "y")]
+    write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    got = salvage_archives(spark, path).collect()
+    assert sorted(r.headers["x-page-id"] for r in got) == ["1", "2"] and not any(r.gap for r in got)
+    bad = RECORDS[0].replace(b"WARC-Type", b"WARC Type:").replace(b": ", b" ")
+    data = bad * 3000 + RECORDS[1]
+    assert ids(data) == [1] and gaps(data) == [(0, len(bad) * 3000)]
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(warc_salvage, "_ROW_BYTES", 4096)
+    rng = random.Random(1)
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    rows = [(i, "u", noise(rng.choice([100, 2000, 60_000]) if i % 9 else 300_000)) for i in range(120)]
+    path = scratch_path(spark, "warc-test")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    write_archives(pages, path)
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(files) > 20 and max(f.length for f in files) < 300_000 + 17 * 4096
+    got = salvage_archives(spark, path).collect()
+    assert sorted(int(r.headers["x-page-id"]) for r in got) == list(range(120)) and not any(r.gap for r in got)
