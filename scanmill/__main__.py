@@ -65,6 +65,10 @@ def parser() -> argparse.ArgumentParser:
     count.add_argument("--input", required=True, action="append")
     job("term-statistics", io, warc, analysis, df_range)
     job("merge-statistics", io, df_range)
+    replaced = job("replace-segment", io, warc, analysis)
+    replaced.add_argument("--segment", required=True)
+    replaced.add_argument("--segments", required=True, help="statistics, one folder a segment")
+    replaced.add_argument("--merged", required=True, help="totals so far, without a threshold")
     job("dictionary", io).add_argument("--count", type=int, help="expected number of terms")
     look = job("lookup", dictionary)
     look.add_argument("--term", action="append", default=[])
@@ -116,6 +120,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         )
     elif job == "merge-statistics":
         jobs.merged_statistics(spark, args.input, args.output, args.df_min, args.df_max)
+    elif job == "replace-segment":
+        _report(
+            jobs.replaced_segment(
+                spark, args.input, args.segments, args.merged, args.output, args.segment, analyzer,
+                args.warc_version,
+            )
+        )
     elif job == "dictionary":
         jobs.dictionary(spark, _first(args.input), args.output, args.count)
         jobs.summary(spark, args.output).show()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.operators.numbering import dense_ids
@@ -39,9 +39,24 @@ def check_dictionary(dictionary: DataFrame, expected_count: int | None = None) -
             raise ValueError(f"expected {expected_count} terms, found {found}")
 
 
-def with_lexicographic_position(dictionary: DataFrame) -> DataFrame:
+ORDERS = ("utf8", "utf16")
+
+
+def term_order(order: str = "utf8") -> Column:
+    """Sort key of `term`: by bytes, so by code points, or by UTF-16 code units.
+
+    They differ for characters beyond the basic plane: by code units, these come before
+    U+E000 to U+FFFF.
+    """
+    if order not in ORDERS:
+        raise ValueError(f"unknown order {order!r}, expected one of {ORDERS}")
+    return F.col("term") if order == "utf8" else F.encode(F.col("term"), "UTF-16BE")
+
+
+def with_lexicographic_position(dictionary: DataFrame, order: str = "utf8") -> DataFrame:
     """Add `lex_pos`, the 0-based position of a term in sorted order."""
-    return dense_ids(dictionary, [F.col("term").asc()], "lex_pos", start=0)
+    keyed = dictionary.withColumn("_order", term_order(order))
+    return dense_ids(keyed, [F.col("_order").asc()], "lex_pos", start=0).drop("_order")
 
 
 def lookup_terms(dictionary: DataFrame, terms: DataFrame) -> DataFrame:

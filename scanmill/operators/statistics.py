@@ -64,6 +64,19 @@ def compute_term_statistics(
     return in_df_range(stats, df_min, df_max)
 
 
+def merge_replacing(merged: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Merged statistics after one segment's have changed from `old` to `new`.
+
+    Only that segment is counted again: its old counts are taken off the merged ones, and its
+    new ones added.  All three have to be without a df threshold; terms that no segment holds
+    any more are left out.
+    """
+    off = old.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))
+    changed = merged.select("term", "df", "cf").unionByName(off).unionByName(new.select("term", "df", "cf"))
+    sums = changed.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return sums.filter("df > 0")
+
+
 def merge_term_statistics(
     *segments: DataFrame, df_min: int = DEFAULT_DF_MIN, df_max: int | None = None
 ) -> DataFrame:

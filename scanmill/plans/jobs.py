@@ -6,9 +6,11 @@ writes is what the next one reads, so lineage ends between jobs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from scanmill.functions.text import Analyzer
 from scanmill.operators import dumps, ranking
@@ -18,9 +20,11 @@ from scanmill.operators.documents import count_records, observe_health
 from scanmill.operators.statistics import (
     DEFAULT_DF_MIN,
     compute_term_statistics,
+    merge_replacing,
     merge_term_statistics,
 )
 from scanmill.operators.vectors import build_doc_vectors, decode_doc_vectors, to_unique_vectors
+from scanmill.runtime import resident, written
 from scanmill.sinks import tables as sinks
 from scanmill.sinks import text as lines
 from scanmill.sources import tables as sources
@@ -72,6 +76,33 @@ def merged_statistics(
     sinks.write_term_statistics(merge_term_statistics(segments, df_min=df_min, df_max=df_max), output)
 
 
+def replaced_segment(
+    spark: SparkSession,
+    warc: str | list[str],
+    segments: str,
+    merged: str,
+    output: str,
+    segment: str,
+    analyzer: str | Analyzer,
+    version: str = "1.0",
+) -> dict[str, int]:
+    """Counts one segment anew: its folder of `segments` is replaced, and `output` gets the new totals.
+
+    `merged` holds the totals so far, without a df threshold (none, if there are no segments yet).
+    """
+    pages, seen = _observed(spark, warc, version)
+    new = written(compute_term_statistics(pages, analyzer, df_min=1), "segment")
+    table = new.withColumn("segment", F.lit(segment))
+    if sources.exists(spark, merged):
+        old = sources.read_segments(spark, segments, sources.TERM_STATISTICS, segment)
+        totals = merge_replacing(sources.read_term_statistics(spark, merged), old, new)
+    else:
+        totals = new
+    sinks.write_term_statistics(totals, output)
+    sinks.write_segments(table, segments)
+    return seen.get
+
+
 def dictionary(
     spark: SparkSession, statistics: str, output: str, expected_count: int | None = None
 ) -> None:
@@ -147,12 +178,38 @@ def bm25_run(
     cache: bool = False,
     **options,
 ) -> None:
-    docs = sources.read_doc_vectors(spark, vectors, unique=unique)
-    if cache:
-        docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    """One run.  With `cache`, the vectors are kept while the run needs them; see `bm25_runs` for more."""
+    runs = {output: queries}
+    bm25_runs(spark, vectors, runs, dictionary_path, k, unique, resident if cache else nullcontext, **options)
+
+
+def bm25_runs(
+    spark: SparkSession,
+    vectors: str,
+    runs: dict[str, str],
+    dictionary_path: str,
+    k: int,
+    unique: bool = False,
+    keep: Callable = resident,
+    **options,
+) -> None:
+    """A run for each query file (output -> queries), over vectors read once and then kept in memory.
+
+    Lines that are no query are written beside a run, if there are any.
+    """
     terms = sources.read_dictionary(spark, dictionary_path)
-    asked = sources.read_queries(spark, queries)
-    lines.write_run(ranking.bm25_topk(docs, terms, asked, k, **options), output)
+    with keep(sources.read_doc_vectors(spark, vectors, unique=unique)) as docs:
+        for output, queries in runs.items():
+            asked = _asked(spark, queries, output)
+            lines.write_run(ranking.bm25_topk(docs, terms, asked, k, **options), output)
+
+
+def _asked(spark: SparkSession, queries: str, output: str) -> DataFrame:
+    """The queries of a file; its rejected lines go to a folder beside the run."""
+    rejects = sources.rejected_query_lines(spark.read.text(queries))
+    if not rejects.isEmpty():
+        lines.write_lines(rejects.select(F.concat_ws("\t", "reason", "line").alias("value")), f"{output.rstrip('/')}-rejects")
+    return sources.read_queries(spark, queries)
 
 
 def lm_run(
@@ -168,7 +225,7 @@ def lm_run(
 ) -> None:
     docs = sources.read_doc_vectors(spark, vectors, unique=unique)
     terms = sources.read_dictionary(spark, dictionary_path)
-    asked = sources.read_queries(spark, queries)
+    asked = _asked(spark, queries, output)
     lines.write_run(ranking.lm_topk(docs, terms, asked, k, smoothing, **options), output)
 
 

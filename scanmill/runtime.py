@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 _MADE: ContextVar[list[str] | None] = ContextVar("scratch tables made", default=None)
 
@@ -76,6 +77,16 @@ def scratch_cleared(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextmanager
+def resident(df: DataFrame) -> Iterator[DataFrame]:
+    """A table kept in the executors' memory (and disk) for all runs made inside; released at the end."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _quoted(path: str) -> str:
     return "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -11,6 +11,15 @@ def write_term_statistics(stats: DataFrame, path: str) -> None:
     stats.select("term", "df", "cf").write.mode("overwrite").parquet(path)
 
 
+def write_segments(table: DataFrame, path: str) -> None:
+    """A table with a `segment` column, one folder a segment.
+
+    Segments that the table holds replace those of the path; all others stay as they are.
+    """
+    writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("segment").parquet(path)
+
+
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
     """One table; its files keep the id order, so id lookups prune row groups."""
     dictionary.select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(path)

@@ -13,11 +13,23 @@ FLAT_VECTORS = "docid string, term_ids array<int>, doc_len int"
 UNIQUE_VECTORS = "docid string, terms array<struct<term_id:int,tf:int>>, doc_len int"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_term_statistics(spark: SparkSession, *paths: str) -> DataFrame:
     """Union of one or many statistics folders (globs allowed)."""
     return spark.read.schema(TERM_STATISTICS).parquet(*paths)
 
 
+def read_segments(spark: SparkSession, path: str, ddl: str, *segments: str) -> DataFrame:
+    """A table that `write_segments` wrote: all of it, or some segments, whose folders alone are read."""
+    table = spark.read.schema(f"{ddl}, segment string").parquet(path)
+    return table.filter(F.col("segment").isin(*segments)) if segments else table
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DICTIONARY).parquet(path)
 
@@ -44,11 +56,23 @@ def read_documents(
     return df.select(F.col(docid).cast("string").alias("docid"), F.col(content).alias("content"))
 
 
+def _query_number() -> Column:
+    return F.regexp_extract("value", r"^\s*(\d+)\s*:", 1)
+
+
 def parse_query_lines(lines: DataFrame) -> DataFrame:
-    """`qid:words` lines to (qid, text); lines of any other form are skipped."""
-    qid = F.regexp_extract("value", r"^\s*(\d+)\s*:", 1).try_cast("bigint")
+    """`qid:words` lines to (qid, text); lines of any other form are rejects."""
     text = F.regexp_replace("value", r"^[^:]*:", "")
-    return lines.select(qid.alias("qid"), text.alias("text")).filter("qid IS NOT NULL")
+    numbered = lines.select(_query_number().try_cast("bigint").alias("qid"), text.alias("text"))
+    return numbered.filter("qid IS NOT NULL")
+
+
+def rejected_query_lines(lines: DataFrame) -> DataFrame:
+    """(line, reason) of the lines that are no query; blank lines are neither."""
+    number = _query_number()
+    reason = F.when(number != "", "number beyond 64 bits").when(F.contains("value", F.lit(":")), "no number")
+    rejects = lines.filter((F.trim("value") != "") & number.try_cast("bigint").isNull())
+    return rejects.select(F.col("value").alias("line"), reason.otherwise("no colon").alias("reason"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from scanmill.functions import scoring
 from scanmill.operators import queries as Q
 from scanmill.operators import ranking as R
 from scanmill.operators.vectors import to_unique_vectors
-from scanmill.runtime import scratch_path, written
+from scanmill.runtime import resident, scratch_path, written
 from scanmill.sinks.tables import write_doc_vectors
 from scanmill.sinks.text import write_run
-from scanmill.sources.tables import read_doc_vectors, read_queries
+from scanmill.sources.tables import read_doc_vectors, read_queries, rejected_query_lines
 from suite import sql
 from suite.base import dictionary, query, queries, table, vectors
 
@@ -42,6 +41,32 @@ def _(spark, sf_dir):
     return read_queries(spark, path)
 
 
+@query(
+    "query_rejects",
+    "S7 F5",
+    r"""
+    WITH l AS (
+      SELECT CAST(role AS VARCHAR) || ': ' || regexp_replace(text, '[\r\n]+', ' ', 'g') AS line FROM conversations
+      UNION ALL SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') FROM documents
+      UNION ALL SELECT '9' || lpad(CAST(item_id AS VARCHAR), 19, '0') || ': ' || regexp_replace(text, '[\r\n]+', ' ', 'g') FROM benchmark
+    ), parts AS (SELECT line, regexp_extract(line, '^\s*(\d+)\s*:', 1) AS number FROM l)
+    SELECT line, CASE WHEN number <> '' THEN 'number beyond 64 bits'
+      WHEN contains(line, ':') THEN 'no number' ELSE 'no colon' END AS reason
+    FROM parts WHERE trim(line) <> '' AND TRY_CAST(number AS BIGINT) IS NULL
+    """,
+)
+def _(spark, sf_dir):
+    """What a query file made of all texts holds besides queries."""
+    text = F.regexp_replace("text", r"[\r\n]+", " ")
+    said = table(spark, sf_dir, "conversations").select(F.concat("role", F.lit(": "), text).alias("value"))
+    plain = table(spark, sf_dir, "documents").select(text.alias("value"))
+    number = F.concat(F.lit("9"), F.lpad(F.col("item_id").cast("string"), 19, "0"))
+    large = table(spark, sf_dir, "benchmark").select(F.concat(number, F.lit(": "), text).alias("value"))
+    path = scratch_path(spark, "queries")
+    said.union(plain).union(large).write.text(path)
+    return rejected_query_lines(spark.read.text(path))
+
+
 @query(
     "prepared_queries",
     "R9 J3 F6",
@@ -107,8 +132,8 @@ def _(spark, sf_dir):
 @query("bm25_cached", "U3", _bm25_sql())
 def _(spark, sf_dir):
     flat, terms, asked = _inputs(spark, sf_dir)
-    kept = to_unique_vectors(flat).persist(StorageLevel.MEMORY_AND_DISK)
-    return R.bm25_topk(kept, terms, asked, K, "standard", row_key=["docid"])
+    with resident(to_unique_vectors(flat)) as kept:
+        return written(R.bm25_topk(kept, terms, asked, K, "standard"), "run")
 
 
 @query("bm25_porter", "E12 R9 P7", _bm25_sql("porter"))
@@ -210,12 +235,16 @@ def _(spark, sf_dir):
 @query(
     "candidate_terms",
     "J6 F8",
-    sql.with_(
-        *_STD,
-        sql.likelihood(1000.0, "df"),
-        f"run AS ({sql.top_k('raw', K, 'lmretrieval')})",
-        select="SELECT run.qid, run.docid, run.rank, qt.term_id, CAST(coalesce(tf, 0) AS INTEGER) AS tf FROM run "
-        "JOIN qt USING (qid) LEFT JOIN post ON post.docid = run.docid AND post.term_id = qt.term_id",
+    sql.materialised(
+        sql.with_(
+            *_STD,
+            sql.likelihood(1000.0, "df"),
+            f"run AS ({sql.top_k('raw', K, 'lmretrieval')})",
+            "wanted AS (SELECT run.qid, run.docid, run.rank, qt.term_id FROM run JOIN qt USING (qid))",
+            "held AS (SELECT docid, term_id, tf FROM post WHERE docid IN (SELECT docid FROM run))",
+            select="SELECT qid, docid, rank, term_id, CAST(coalesce(tf, 0) AS INTEGER) AS tf "
+            "FROM wanted LEFT JOIN held USING (docid, term_id)",
+        )
     ),
 )
 def _(spark, sf_dir):

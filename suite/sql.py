@@ -6,6 +6,8 @@ them and adds the final select.
 
 from __future__ import annotations
 
+import re
+
 from scanmill.functions import patterns
 from scanmill.functions.stemming import STEP_2, STEP_3, STEP_4
 from scanmill.functions.words import ENGLISH_STOP_WORDS, FUNCTION_WORDS
@@ -19,6 +21,11 @@ def with_(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
+def materialised(sql: str) -> str:
+    """The same query with every common table computed once, in the order written."""
+    return re.sub(r"^(WITH )?(\w+(?:\([\w, ]+\))?) AS \(", r"\1\2 AS MATERIALIZED (", sql, flags=re.MULTILINE)
+
+
 TOKEN = text(patterns.token_pattern("re2"))
 
 DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS docid, text AS content, lang FROM documents)"

@@ -9,12 +9,19 @@ from scanmill.operators.numbering import dense_ids
 from scanmill.operators.statistics import (
     compute_term_statistics,
     in_df_range,
+    merge_replacing,
     merge_term_statistics,
     term_frequencies,
 )
 from scanmill.runtime import scratch_path, written
-from scanmill.sinks.tables import write_dictionary, write_term_statistics
-from scanmill.sources.tables import read_dictionary, read_documents, read_term_statistics
+from scanmill.sinks.tables import write_dictionary, write_segments, write_term_statistics
+from scanmill.sources.tables import (
+    TERM_STATISTICS,
+    read_dictionary,
+    read_documents,
+    read_segments,
+    read_term_statistics,
+)
 from suite import sql
 from suite.base import DF_MIN, dictionary, documents, pages, query, statistics, table
 
@@ -146,6 +153,43 @@ def _(spark, sf_dir):
     return compute_term_statistics(docs, "standard", 1, html=False)
 
 
+_REPLACED = sql.with_(
+    *_OCC,
+    """new AS (
+  SELECT term, CAST(count(DISTINCT docid) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM occ
+  JOIN docs USING (docid)
+  WHERE length(term) <= 64 AND (lang IS DISTINCT FROM 'de' OR CAST(docid AS BIGINT) % 2 = 0) AND lang IS NOT NULL
+  GROUP BY term
+)""",
+    select="SELECT term, df, cf FROM new",
+)
+
+
+def _replaced(spark, sf_dir):
+    """Segments by language, one of them counted anew over half its documents; (folder, merged totals)."""
+    path = scratch_path(spark, "segments")
+    docs = documents(spark, sf_dir, "lang").filter("lang is not null")
+    by_lang = compute_term_statistics(docs, "standard", 1, html=False, by=("lang",))
+    write_segments(by_lang.withColumnRenamed("lang", "segment"), path)
+    merged = written(merge_term_statistics(read_segments(spark, path, TERM_STATISTICS), df_min=1), "merged")
+    half = docs.filter("lang = 'de' and cast(docid as bigint) % 2 = 0")
+    new = written(compute_term_statistics(half, "standard", 1, html=False), "segment")
+    totals = written(merge_replacing(merged, read_segments(spark, path, TERM_STATISTICS, "de"), new), "totals")
+    write_segments(new.withColumn("segment", F.lit("de")), path)
+    return path, totals
+
+
+@query("segment_replaced_totals", "U5 A4 E3", _REPLACED)
+def _(spark, sf_dir):
+    return _replaced(spark, sf_dir)[1]
+
+
+@query("segment_replaced_merge", "U5 S4 K1 E3", _REPLACED)
+def _(spark, sf_dir):
+    path, _ = _replaced(spark, sf_dir)
+    return merge_term_statistics(read_segments(spark, path, TERM_STATISTICS), df_min=1)
+
+
 @query("dictionary", "E4 W1", sql.with_(*_DICT, select="SELECT term_id, term, df, cf FROM dict"))
 def _(spark, sf_dir):
     return dictionary(spark, sf_dir)
@@ -177,6 +221,34 @@ def _(spark, sf_dir):
     return dense_ids(terms, [F.col("term").asc()], "pos")
 
 
+# Letters beyond the basic plane, and at its end: the two orders put these the other way round.
+_BEYOND, _AT_THE_END = "\U0001d4b6", "\ufb01"
+
+
+@query(
+    "lexicographic_order_utf16",
+    "W2 W3",
+    sql.with_(
+        *_DICT,
+        f"moved AS (SELECT term_id, translate(term, 'en', '{_BEYOND}{_AT_THE_END}') AS term FROM dict)",
+        """keyed AS (
+  SELECT term_id, term, array_to_string(list_transform(string_split(term, ''), lambda c: CASE
+    WHEN unicode(c) < 65536 THEN printf('%04x', unicode(c))
+    ELSE printf('%04x%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '') AS units
+  FROM moved
+)""",
+        select="SELECT CAST(row_number() OVER (ORDER BY units, term_id) - 1 AS BIGINT) AS lex_pos, term_id, term FROM keyed "
+        "WHERE term IN (SELECT term FROM moved GROUP BY term HAVING count(*) = 1)",
+    ),
+)
+def _(spark, sf_dir):
+    """Terms with some letters exchanged for ones on which the orders differ."""
+    terms = dictionary(spark, sf_dir)
+    moved = written(terms.select("term_id", F.translate("term", "en", _BEYOND + _AT_THE_END).alias("term")), "moved")
+    placed = D.with_lexicographic_position(moved, order="utf16")
+    return placed.select("lex_pos", "term_id", "term")
+
+
 @query(
     "lookup_terms",
     "E5",

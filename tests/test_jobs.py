@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from scanmill.__main__ import parser, run
+from scanmill.plans import jobs
 from scanmill.runtime import scratch_cleared, shared_dir, written
 from tests.test_warc import INFO, page
 
@@ -129,3 +130,31 @@ def test_reports(base, capsys, tmp_path):
     job("docno-lookup --index {b}/map --docid cw-2 --docno 0")
     out = capsys.readouterr().out
     assert "|cw-2 |1    |" in out and "|0    |cw-1 |" in out
+
+
+def test_segments_are_counted_one_by_one(spark, base):
+    """Totals from one segment at a time equal those of all at once; counting one again changes nothing."""
+    folder, job = base
+    common = "replace-segment --segments {b}/seg --segment "
+    job(common + "a --input {b}/w/a*.gz --merged {b}/none --output {b}/m1")
+    job(common + "b --input {b}/w/b*.gz --merged {b}/m1 --output {b}/m2")
+    job(common + "a --input {b}/w/a*.gz --merged {b}/m2 --output {b}/m3")
+    whole = sorted(map(tuple, spark.read.parquet(f"{folder}/s/all").collect()))
+    for name in ("m2", "m3"):
+        assert sorted(map(tuple, spark.read.parquet(f"{folder}/{name}").collect())) == whole
+
+
+def test_rejected_queries_are_written_beside_the_run(spark, base, lines):
+    folder, job = base
+    job("bm25 --input {b}/flat --output {b}/run-r --dictionary {b}/dict --queries {b}/queries --topk 2")
+    assert lines("run-r-rejects") == ["no colon\tbad line"]
+
+
+def test_many_runs_over_vectors_kept_in_memory(spark, base, lines):
+    folder, job = base
+    (folder / "more").write_text("7:banana\n")
+    runs = {f"{folder}/run-1": f"{folder}/queries", f"{folder}/run-2": f"{folder}/more"}
+    jobs.bm25_runs(spark, f"{folder}/flat", runs, f"{folder}/dict", 2)
+    assert [x.split()[:3] for x in lines("run-2")] == [["7", "Q0", "cw-2"]]
+    assert lines("run-1") and not Path(f"{folder}/run-2-rejects").exists()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

@@ -15,7 +15,7 @@ from scanmill.operators.statistics import compute_term_statistics
 from scanmill.operators.vectors import build_doc_vectors, to_unique_vectors
 from scanmill.runtime import written
 from scanmill.sinks.text import run_lines
-from scanmill.sources.tables import parse_query_lines
+from scanmill.sources.tables import parse_query_lines, rejected_query_lines
 from tests import brute
 
 WORDS = get_analyzer("standard", [])
@@ -196,6 +196,15 @@ def test_query_lines(spark):
     }
 
 
+def test_rejected_query_lines(spark):
+    lines = ["15:espn", "no number", "x:y", " : z", "9223372036854775808:beyond", "", "  ", "-3:minus"]
+    got = rejected_query_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {r.line: r.reason for r in got.collect()} == {
+        "no number": "no colon", "x:y": "no number", " : z": "no number", "-3:minus": "no number",
+        "9223372036854775808:beyond": "number beyond 64 bits",
+    }
+
+
 def test_run_lines(spark):
     run = spark.createDataFrame([(7, "d", 1, 2.5, "bm25")], "qid int, docid string, rank int, score double, tag string")
     assert run_lines(run).first().value == "7 Q0 d 1 2.5 bm25"

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 from scanmill.operators.documents import corpus_health, observe_health, with_status
 from scanmill.operators.statistics import (
     compute_term_statistics,
+    merge_replacing,
     merge_term_statistics,
     term_frequencies,
 )
+from scanmill.runtime import written
+from scanmill.sinks.tables import write_segments
+from scanmill.sources.tables import TERM_STATISTICS, read_segments
 from tests.brute import stats_of, tokens_of
 
 
@@ -70,3 +74,31 @@ def test_merge_loses_terms_that_segments_dropped(spark):
 def test_unknown_analyzer(corpus):
     with pytest.raises(ValueError):
         compute_term_statistics(corpus, "none")
+
+
+def test_one_segment_is_replaced(spark, tmp_path):
+    """Only that segment's folder changes, reading it touches no other, and the totals follow."""
+    path = tmp_path / "segments"
+
+    def stats(*rows):
+        return spark.createDataFrame(rows, "segment string, term string, df bigint, cf bigint")
+
+    write_segments(stats(("a", "x", 2, 3), ("a", "y", 1, 1), ("b", "x", 4, 9), ("c", "z", 1, 1)), str(path))
+    files = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    merged = written(merge_term_statistics(read_segments(spark, str(path), TERM_STATISTICS), df_min=1))
+    new = written(stats(("b", "x", 1, 2), ("b", "w", 5, 5)))
+    old = read_segments(spark, str(path), TERM_STATISTICS, "b")
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(segment" in plan and "b)" in plan
+    totals = written(merge_replacing(merged, old, new))
+    write_segments(new, str(path))
+    again = merge_term_statistics(read_segments(spark, str(path), TERM_STATISTICS), df_min=1)
+    expected = {"x": (3, 5), "y": (1, 1), "z": (1, 1), "w": (5, 5)}
+    for table in (totals, again):
+        assert {r.term: (r.df, r.cf) for r in table.collect()} == expected
+    left = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    changed = {f.parent.name for f, t in (files.items() ^ left.items())}
+    assert changed == {"segment=b"}
+    # A term that no segment holds any more is gone; an empty new segment takes all off.
+    none = merge_replacing(totals, read_segments(spark, str(path), TERM_STATISTICS, "b"), new.limit(0))
+    assert {r.term for r in none.collect()} == {"x", "y", "z"}
