@@ -281,14 +281,23 @@ def _calibrated(rows: DataFrame, model: Discriminant) -> tuple[float, float]:
     x = np.array([r["bin"] * _LIMIT / _HISTOGRAM_BINS for r in counted] + [-_LIMIT, _LIMIT] * 2)
     y = np.array([r["label"] for r in counted] + [0, 0, 1, 1], float)
     n = np.array([r["count"] for r in counted] + [1, 1, 1, 1], float)
-    beta = np.array([0.3, 0.0])
     design = np.column_stack([x, np.ones_like(x)])
-    for _ in range(50):
+    ridge = np.array([1e-3, 1e-9])
+
+    def likelihood(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((n * (y * z - np.logaddexp(0, z))).sum() - (ridge * beta * beta).sum() / 2)
+
+    beta = np.zeros(2)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-design @ beta))
-        gradient = design.T @ (n * (y - p)) - np.array([1e-3 * beta[0], 0])
-        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag([1e-3, 1e-9])
+        gradient = design.T @ (n * (y - p)) - ridge * beta
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -1, 1)
+        # A whole step may overshoot: it is halved until the likelihood does not fall.
+        while likelihood(beta + step) < likelihood(beta) and np.abs(step).max() > 1e-12:
+            step /= 2
+        beta += step
         if np.abs(step).max() < 1e-10:
             break
     return float(max(beta[0], 0.0)), float(beta[1])
