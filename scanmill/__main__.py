@@ -14,7 +14,7 @@ from scanmill.operators.dictionary import lookup_term_ids, lookup_terms
 from scanmill.operators.docno import lookup_docid, lookup_docno
 from scanmill.plans import jobs
 from scanmill.runtime import scratch_cleared
-from scanmill.sources.tables import read_dictionary
+from scanmill.sources.tables import read_dictionary, read_keys
 
 
 def _length(text: str) -> float | None:
@@ -69,7 +69,9 @@ def parser() -> argparse.ArgumentParser:
     replaced.add_argument("--segment", required=True)
     replaced.add_argument("--segments", required=True, help="statistics, one folder a segment")
     replaced.add_argument("--merged", required=True, help="totals so far, without a threshold")
-    job("dictionary", io).add_argument("--count", type=int, help="expected number of terms")
+    built = job("dictionary", io)
+    built.add_argument("--count", type=int, help="expected number of terms")
+    built.add_argument("--by-term", help="also write a copy in the order of terms, for lookups")
     look = job("lookup", dictionary)
     look.add_argument("--term", action="append", default=[])
     look.add_argument("--term-id", type=int, action="append", default=[])
@@ -128,17 +130,18 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             )
         )
     elif job == "dictionary":
-        jobs.dictionary(spark, _first(args.input), args.output, args.count)
+        jobs.dictionary(spark, _first(args.input), args.output, args.count, args.by_term)
         jobs.summary(spark, args.output).show()
     elif job == "lookup":
         terms = read_dictionary(spark, args.dictionary)
         if args.term:
-            lookup_terms(terms, spark.createDataFrame([(t,) for t in args.term], "term string")).show(
+            wanted = spark.createDataFrame([(t,) for t in args.term], "term string")
+            lookup_terms(read_keys(terms, "term", args.term), wanted).show(
                 len(args.term), truncate=False
             )
         if args.term_id:
             wanted = spark.createDataFrame([(i,) for i in args.term_id], "term_id int")
-            lookup_term_ids(terms, wanted).show(len(args.term_id), truncate=False)
+            lookup_term_ids(read_keys(terms, "term_id", args.term_id), wanted).show(len(args.term_id), truncate=False)
     elif job == "doc-vectors":
         _report(
             jobs.doc_vectors(

@@ -104,10 +104,17 @@ def replaced_segment(
 
 
 def dictionary(
-    spark: SparkSession, statistics: str, output: str, expected_count: int | None = None
+    spark: SparkSession,
+    statistics: str,
+    output: str,
+    expected_count: int | None = None,
+    by_term: str | None = None,
 ) -> None:
+    """Writes the dictionary in the order of ids, and a copy in the order of terms if asked to."""
     stats = sources.read_term_statistics(spark, statistics)
     sinks.write_dictionary(build_dictionary(stats, expected_count), output)
+    if by_term:
+        sinks.write_sorted(sources.read_dictionary(spark, output), by_term, "term")
 
 
 def summary(spark: SparkSession, dictionary_path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scanmill.runtime import write_buckets
 
@@ -25,6 +26,16 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(path)
 
 
+def write_sorted(table: DataFrame, path: str, key: str, row_group_bytes: int = 4 << 20) -> None:
+    """A table for lookups: files hold ranges of a key, in order, in small row groups.
+
+    A lookup of a few keys reads the row groups whose range and Bloom filter admit them.
+    """
+    ordered = table.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    writer = ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+
 def write_doc_vectors(vectors: DataFrame, path: str, partitions: int | None = None) -> None:
     """Vectors as they come, or hashed by docid into `partitions` sorted files.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,24 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DICTIONARY).parquet(path)
 
 
+# Values of one pushed filter; a longer list would be pushed as its range only.
+_PUSHED = 10
+# Keys that are looked up by pushed filters; more are a join's work.
+MAX_PUSHED_KEYS = 1000
+
+
+def read_keys(table: DataFrame, key: str, wanted: list) -> DataFrame:
+    """The rows of some keys, of a stored table: only row groups that may hold one are read.
+
+    A table that `write_sorted` wrote by the key has few of those.
+    """
+    distinct = sorted(set(wanted))
+    if len(distinct) > MAX_PUSHED_KEYS:
+        raise ValueError(f"{len(distinct)} keys, at most {MAX_PUSHED_KEYS}: join the table instead")
+    parts = [distinct[i : i + _PUSHED] for i in range(0, len(distinct), _PUSHED)] or [[]]
+    return reduce(DataFrame.unionByName, [table.filter(F.col(key).isin(part)) for part in parts])
+
+
 def read_doc_vectors(spark: SparkSession, *paths: str, unique: bool = False) -> DataFrame:
     """Vectors of one or many folders (globs allowed).
 

@@ -14,11 +14,12 @@ from scanmill.operators.statistics import (
     term_frequencies,
 )
 from scanmill.runtime import scratch_path, written
-from scanmill.sinks.tables import write_dictionary, write_segments, write_term_statistics
+from scanmill.sinks.tables import write_dictionary, write_segments, write_sorted, write_term_statistics
 from scanmill.sources.tables import (
     TERM_STATISTICS,
     read_dictionary,
     read_documents,
+    read_keys,
     read_segments,
     read_term_statistics,
 )
@@ -265,6 +266,27 @@ def _(spark, sf_dir):
     return D.lookup_terms(terms, roles.union(terms.select("term")).distinct())
 
 
+@query(
+    "lookup_stored_terms",
+    "E5 W3",
+    sql.with_(
+        *_DICT,
+        "asked AS (SELECT DISTINCT role AS term FROM conversations UNION SELECT DISTINCT lang FROM documents)",
+        select="SELECT term, coalesce(term_id, -1) AS term_id, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf "
+        "FROM asked LEFT JOIN dict USING (term) WHERE term IS NOT NULL",
+    ),
+)
+def _(spark, sf_dir):
+    """A few terms, in a copy of the dictionary in their order, by pushed filters."""
+    path = scratch_path(spark, "by-term")
+    write_sorted(dictionary(spark, sf_dir), path, "term")
+    roles = table(spark, sf_dir, "conversations").select(F.col("role").alias("term"))
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("term"))
+    asked = written(roles.union(langs).distinct().filter("term is not null"), "asked")
+    found = read_keys(read_dictionary(spark, path), "term", [r.term for r in asked.collect()])
+    return D.lookup_terms(found, asked)
+
+
 @query(
     "lookup_term_ids",
     "E5",

@@ -13,8 +13,8 @@ from scanmill.operators.ranking import bm25_topk, candidate_terms, lm_topk
 from scanmill.operators.statistics import compute_term_statistics, term_frequencies
 from scanmill.operators.vectors import build_doc_vectors, decode_doc_vectors, to_unique_vectors
 from scanmill.runtime import written
-from scanmill.sinks.tables import write_doc_vectors
-from scanmill.sources.tables import read_doc_vectors, read_documents
+from scanmill.sinks.tables import write_doc_vectors, write_sorted
+from scanmill.sources.tables import read_dictionary, read_doc_vectors, read_documents, read_keys
 
 
 def physical(df):
@@ -153,3 +153,24 @@ def test_a_large_dictionary_costs_one_analysis(stored, monkeypatch):
     # The text of pages, then stems and ids.
     assert len(kept) == 1 and kept[0].count("ArrowEvalPython") == 2 and kept[0].count("Scan parquet") == 1
     assert "ArrowEvalPython" not in plan
+
+
+def test_a_lookup_reads_few_rows(spark, tmp_path):
+    """Of a dictionary in the order of terms, or of ids, only the row groups that may hold a key are read."""
+    many = spark.range(200_000).selectExpr(
+        "cast(id + 1 as int) term_id", "concat(md5(cast(id as string)), 'x') term", "id df", "id cf"
+    )
+    by_term, by_id = str(tmp_path / "by-term"), str(tmp_path / "by-id")
+    write_sorted(many, by_term, "term", row_group_bytes=64 << 10)
+    write_sorted(many, by_id, "term_id", row_group_bytes=64 << 10)
+    terms = [r.term for r in many.filter("term_id % 20000 = 7").collect()]
+    for path, key, wanted in ((by_term, "term", terms), (by_id, "term_id", [7, 20_007, 150_000, 999_999])):
+        found = read_keys(read_dictionary(spark, path), key, wanted)
+        rows = found.collect()
+        assert {getattr(r, key) for r in rows} == set(wanted) - {999_999}
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+        assert read < 200_000 / 10
+    with pytest.raises(ValueError):
+        read_keys(many, "term_id", list(range(2000)))
+    assert read_keys(many, "term_id", []).collect() == []
