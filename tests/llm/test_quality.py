@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scanmill.llm import quality
 from scanmill.llm.quality import STATISTICS, Gaussian, classify_quality, text_statistics
+from scanmill.llm.textscan import blocks
 
 GOOD = "The cat sat on the mat, and looked at number {} of the birds. It was a fine day."
 BAD = "BUY!! NOW!! {}%%% ###free$$$ | win | {} | cash***"
@@ -51,3 +57,21 @@ def test_without_both_classes(spark, marks, score):
     labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
     assert [r.score for r in classify_quality(docs, labels, F.lit(True)).collect()] == [score, score]
     assert classify_quality(docs.limit(0), labels, F.lit(True)).collect() == []
+
+
+def test_pieces_of_a_long_text_give_the_statistics_of_the_whole(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("ab É\n.#X12,'") for _ in range(rng.randint(1, 40))) for _ in range(900))
+    (block,) = blocks(pa.array([text]))
+    whole = quality._statistics(block)
+    for size in (50, 1000, 9000):
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
+        assert (quality._statistics(block) == whole).all()
+
+
+def test_memory_of_a_long_text_is_bounded():
+    (block,) = blocks(pa.array(["word! " * 4_000_000]))
+    tracemalloc.start()
+    quality._statistics(block)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()

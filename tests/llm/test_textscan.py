@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from scanmill.llm import textscan
 from scanmill.llm.textscan import ALPHANUMERIC, LOWER, NOT_SPACE, SAME, blocks, windows, within_row, words_of
 
 CASES = [
@@ -60,3 +63,23 @@ def test_a_word_longer_than_a_piece_and_a_sliced_column():
     words = [words_of(b, NOT_SPACE) for b in blocks(column)]
     hashes = np.concatenate([w.hashes for w in words])
     assert len(hashes) == 4 and hashes[1] == hashes[3]
+
+
+def test_pieces_do_not_change_the_hashes(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab É\n.X 12") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += ["x" * 500, "y" * 256 + " " + "z" * 255, "", "long" * 90 + " end"]
+    (block,) = textscan.blocks(pa.array(texts))
+    whole = textscan.words_of(block, textscan.NOT_SPACE, textscan.LOWER)
+    for size in (1, 7, 64, 255):
+        monkeypatch.setattr(textscan, "_PIECE_BYTES", size)
+        found = textscan.words_of(block, textscan.NOT_SPACE, textscan.LOWER)
+        assert (found.hashes == whole.hashes).all() and (found.starts == whole.starts).all()
+
+
+def test_a_long_word_takes_bounded_memory():
+    (block,) = textscan.blocks(pa.array(["w" * (16 << 20)]))
+    tracemalloc.start()
+    words = textscan.words_of(block, textscan.NOT_SPACE)
+    assert len(words.hashes) == 1 and tracemalloc.get_traced_memory()[1] < 128 << 20
+    tracemalloc.stop()
