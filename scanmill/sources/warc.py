@@ -1,8 +1,10 @@
 """Web-archive (WARC) scan.
 
 Spark lists the files and packs them into tasks by size.  Each task streams its
-files record by record; no file is ever held whole.  Records that cannot be read come
-out as well, without content and with the kind of their damage.
+files record by record; no file is ever held whole.  Large uncompressed files are cut into
+runs of records first: one pass over the headers, which steps over the bodies, tells where
+records begin, so the runs are read in many tasks and records keep their numbers.  Records
+that cannot be read come out as well, without content and with the kind of their damage.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanmill.functions.text import decode_utf8, strip_http_headers
+from scanmill.runtime import written
 
 VERSIONS = ("1.0", "0.18")
 
@@ -45,6 +48,10 @@ _BATCH_BYTES = 16 << 20
 _BATCH_RECORDS = 1000
 _READ_BYTES = 8 << 20
 _LINE_BYTES = 1 << 20
+# Uncompressed files are cut into runs of about this size.
+RUN_BYTES = 64 << 20
+MAX_TASKS = 100_000
+_COMPRESSED = r"\.(gz|bz2|zst|lz4)$"
 _MAX_BODY = (1 << 31) - 1  # what one binary value can hold
 
 NO_LENGTH, OVERSIZED, CUT_OFF = "no usable length", "oversized", "cut off"
@@ -91,9 +98,11 @@ class _Source:
         return self._until_cut(self._stream.readline, _LINE_BYTES)
 
 
-def records_of(stream, version: str, with_content: bool = True) -> Iterator[tuple]:
+def records_of(stream, version: str, with_content: bool = True, size: int | None = None) -> Iterator[tuple]:
     """(headers, length, body, damage) of each record in an open, decompressed stream.
 
+    With the `size` of a stream that can be sought in, bodies that are not wanted are stepped over.
+
     `damage` is null for a whole record; others have no body.  After a record without a
     usable length, or with one beyond what a value can hold, the scan goes on to the next
     version line.  A record that the end of the file cuts off is the last one.  A
@@ -109,7 +118,10 @@ def records_of(stream, version: str, with_content: bool = True) -> Iterator[tupl
         if length is None or length > _MAX_BODY:
             yield headers, length, None, NO_LENGTH if length is None else OVERSIZED
             continue
-        body = _take(source, length, keep=with_content)
+        if with_content or size is None:
+            body = _take(source, length, keep=with_content)
+        else:
+            body = b"" if stream.seek(stream.tell() + length) <= size else None
         if body is None:
             yield headers, length, None, CUT_OFF
             return
@@ -118,6 +130,30 @@ def records_of(stream, version: str, with_content: bool = True) -> Iterator[tupl
         yield {}, None, None, CUT_OFF
 
 
+def runs_of(stream, version: str, size: int, run_bytes: int) -> Iterator[tuple[int, int, int]]:
+    """(place, number of the first record, records) of runs of records, of about `run_bytes` each.
+
+    Finds the same records as `records_of`, by their headers.
+    """
+    mark = f"WARC/{version}".encode()
+    source = _Source(stream)
+    place, first, count = 0, 1, 0
+    for line in iter(source.readline, b""):
+        if not line.startswith(mark):
+            continue
+        start = stream.tell() - len(line)
+        if count and start - place >= run_bytes:
+            yield place, first, count
+            first, count = first + count, 0
+        place = place if count else start
+        count += 1
+        length = _body_length(_header_block(source))
+        if length is not None and length <= _MAX_BODY:
+            stream.seek(min(size, stream.tell() + length))
+    if count:
+        yield place, first, count
+
+
 def _take(stream, length: int, keep: bool) -> bytes | None:
     """The next `length` bytes, read in pieces: a wrong length must not reserve memory."""
     pieces = []
@@ -170,35 +206,59 @@ def _open(path: str, content: bytes | None = None):
     return io.BufferedReader(pa.CompressedInputStream(raw, codec) if codec else raw, 1 << 20)
 
 
-def _scan(
-    files: Iterable[tuple[str, bytes | None]], version: str, with_content: bool
-) -> Iterator[pa.RecordBatch]:
+def _open_at(path: str, place: int = 0):
+    """An uncompressed file that can be sought in, and its size."""
+    scheme, authority, inner = split_path(path)
+    fs, base = _FILE_SYSTEMS[scheme](authority)
+    raw = fs.open_input_file(base + inner)
+    size = raw.size()
+    stream = io.BufferedReader(raw, 256 << 10)
+    stream.seek(place)
+    return stream, size
+
+
+def _whole(files: Iterable[tuple[str, bytes | None]], version: str, with_content: bool) -> Iterator[tuple]:
+    """(path, number, record) of all records of some files."""
+    for path, content in files:
+        with _open(path, content) as stream:
+            for number, record in enumerate(records_of(stream, version, with_content), start=1):
+                yield path, number, record
+
+
+def _parts(runs: Iterable[tuple[str, int, int, int]], version: str, with_content: bool) -> Iterator[tuple]:
+    """(path, number, record) of all records of some runs."""
+    for path, place, first, count in runs:
+        stream, size = _open_at(path, place)
+        with stream:
+            found = records_of(stream, version, with_content, size)
+            for number, record in zip(range(first, first + count), found):
+                yield path, number, record
+
+
+def _scan(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Arrow batches of up to 16 MB; a larger record is a batch of its own."""
     rows: list[tuple] = []
     size = 0
-    for path, content in files:
-        with _open(path, content) as stream:
-            found = records_of(stream, version, with_content)
-            for number, (headers, length, body, damage) in enumerate(found, start=1):
-                bytes_ = len(body or b"")
-                if rows and (size + bytes_ > _BATCH_BYTES or len(rows) >= _BATCH_RECORDS):
-                    yield _batch(rows)
-                    rows, size = [], 0
-                rows.append(
-                    (
-                        path,
-                        number,
-                        list(headers.items()),
-                        headers.get("WARC-Type"),
-                        headers.get("WARC-Date"),
-                        headers.get("WARC-Record-ID"),
-                        headers.get("Content-Type"),
-                        length,
-                        body,
-                        damage,
-                    )
-                )
-                size += bytes_
+    for path, number, (headers, length, body, damage) in records:
+        bytes_ = len(body or b"")
+        if rows and (size + bytes_ > _BATCH_BYTES or len(rows) >= _BATCH_RECORDS):
+            yield _batch(rows)
+            rows, size = [], 0
+        rows.append(
+            (
+                path,
+                number,
+                list(headers.items()),
+                headers.get("WARC-Type"),
+                headers.get("WARC-Date"),
+                headers.get("WARC-Record-ID"),
+                headers.get("Content-Type"),
+                length,
+                body,
+                damage,
+            )
+        )
+        size += bytes_
     if rows:
         yield _batch(rows)
 
@@ -220,8 +280,9 @@ def read_warc(
     """Records of WARC files, with file path and 1-based record number.
 
     `paths` takes globs.  Compressed files cannot be split, so a file is the unit
-    of parallelism, as Spark's size-based packing of whole files decides.  `damage` says
-    why a record has no content; it is null for whole records.
+    of parallelism, as Spark's size-based packing of whole files decides; uncompressed ones
+    of more than `RUN_BYTES` are read in runs of records.  `damage` says why a record has no
+    content; it is null for whole records.
 
     Files are streamed through Arrow's file systems.  A store that only Spark can open
     is refused here, before any task starts; `whole_files` lets Spark read each file
@@ -230,12 +291,17 @@ def read_warc(
     if version not in VERSIONS:
         raise ValueError(f"unknown WARC version {version!r}, expected one of {VERSIONS}")
     files = spark.read.format("binaryFile").load(paths)
+    large = ~F.col("path").rlike(_COMPRESSED) & (F.col("length") > RUN_BYTES)
+    cut = False
     if not whole_files:
         scheme = F.regexp_extract("path", r"^([A-Za-z][\w+.-]*):", 1)
-        schemes = {r[0].lower() or "file" for r in files.select(scheme).distinct().collect()}
+        kinds = files.select(scheme, large).distinct().collect()
+        schemes = {r[0].lower() or "file" for r in kinds}
+        cut = any(r[1] for r in kinds)
         if unknown := sorted(schemes - set(_FILE_SYSTEMS)):
             raise ValueError(f"no streamed reader for {unknown}; read these files with whole_files=True")
-    listed = files.select("path", "content") if whole_files else files.select("path")
+    listed = files.select("path", "content") if whole_files else files.filter(~large).select("path")
+    listed = listed if cut or whole_files else files.select("path")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def opened() -> Iterator[tuple[str, bytes | None]]:
@@ -244,9 +310,34 @@ def read_warc(
                 for path, content in zip(batch.column(0), contents):
                     yield path.as_py(), content.as_buffer() if whole_files else None
 
-        return _scan(opened(), version, with_content)
+        return _scan(_whole(opened(), version, with_content))
+
+    records = listed.mapInArrow(scan, RECORD_SCHEMA)
+    return records.unionByName(_in_runs(files.filter(large), version, with_content)) if cut else records
+
+
+def _in_runs(files: DataFrame, version: str, with_content: bool) -> DataFrame:
+    """Records of uncompressed files, a run of them to a task."""
+    run_bytes = RUN_BYTES
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "place", "first", "count"]
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                stream, size = _open_at(path)
+                with stream:
+                    found = list(runs_of(stream, version, size, run_bytes))
+                columns = list(zip(*((path, *run) for run in found))) or [(), (), (), ()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = (tuple(r.values()) for batch in batches for r in batch.to_pylist())
+        return _scan(_parts(runs, version, with_content))
 
-    return listed.mapInArrow(scan, RECORD_SCHEMA)
+    runs = written(files.select("path").mapInArrow(index, "path string, place bigint, first bigint, count bigint"), "runs")
+    tasks = min(max(1, runs.count()), MAX_TASKS)
+    return runs.repartition(tasks).mapInArrow(scan, RECORD_SCHEMA)
 
 
 def warc_docid(headers: str = "headers"):

@@ -3,12 +3,14 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import io
 
 import pytest
 
 from scanmill.operators.documents import corpus_health, count_records
 from scanmill.operators.statistics import compute_term_statistics
 from scanmill.sources.tables import read_docid_list
+from scanmill.sources import warc
 from scanmill.sources.warc import (
     CUT_OFF,
     NO_LENGTH,
@@ -172,3 +174,36 @@ def test_docid_list(spark, tmp_path):
     path.write_bytes(bz2.compress(b"id-1,http://a,x\nid-2\nid-3,b\n"))
     assert [r.docid for r in read_docid_list(spark, str(path)).collect()] == ["id-1", "id-2", "id-3"]
     assert read_docid_list(spark, str(path), max_rows=2).count() == 2
+
+
+@pytest.mark.parametrize("content", [True, False])
+def test_large_uncompressed_files_are_read_in_runs(spark, tmp_path, monkeypatch, content):
+    """The same records, numbers and damage as in one pass, in many tasks; bodies that look like records stay bodies."""
+    records = [INFO, *(page(f"{'x' * (i * 37 % 900)}\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nno record", f"id{i}") for i in range(80))]
+    records[20] = page("wrong", "far", length=1 << 40)
+    records[40] = b"garbage between\r\n" + records[40]
+    data = b"".join(records) + page("cut", "end", length=10_000)
+    (tmp_path / "plain.warc").write_bytes(data)
+    (tmp_path / "packed.warc.gz").write_bytes(gzip.compress(data))
+    shown = ["record_no", "headers", "content_length", "content", "damage"]
+
+    def rows(name):
+        found = read_warc(spark, str(tmp_path / name), with_content=content)
+        return found, sorted(([r[c] for c in shown] for r in found.collect()), key=lambda r: r[0])
+
+    _, expected = rows("packed.warc.gz")
+    monkeypatch.setattr(warc, "RUN_BYTES", 4000)
+    found, got = rows("plain.warc")
+    assert got == expected and got[-1][-1] == CUT_OFF and len(got) > 80
+    assert found.rdd.getNumPartitions() > 8
+    # Both kinds of files in one scan.
+    assert read_warc(spark, str(tmp_path), with_content=content).count() == 2 * len(got)
+
+
+def test_runs_cover_all_records():
+    for size in (1, 500, 5000, 1 << 30):
+        data = b"".join([b"noise\n", *(page("t" * (i * 53 % 400), f"id{i}") for i in range(30)), b"\n\nrest"])
+        runs = list(warc.runs_of(io.BufferedReader(io.BytesIO(data)), "1.0", len(data), size))
+        assert sum(n for _, _, n in runs) == 30 and [f for _, f, _ in runs] == [1 + sum(n for *_, n in runs[:i]) for i in range(len(runs))]
+        assert all(data[p:].startswith(b"WARC/1.0") for p, _, _ in runs) and runs[0][0] == 6
+    assert list(warc.runs_of(io.BufferedReader(io.BytesIO(b"none")), "1.0", 4, 10)) == []
