@@ -80,6 +80,7 @@ def bm25_scores(
     average_length: float | Column | None = scoring.AVERAGE_LENGTH,
     k: int | None = None,
     margin: float = 0.0,
+    small: bool = False,
 ) -> DataFrame:
     """(qid, docid, score) of every document that shares a term with a query.
 
@@ -94,7 +95,7 @@ def bm25_scores(
         return m.values["weight"] * scoring.bm25_term(m.tf, m.doc_len, m.average_length, k1, b)
 
     scorer = Scorer(part, lambda sums: sums.total)
-    return scan_scores(vectors, weights, ["weight"], [], scorer, length, k, margin)
+    return scan_scores(vectors, weights, ["weight"], [], scorer, length, k, margin, small)
 
 
 def _margin(digits: int | None) -> float:
@@ -130,7 +131,7 @@ def bm25_topk(
     def rank(asked: DataFrame) -> DataFrame:
         terms = Q.prepare_queries(asked, dictionary, analyzer, True)
         best = k if positive_only else None
-        scores = bm25_scores(vectors, terms, n, k1, b, average_length, best, _margin(digits))
+        scores = bm25_scores(vectors, terms, n, k1, b, average_length, best, _margin(digits), True)
         scores = scores.withColumn("score", _rounded(F.col("score"), digits))
         if positive_only:
             scores = scores.filter("score > 0")
@@ -199,6 +200,7 @@ def likelihood_scores(
     background: str = "df",
     k: int | None = None,
     margin: float = 0.0,
+    small: bool = False,
 ) -> DataFrame:
     """(qid, docid, score): log P(query | document) over the distinct query terms.
 
@@ -244,7 +246,7 @@ def likelihood_scores(
         return found if share > 0 else np.where(sums.n_matched == n, found, -np.inf)
 
     names = ["p", "absent"], ["absent_sum", "n_terms"]
-    return scan_scores(vectors, weights, *names, Scorer(part, score), None, k, margin)
+    return scan_scores(vectors, weights, *names, Scorer(part, score), None, k, margin, small)
 
 
 def matching_pairs(
@@ -300,7 +302,7 @@ def lm_topk(
 
     def rank(asked: DataFrame) -> DataFrame:
         terms = Q.prepare_queries(asked, dictionary, analyzer, True)
-        scores = likelihood_scores(vectors, terms, size, smoothing, background, k, _margin(digits))
+        scores = likelihood_scores(vectors, terms, size, smoothing, background, k, _margin(digits), True)
         return top_k(scores.withColumn("score", _rounded(F.col("score"), digits)), k, tie, tag)
 
     return Q.in_groups(queries, rank)

@@ -154,12 +154,14 @@ def scan_scores(
     average_length: Column | None = None,
     k: int | None = None,
     margin: float = 0.0,
+    small: bool = False,
 ) -> DataFrame:
     """(qid, docid, score) of every document and query that share a term.
 
     `query_terms` has qid, term_id and the columns in `values` (of a term in a query) and
     `query_values` (of a query).  With `k`, rows that are `margin` below the k-th best of their
-    query, in one task, may be missing.  Each row of `vectors` is a document of its own.
+    query, in one task, may be missing.  Each row of `vectors` is a document of its own.  Query
+    terms are counted, and cut into groups if they are many, unless they are known to be few.
     """
     flat = "terms" not in vectors.columns
     source = vectors.select(
@@ -206,9 +208,12 @@ def scan_scores(
         return batches_scored
 
     spark = vectors.sparkSession
-    wanted = written(query_terms.select("qid", "term_id", *values, *query_values), "query-terms")
-    entries = wanted.count()
-    groups = 1 if entries <= MAX_ENTRIES else -(-2 * entries // MAX_ENTRIES)
+    wanted = query_terms.select("qid", "term_id", *values, *query_values)
+    groups = 1
+    if not small:
+        wanted = written(wanted, "query-terms")
+        entries = wanted.count()
+        groups = 1 if entries <= MAX_ENTRIES else -(-2 * entries // MAX_ENTRIES)
     scans = []
     for g in range(groups):
         some = wanted.filter(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g) if groups > 1 else wanted
