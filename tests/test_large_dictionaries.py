@@ -105,3 +105,16 @@ def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
     back = read_doc_vectors(spark, path)
     assert back.exceptAll(vectors).isEmpty() and back.count() == 20_000
     assert "Exchange" not in back.groupBy("docid").count()._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rows_of_one_named_key_are_one_document_to_the_tail(spark, terms):
+    """As before portions: what the tail has for one row of a key is in all of its rows."""
+    rows = [("a", ["w1", "w500", "w2"]), ("a", ["w1", "w500", "w2"]), ("b", ["w501", "w3"]), (None, ["w502"]), (None, ["w4"])]
+    some = spark.createDataFrame(rows, "docid string, tokens array<string>")
+    coded = encode_tokens(some, terms, ["docid"], ["docid"], broadcast_terms=20)
+    expected = [("a", [2, 501, 501, 3])] * 2 + [("b", [502, 4]), (None, [503]), (None, [5, 503])]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r.docid, r.term_ids) for r in coded.collect()), key=key) == sorted(expected, key=key)
+    ids = spark.createDataFrame([("a", [2, 501]), ("a", [2, 501]), ("b", [4])], "docid string, term_ids array<int>")
+    decoded = decode_doc_vectors(ids, terms, row_key=["docid"], broadcast_terms=20)
+    assert sorted((r.docid, r.terms) for r in decoded.collect()) == [("a", ["w1", "w500", "w500"])] * 2 + [("b", ["w3"])]
