@@ -42,6 +42,8 @@ BROADCAST_ROWS = 400_000
 _LOCAL_REPEATS = 3
 _FLUSH = 2 << 20
 _FILTER_BITS = 22
+_POSTINGS = 1 << 16  # a task hands over at once, and the JVM holds beside its heap
+_SEEN_SETS = 1 << 16
 
 
 def shingle_sets(block: Block, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,37 +173,44 @@ def _most_matches(size: int, threshold: tuple[int, int]) -> int:
 def _postings(docs: DataFrame, words: int, threshold: tuple[int, int], order) -> DataFrame:
     """(shingle, node, size, pos): the longest prefix that a set may choose.
 
-    Equal sets of one batch are written once.
+    Equal sets that a task meets soon after each other are written once.
     """
 
+    def rows(held: list[tuple[np.ndarray, bytes, int]]) -> pa.RecordBatch:
+        parts, nodes, sizes = zip(*held)
+        counts = np.array([len(p) for p in parts])
+        at = np.repeat(np.arange(len(parts)), counts)
+        pos = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(parts).view(np.int64)),
+                pa.array(nodes, pa.binary()).take(pa.array(at)),
+                pa.array(np.array(sizes)[at]),
+                pa.array(pos.astype(np.int32)),
+            ],
+            names=["shingle", "node", "size", "pos"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held, ready = [], 0
         for batch in batches:
-            seen: set[bytes] = set()
-            parts, nodes, sizes, counts = [], [], [], []
             for _, shingles in _sets_of(batch.column(1), words):
                 node = _node(shingles)
                 if len(shingles) == 0 or node in seen:
                     continue
+                if len(seen) == _SEEN_SETS:
+                    seen.clear()
                 seen.add(node)
                 size = len(shingles)
                 count = size - _least_overlap(size, threshold) + _most_matches(size, threshold)
-                parts.append(order.value.first(shingles, count))
-                nodes.append(node)
-                sizes.append(size)
-                counts.append(count)
-            if not parts:
-                continue
-            at = np.repeat(np.arange(len(parts)), counts)
-            pos = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(parts).view(np.int64)),
-                    pa.array(nodes, pa.binary()).take(pa.array(at)),
-                    pa.array(np.array(sizes)[at]),
-                    pa.array(pos.astype(np.int32)),
-                ],
-                names=["shingle", "node", "size", "pos"],
-            )
+                held.append((order.value.first(shingles, count), node, size))
+                ready += count
+                if ready >= _POSTINGS:
+                    yield rows(held)
+                    held, ready = [], 0
+        if held:
+            yield rows(held)
 
     return docs.mapInArrow(run, "shingle bigint, node binary, size bigint, pos int")
 

@@ -3,12 +3,17 @@ from __future__ import annotations
 import random
 import re
 from itertools import combinations
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from scanmill.llm import ngram_join
 from scanmill.llm.graphs import components
 from scanmill.llm.ngram_join import keep_one_of_each, near_duplicates
+from scanmill.runtime import BATCH_ROWS
 
 
 def brute(rows, words, num, den):
@@ -105,3 +110,29 @@ def test_components(spark):
     roots = {r.node: r.root for r in components(edges).collect()}
     assert roots == {i: 1 for i in range(1, 62)} | {i: 100 for i in range(100, 140)}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_postings_come_in_small_batches_and_copies_once(spark, monkeypatch):
+    """However many rows a task is given at once, it holds few of their postings."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(40)]
+    rows = pa.RecordBatch.from_pydict({"doc": list(range(80)), "text": texts + texts})
+    monkeypatch.setattr(ngram_join, "_POSTINGS", 200)
+    order = SimpleNamespace(value=ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    taken = SimpleNamespace(mapInArrow=lambda run, ddl: run)
+    run = ngram_join._postings(taken, 5, (4, 5), order)
+    found = list(run(iter([rows.slice(0, 40), rows.slice(40)])))
+    assert len(found) > 1 and all(b.num_rows < 200 + 120 for b in found)
+    nodes = [n for b in found for n, p in zip(b["node"].to_pylist(), b["pos"].to_pylist()) if p == 0]
+    assert len(nodes) == len(set(nodes)) == 40
+
+
+def test_pipeline_stages_bound_the_rows_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for asked, held in ((None, BATCH_ROWS), (7, 7)):
+        session = spark.newSession()
+        if asked:
+            session.conf.set(key, asked)
+        corpus_pipeline.drop_repeated_lines(session, docs, "")
+        assert session.conf.get(key) == str(held)
