@@ -126,6 +126,35 @@ def test_all_documents_take_part(spark, wide, monkeypatch, k, tie):
     same(result(got), expected)
 
 
+@pytest.mark.parametrize("k", [3, 400])
+def test_all_scores_are_kept_only_for_queries_short_of_positive_ones(spark, wide, monkeypatch, k):
+    _, terms, vectors, docs = wide
+    scan, cuts, filled = ranking.bm25_scores, [], []
+
+    def scores_of(*args, **options):
+        qids = {r.qid for r in args[1].select("qid").distinct().collect()}
+        cuts.append((args[6], qids))
+        return scan(*args, **options)
+
+    zeros = ranking._zero_scores
+
+    def zeros_of(scores, vectors, rest, *args):
+        filled.extend(r.qid for r in rest.collect())
+        return zeros(scores, vectors, rest, *args)
+
+    monkeypatch.setattr(ranking, "bm25_scores", scores_of)
+    monkeypatch.setattr(ranking, "_zero_scores", zeros_of)
+    words = {1: "hot", 2: "w40 w41 w42 w43", 3: "unknown", 4: "w30"}
+    queries = spark.createDataFrame(list(words.items()), "qid int, text string")
+    got = bm25_topk(vectors, terms, queries, k, WORDS, positive_only=False)
+    exact = brute.bm25(docs, {q: text.split() for q, text in words.items()})
+    same(result(got), brute.ranked(exact, k))
+    short = {q for q in words if sum(round(exact[q, d], 6) > 0 for d in docs) < k}
+    assert set(filled) == short
+    assert all(qids <= short for best, qids in cuts if best is None)
+    assert short == {1, 3} if k == 3 else short > {1, 3}
+
+
 def test_small_blocks_of_unmatched_documents(spark, wide):
     _, terms, vectors, docs = wide
     prepared = Q.prepare_queries(asked(spark), terms, WORDS)
