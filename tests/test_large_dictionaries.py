@@ -48,6 +48,14 @@ def test_the_rest_of_a_dictionary_is_not_broadcast(docs, terms):
         assert "BroadcastExchange" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_stems_beyond_the_head_are_not_collected_by_row(docs, terms):
+    near, far = (build_doc_vectors(docs, terms, "porter", html=False, broadcast_terms=n) for n in (10**6, 20))
+    plan = _plan(far)
+    assert "BroadcastExchange" not in plan and "ObjectHashAggregate" not in plan
+    rows = lambda df: sorted((r.docid, r.term_ids, r.doc_len) for r in df.collect())
+    assert rows(far) == rows(near)
+
+
 @pytest.mark.parametrize("batch", [10_000, 7])
 def test_rows_that_share_an_id_keep_their_own_tokens(spark, docs, terms, texts, batch, request):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
