@@ -2,7 +2,8 @@
 
 Two sets whose Jaccard similarity reaches the threshold t share at least l of their
 first |x| - ceil(t |x|) + l shingles, in any order of shingles common to all sets.  The
-order puts shingles that are frequent in some task's documents last.
+order puts shingles that are frequent in some task's documents last, and then those whose
+lists of sets turn out to be long, however large the table in which they are spread.
 
 Each set chooses l.  A longer prefix meets more candidates, but demands more matches
 before a pair's full sets are compared.  It may also hold shingles whose lists are long:
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanmill.llm.frames import column
@@ -38,6 +39,11 @@ SHORT_LIST = 16
 BLOCK_SHINGLES = 1 << 20
 BLOCK_SETS = 2000
 ORDER_TABLE = 1 << 19
+# Scans that look for long lists, each under the order that the last one made.  One in so many
+# postings may lie on a list that the order does not know; more than that give another order,
+# and more than the second share another scan.
+ORDER_ROUNDS = 3
+_STRAY_POSTINGS, _MANY_STRAYS = 50, 10
 BROADCAST_ROWS = 400_000
 _LOCAL_REPEATS = 3
 _FLUSH = 2 << 20
@@ -137,13 +143,11 @@ class Order:
         return shingles[np.lexsort((shingles, rank))[:count]]
 
 
-def _order(described: DataFrame, size: int) -> Order:
-    """The `size` most seen shingles at most: the bound of what is broadcast.
+def _order(seen: DataFrame, size: int) -> Order:
+    """The `size` most seen of (shingle, seen) at most: the bound of what is broadcast.
 
     A shingle that is not in the table only stands earlier in the order of every set.
     """
-    seen = described.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    seen = written(seen, "shingle-order")
     steps = seen.groupBy(F.floor(F.log2("seen") * 4).alias("step")).agg(
         F.count("*").alias("n"), F.min("seen").alias("least")
     )
@@ -161,6 +165,35 @@ def _order(described: DataFrame, size: int) -> Order:
     )
 
 
+def _common_order(docs: DataFrame, described: DataFrame, words: int, threshold: tuple[int, int], size: int):
+    """The order of shingles, broadcast: frequent ones last.
+
+    What tasks saw misses shingles that are spread thinly over a large table; left in the
+    prefixes, they make lists that grow with it.  So the lists that an order leaves long are
+    counted, and go into the next one, until few postings lie on a list not known.
+    """
+    context = docs.sparkSession.sparkContext
+    seen = described.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    seen = written(seen, "shingle-order")
+    order = context.broadcast(_order(seen, size))
+    for _ in range(ORDER_ROUNDS):
+        lists = _postings(docs, words, threshold, order).groupBy("shingle").agg(F.count("*").alias("seen"))
+        lists = written(lists.filter(F.col("seen") > 1), "lists-seen")
+        long = lists.filter(F.col("seen") > SHORT_LIST)
+        known = seen.select("shingle")
+        stray = long.join(known, "shingle", "left_anti").agg(F.sum("seen")).first()[0] or 0
+        met = lists.agg(F.sum("seen")).first()[0] or 0
+        if stray * _STRAY_POSTINGS <= met:
+            break
+        seen = seen.union(long.select("shingle", "seen")).groupBy("shingle").agg(F.max("seen").alias("seen"))
+        seen = written(seen, "shingle-order")
+        order.unpersist()
+        order = context.broadcast(_order(seen, size))
+        if stray * _MANY_STRAYS <= met:
+            break
+    return order
+
+
 def _least_overlap(size: int, threshold: tuple[int, int]) -> int:
     return -(-threshold[0] * size // threshold[1])
 
@@ -245,12 +278,10 @@ def _chosen_prefixes(postings: DataFrame, threshold: tuple[int, int]) -> DataFra
     For a given l, each short posting met costs one unit, and one in as many as have to
     match may stand for a pair that has to be compared.
     """
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    repeated = written(
-        postings.join(shared, "shingle").dropDuplicates(["shingle", "node"]), "postings"
-    )
-    lists = repeated.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    listed = written(repeated.join(lists, "shingle"), "lists")
+    # One exchange: what is dealt by shingle serves the repeated rows and the lengths of lists.
+    single = postings.repartition("shingle").dropDuplicates(["shingle", "node"])
+    df = F.count("*").over(Window.partitionBy("shingle")).alias("df")
+    listed = written(single.select("*", df).filter("df > 1"), "lists")
     by_node = listed.groupBy("node", "size").agg(
         F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("list")
     )
@@ -518,10 +549,9 @@ def near_duplicates(
     """
     rows = docs.select(column(id_col).alias("doc"), column(text_col).alias("text"))
     described = written(_described(rows, words), "described")
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_order(described, order_table))
     sized = described.filter("node is not null").select("doc", "size", "node")
     used = rows.filter("doc is not null")
+    order = _common_order(used, described, words, threshold, order_table)
     nodes = sized.filter("size > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     nodes = written(nodes, "nodes")
     prefixes = _chosen_prefixes(_postings(used, words, threshold, order), threshold)

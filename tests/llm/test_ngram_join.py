@@ -136,3 +136,22 @@ def test_pipeline_stages_bound_the_rows_of_a_batch(spark):
             session.conf.set(key, asked)
         corpus_pipeline.drop_repeated_lines(session, docs, "")
         assert session.conf.get(key) == str(held)
+
+
+def test_lists_spread_thinly_over_tasks_come_late(spark, monkeypatch):
+    """Shingles that no task sees often are long lists all the same, and must not bind unrelated sets."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{i}_{j}" for j in range(6)) for i in range(40)]
+    rows = []
+    for doc in range(240):
+        parts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(3)) for _ in range(30)]
+        parts += rng.sample(phrases, 20)
+        rng.shuffle(parts)
+        rows.append((doc, " ".join(parts)))
+    rows.append((900, rows[7][1] + " end"))
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(ngram_join, "_FLUSH", 1)
+    chosen, prefixes = [], ngram_join._chosen_prefixes
+    monkeypatch.setattr(ngram_join, "_chosen_prefixes", lambda *a: chosen.append(prefixes(*a)) or chosen[-1])
+    assert found(spark, rows, words=3, threshold=(9, 10)) == brute(rows, 3, 9, 10)
+    assert chosen[0].filter("bound").isEmpty()
